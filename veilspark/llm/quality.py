@@ -178,6 +178,12 @@ def outliers(stats: DataFrame, lang_col: str = "lang", source_col: str = "source
     return out.drop("fit", "size", *[f"m{i}" for i in range(p)], *[f"l{i}_{j}" for i in range(p) for j in range(i + 1)], *[f"x{i}" for i in range(p)])
 
 
+def judged_rows(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **options) -> DataFrame:
+    """``docs`` with the statistics and the verdict ``kept``; texts travel along, so that no join by id is needed."""
+    stats = statistics(docs, text_col).withColumn("base_failed", base_failed())
+    return outliers(written(stats, "q-docs"), lang_col, source_col, **options).withColumn("kept", ~F.col("base_failed") & ~F.col("outlier"))
+
+
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **options) -> DataFrame:
     """One row a document: id, the statistics, base_failed, d2, kept. Rules and estimate see every document."""
     stats = statistics(docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))).drop("text")

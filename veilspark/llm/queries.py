@@ -8,10 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, langid, line_dedup, packing, quality, secret_scan, warc
+from . import fingerprint, langid, line_dedup, near_dedup, packing, passages, quality, secret_scan, spm, warc
 from .common import new_folder, table
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again: doc_id, n_ids, ids_crc32 (of the ids in decimal, blank-joined), round_trip."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = spm.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.crc32(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary")).alias("ids_crc32"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its source's boilerplate lines: doc_id, n_lines, n_dropped, n_chars, text_sha256."""
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
@@ -31,6 +38,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("d2", 6).alias("distance2"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near-duplicates of every document."""
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learned from two thirds of the labelled documents, predicted for all."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -39,6 +51,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langs, logs).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every occurrence of a passage that repeats across documents."""
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids in pieces of sequences of at most 1024."""
     pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -59,7 +76,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op3_warc, op4_quality_rules, op6_language_id, op8_packing, op9_fingerprint, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_line_dedup, op3_warc, op4_quality_rules, op5_near_dedup, op6_language_id, op7_repeated_passages, op8_packing, op9_fingerprint, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
