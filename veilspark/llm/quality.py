@@ -129,22 +129,27 @@ def _factor(sums: DataFrame, p: int, floors: list[float], scale: float) -> DataF
     return out.select("fit", "size", *[f"m{i}" for i in range(p)], *[f"l{i}_{j}" for i in range(p) for j in range(i + 1)])
 
 
-def outliers(stats: DataFrame, lang_col: str = "lang", source_col: str = "source", features: dict | None = None, min_group: int = MIN_GROUP, h: float = H, cutoff: float = CUTOFF) -> DataFrame:
-    """``stats`` (with the statistics' columns, read several times: a written table) with ``d2`` and ``outlier``."""
+def _vectors(stats: DataFrame, lang_col: str, source_col: str, features: dict) -> DataFrame:
+    """``stats`` with the group's name g, the language's and the vector x0, x1, ..."""
+    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("\x00"))
+    source = F.coalesce(F.col(source_col).cast("string"), F.lit("\x00"))
+    return stats.withColumns({"g": F.concat_ws("|", lang, source), "g_lang": lang} | {f"x{i}": F.expr(sql).cast("double") for i, (sql, _) in enumerate(features.values())})
+
+
+def estimates(stats: DataFrame, lang_col: str = "lang", source_col: str = "source", features: dict | None = None, min_group: int = MIN_GROUP, h: float = H) -> DataFrame:
+    """A row a group: g, its rows size0, the pool's size and robust centre and Cholesky factor. ``stats`` is read a few times."""
     features = features or FEATURES
     p, floors = len(features), [x[1] for x in features.values()]
     if p % 2:
         raise ValueError("an even number of features is needed")
-    group = F.concat_ws("|", F.coalesce(F.col(lang_col).cast("string"), F.lit("\x00")), F.coalesce(F.col(source_col).cast("string"), F.lit("\x00")))
-    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("\x00"))
-    named = stats.withColumns({"g": group, "g_lang": lang} | {f"x{i}": F.expr(sql).cast("double") for i, (sql, _) in enumerate(features.values())})
-    named = written(named, "q-features")
+    named = written(_vectors(stats, lang_col, source_col, features).select("g", "g_lang", *[f"x{i}" for i in range(p)]), "q-features")
 
     sizes = named.groupBy("g", "g_lang").agg(F.count("*").alias("size0"))
     small = sizes.filter(F.col("size0") < min_group)
     by_lang = small.groupBy("g_lang").agg(F.sum("size0").alias("lang_size"))
     fits = sizes.join(by_lang, "g_lang", "left").select("g", "size0", F.when(F.col("size0") >= min_group, F.concat(F.lit("g|"), "g")).when(F.col("lang_size") >= min_group, F.concat(F.lit("l|"), "g_lang")).otherwise("all").alias("fit"))
-    rows = written(join_per_key(named, written(fits, "q-fits"), ["g"], "size0").drop("g", "g_lang", "size0"), "q-rows")
+    fits = written(fits, "q-fits")
+    rows = written(join_per_key(named, fits, ["g"], "size0").drop("g", "g_lang", "size0"), "q-rows")
 
     # Start: medians and MADs on a grid.
     def medians(source: DataFrame) -> DataFrame:
@@ -173,19 +178,26 @@ def outliers(stats: DataFrame, lang_col: str = "lang", source_col: str = "source
             factor = 0.975 / chi2_cdf(edge, p + 2)
         sums = chosen.groupBy("fit").agg(F.count("*").alias("n"), F.first("size").alias("size"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(p)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i in range(p) for j in range(i + 1)])
         fit = written(_factor(sums, p, floors, factor), "q-fit")
-    out = _distance(join_per_key(rows, fit, ["fit"], "size"), p)
-    out = out.withColumn("outlier", (F.col("size") >= min_group) & (F.col("d2") > chi2_quantile(cutoff, p)))
-    return out.drop("fit", "size", *[f"m{i}" for i in range(p)], *[f"l{i}_{j}" for i in range(p) for j in range(i + 1)], *[f"x{i}" for i in range(p)])
+    return written(fits.join(fit, "fit").drop("fit"), "q-groups")
+
+
+def _verdict(at: DataFrame, features: dict | None, min_group: int, cutoff: float) -> DataFrame:
+    p = len(features or FEATURES)
+    out = _distance(at, p).withColumn("kept", ~F.col("base_failed") & ~((F.col("size") >= min_group) & (F.col("d2") > chi2_quantile(cutoff, p))))
+    return out.drop("g", "g_lang", "size", "size0", *[f"m{i}" for i in range(p)], *[f"l{i}_{j}" for i in range(p) for j in range(i + 1)], *[f"x{i}" for i in range(p)])
 
 
-def judged_rows(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **options) -> DataFrame:
-    """``docs`` with the statistics and the verdict ``kept``; texts travel along, so that no join by id is needed."""
-    stats = statistics(docs, text_col).withColumn("base_failed", base_failed())
-    return outliers(written(stats, "q-docs"), lang_col, source_col, **options).withColumn("kept", ~F.col("base_failed") & ~F.col("outlier"))
+def judged_rows(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", features: dict | None = None, min_group: int = MIN_GROUP, h: float = H, cutoff: float = CUTOFF) -> DataFrame:
+    """``docs`` with the statistics, d2 and kept. Texts are written once beside their statistics and joined with the
+    groups' estimates, whose size the optimizer knows: by broadcast if it is small, else by shuffles that split hot groups."""
+    stats = written(statistics(docs, text_col).withColumn("base_failed", base_failed()), "q-docs")
+    groups = estimates(stats, lang_col, source_col, features, min_group, h)
+    return _verdict(_vectors(stats, lang_col, source_col, features or FEATURES).join(groups, "g"), features, min_group, cutoff)
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **options) -> DataFrame:
-    """One row a document: id, the statistics, base_failed, d2, kept. Rules and estimate see every document."""
-    stats = statistics(docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))).drop("text")
-    found = outliers(written(stats.withColumn("base_failed", base_failed()), "q-stats"), **options)
-    return found.withColumn("kept", ~F.col("base_failed") & ~F.col("outlier"))
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", features: dict | None = None, min_group: int = MIN_GROUP, h: float = H, cutoff: float = CUTOFF) -> DataFrame:
+    """One row a document: doc_id, lang, source, the statistics, base_failed, d2, kept. Rules and estimate see every document."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
+    stats = written(statistics(rows).drop("text").withColumn("base_failed", base_failed()), "q-stats")
+    groups = estimates(stats, features=features, min_group=min_group, h=h)
+    return _verdict(join_per_key(_vectors(stats, "lang", "source", features or FEATURES), groups, ["g"], "size0"), features, min_group, cutoff)
