@@ -1,0 +1,48 @@
+"""Detection and encoding of streams of documents.
+
+Detection and encoding look at one row at a time, so they run on a stream as they are. Only the mapping grows: each batch's
+new originals are added by a single writer in foreachBatch, to a table that is written anew for each version.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
+
+from ..operators import mapping as m
+from ..operators import resolve, substitute
+from ..plans.pipeline import accepted
+
+
+def entities(stream: DataFrame, *ids: str) -> DataFrame:
+    """Entity rows of a stream of documents (append mode, no state)."""
+    return resolve.entity_rows(resolve.detect(stream), *ids)
+
+
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """The mapping's last version."""
+    store = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = store.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(store):
+        return m.empty(spark)
+    versions = sorted(p.getPath().getName() for p in fs.listStatus(store) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p.getPath(), "_SUCCESS")))
+    return spark.read.schema(m.SCHEMA).parquet(f"{path}/{versions[-1]}") if versions else m.empty(spark)
+
+
+def pseudonymize(stream: DataFrame, mapping_path: str, output_path: str, checkpoint: str, id_col: str = "doc_id", text_col: str = "text") -> StreamingQuery:
+    """Encoded documents as Parquet, a folder a batch, so a batch that is repeated replaces its own output and version."""
+
+    def batch(docs: DataFrame, number: int) -> None:
+        spark = docs.sparkSession
+        docs = docs.persist()
+        base = latest(spark, mapping_path)
+        items = m.from_entities(accepted(resolve.entity_rows(resolve.detect(docs, text_col=text_col), id_col)))
+        version = f"{mapping_path}/version-{number:012d}"
+        before = [r for r in base.inputFiles() if f"version-{number:012d}" in r]
+        if not before:
+            m.add_bulk(base, items).write.mode("overwrite").parquet(version)
+        grown = spark.read.schema(m.SCHEMA).parquet(version)
+        substitute.encode(docs, grown, text_col).write.mode("overwrite").parquet(f"{output_path}/batch-{number:012d}")
+        docs.unpersist()
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
