@@ -1,0 +1,92 @@
+"""The mapping and both ways of rewriting."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from veilspark.operators import mapping as m
+from veilspark.operators import substitute as s
+from veilspark.streaming import detect_stream
+
+
+def mapped(spark, rows):
+    made = [(o.lower(), o, n, "person", c) for o, n, c in rows]
+    return spark.createDataFrame(made, m.SCHEMA)
+
+
+def items(spark, rows):
+    return spark.createDataFrame([(o, c, n, i) for i, (o, c, n) in enumerate(rows)], "original string, category string, surrogate string, position int")
+
+
+def test_add_bulk(spark):
+    one = m.add_bulk(m.empty(spark), items(spark, [("Anna", "person", None), ("ANNA", "person", None), ("Bob", "person", " Person-2 "), ("Cora", "person", " "), ("ACME", "firma", None)]))
+    got = {r["original"]: r["surrogate"] for r in one.collect()}
+    assert got == {"Anna": "Person-1", "Bob": "Person-2", "Cora": "Person-3", "ACME": "Company-1"}
+    two = m.add_bulk(one, items(spark, [("bob", "person", "x"), ("Dora", "person", None)]))
+    assert {r["original"]: r["surrogate"] for r in two.collect()} == got | {"Dora": "Person-4"}
+    kept = spark.createDataFrame([("Person", 9)], "label string, n int")
+    assert {r["surrogate"] for r in m.add_bulk(one, items(spark, [("Eva", "person", None)]), kept).collect()} >= {"Person-10"}
+    assert m.next_labels(one).filter("category = 'person'").first()["surrogate"] == "Person-4"
+    assert m.add_bulk(m.empty(spark), items(spark, [("x", "ort", None)]).limit(0)).count() == 0
+
+
+def test_update_remove_import_list(spark):
+    base = mapped(spark, [("Anna", "Person-1", True), ("bob", "Person-2", True)])
+    patch = spark.createDataFrame([("anna", None, None, False)], "id string, surrogate string, category string, confirmed boolean")
+    assert {r["original"]: r["confirmed"] for r in m.update(base, patch).collect()} == {"Anna": False, "bob": True}
+    with pytest.raises(m.EntryNotFound):
+        m.update(base, patch.withColumn("id", F.lit("nobody")))
+    with pytest.raises(m.EntryNotFound):
+        m.remove(base, spark.createDataFrame([("nobody",)], "id string"))
+    assert m.remove(base, spark.createDataFrame([("bob",)], "id string")).count() == 1
+    more = mapped(spark, [("ANNA", "other", True), ("Zoe", "Person-7", True)])
+    grown = m.import_entries(base, more)
+    assert {r["original"]: r["surrogate"] for r in grown.collect()} == {"Anna": "Person-1", "bob": "Person-2", "Zoe": "Person-7"}
+    assert m.counters(grown).first()["n"] == 7
+    assert [r["original"] for r in m.listed(grown).collect()] == ["Anna", "bob", "Zoe"]
+
+
+def test_save_and_load(spark, tmp_path):
+    base = mapped(spark, [("Anna", "Person-1", True), ("bob", "Person-2", False)])
+    m.save(base, f"{tmp_path}/store")
+    assert sorted(map(tuple, m.load(spark, f"{tmp_path}/store").collect())) == sorted(map(tuple, base.collect()))
+
+
+def test_rewriting(spark):
+    base = mapped(spark, [("Peter Schmidt", "Person-1", True), ("Schmidt", "Person-10", True), ("$10", "Amount-1", True), ("geheim", "x", False), ("", "y", True)])
+    docs = spark.createDataFrame([(1, "Peter Schmidt und Schmidt, $10 geheim, schmidt"), (2, None), (3, "")], "doc_id int, text string")
+    there = s.encode(docs, base).orderBy("doc_id").collect()
+    assert there[0]["text"] == "Person-1 und Person-10, Amount-1 geheim, schmidt"
+    assert there[0]["replacements_made"] == 1 + 1 + 1
+    assert there[1]["text"] is None and there[2]["text"] == ""
+    back = s.decode(s.encode(docs, base).drop("replacements_made"), base).orderBy("doc_id").collect()
+    assert back[0]["text"] == "Peter Schmidt und Schmidt,  geheim, schmidt"  # $10 is read as a template
+    strict = s.decode(s.encode(docs, base).drop("replacements_made"), base, strict=True).orderBy("doc_id").collect()
+    assert strict[0]["text"] == docs.first()["text"]
+
+
+def test_places(spark):
+    base = mapped(spark, [("Ann", "P-1", True), ("Anna", "P-2", True)])
+    docs = spark.createDataFrame([(1, "ü Anna, ANNA")], "doc_id int, text string")
+    spans = s.preview(docs, base).first()["spans"]
+    assert [(x["start"], x["end"], x["term"]) for x in spans] == [(3, 6, "Ann"), (3, 7, "Anna")]
+    marks = s.highlight(docs, base).first()["spans"]
+    assert [(x["start"], x["end"]) for x in marks] == [(2, 6), (8, 12)]
+
+
+def test_large_mappings_are_not_broadcast(spark, monkeypatch):
+    base = mapped(spark, [("Peter Schmidt", "Person-1", True), ("Ärger", "Person-2", True)])
+    docs = spark.createDataFrame([(1, "Peter Schmidt hat Ärger"), (2, "nichts"), (3, None)], "doc_id int, text string")
+    small = sorted(map(tuple, s.encode(docs, base).collect()), key=str)
+    monkeypatch.setattr(s, "MAX_ENTRIES", 1)
+    assert sorted(map(tuple, s.encode(docs, base).collect()), key=str) == small
+
+
+def test_streams(spark, tmp_path):
+    spark.createDataFrame([(1, "Mail an a@b.de"), (2, "nochmal a@b.de und c@d.de")], "doc_id int, text string").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("doc_id int, text string").parquet(f"{tmp_path}/in")
+    q = detect_stream.pseudonymize(stream, f"{tmp_path}/map", f"{tmp_path}/out", f"{tmp_path}/check")
+    q.processAllAvailable()
+    q.stop()
+    texts = {r["doc_id"]: r["text"] for r in spark.read.option("recursiveFileLookup", "true").parquet(f"{tmp_path}/out").collect()}
+    assert texts == {1: "Mail an Email-1", 2: "nochmal Email-1 und Email-2"}
+    assert detect_stream.latest(spark, f"{tmp_path}/map").count() == 2
