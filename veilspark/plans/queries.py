@@ -277,7 +277,7 @@ def count_occurrences(spark, sf_dir):
     "WITH e AS (SELECT o_orderkey, strftime(o_orderdate, '%d.%m.%Y') AS entity, 'datum' AS category, 0.91 AS confidence, false AS needs_review, 13 AS a FROM orders "
     "UNION ALL SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d'), 'datum', 0.91, false, 34 FROM orders "
     "UNION ALL SELECT o_orderkey, cast(cast(floor(o_totalprice) AS BIGINT) AS VARCHAR) || ' EUR', 'betrag', 0.92, false, 53 FROM orders "
-    "UNION ALL SELECT o_orderkey, '$' || cast(o_orderkey % 1000 AS VARCHAR), 'betrag', 0.92, false, 64 + length(cast(cast(floor(o_totalprice) AS BIGINT) AS VARCHAR)) - 1 FROM orders) "
+    "UNION ALL SELECT o_orderkey, '$' || cast(o_orderkey % 1000 AS VARCHAR), 'betrag', 0.92, false, 64 + length(cast(cast(floor(o_totalprice) AS BIGINT) AS VARCHAR)) FROM orders) "
     "SELECT o_orderkey, entity, category, cast(confidence AS DOUBLE) AS confidence, needs_review, a || '-' || a + length(entity) AS offsets FROM e"
 )
 def entities_orders(spark, sf_dir):
