@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, join_per_key, null_safe_key, written
+from .common import components, join_per_key, likely_in, null_safe_key, written
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -162,8 +162,8 @@ def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def candidates(reps: DataFrame) -> DataFrame:
     """Distinct (a, b): a row and a leader of one of its sketches."""
     banded = reps.select("row", F.explode("bands").alias("band"))
-    leaders = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("row").alias("lo"), F.max("row").alias("hi"), F.min(F.struct(F.xxhash64("row", "band").alias("h"), "row")).alias("any")).filter("n > 1")
-    leaders = written(leaders.select("band", "n", F.array_distinct(F.array("lo", "hi", "any.row")).alias("leaders")), "nd-leaders")
+    leaders = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("row").alias("lo"), F.max("row").alias("hi"), F.min_by("row", F.xxhash64("row", "band")).alias("any")).filter("n > 1")
+    leaders = written(leaders.select("band", "n", F.array_distinct(F.array("lo", "hi", "any")).alias("leaders")), "nd-leaders")
     pairs = join_per_key(banded, leaders, ["band"], "n").select(F.col("row").alias("a"), F.explode("leaders").alias("b")).filter("a <> b")
     return written(pairs.distinct(), "nd-pairs")
 
@@ -175,7 +175,7 @@ def with_texts(pairs: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str,
     inside = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
     keys = written(rows.join(inside, "row", "left_semi").select("row", "k", "th"), "nd-keys")
     texts = docs.select(null_safe_key(F.col(id_col)).alias("k"), text.alias("text")).withColumn("th", F.xxhash64("text"))
-    texts = texts.join(keys, ["k", "th"]).select("row", "text")
+    texts = likely_in(texts, keys, ["k", "th"]).join(keys, ["k", "th"]).select("row", "text")
     texts = written(texts.dropDuplicates(["row"]) if keys.count() < texts.count() else texts, "nd-texts")
     degree = written(pairs.groupBy("b").agg(F.count("*").alias("n")).withColumn("copies", F.ceil(F.col("n") / SALT_ROWS).cast("int")), "nd-degree")
     salted = join_per_key(pairs, degree, ["b"], "n").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int"))
