@@ -67,17 +67,19 @@ def join_per_key(left: DataFrame, per_key: DataFrame, keys: list[str], weight: s
 FILTER_BITS = 1 << 25
 
 
-def likely_in(left: DataFrame, right: DataFrame, keys: list[str], hash_cols: list[str] | None = None) -> DataFrame:
+def likely_in(left: DataFrame, right: DataFrame, keys: list[str], left_keys: list[str] | None = None, mark: str | None = None) -> DataFrame:
     """``left`` without most rows whose keys don't occur in ``right``: a bitmap of hashed keys, of bounded size, is broadcast.
+    With ``mark``, all rows, and a column of that name tells which would be left.
 
     Used in front of a join that would deal out all of a wide table for a few of its rows.
     """
     place = lambda names: F.pmod(F.xxhash64(*names), F.lit(FILTER_BITS)) + 1
     bits = right.select(place(keys).alias("x")).select(F.bitmap_bucket_number("x").alias("__bucket"), F.bitmap_bit_position("x").alias("bit"))
     maps = bits.repartition("__bucket").groupBy("__bucket").agg(F.bitmap_construct_agg("bit").alias("__map"))
-    rows = left.withColumn("__x", place(hash_cols or keys)).withColumn("__bucket", F.bitmap_bucket_number("__x")).join(F.broadcast(maps), "__bucket")
+    rows = left.withColumn("__x", place(left_keys or keys)).withColumn("__bucket", F.bitmap_bucket_number("__x")).join(F.broadcast(maps), "__bucket", "left")
     bit = "cast(conv(hex(substring(__map, cast(bitmap_bit_position(__x) DIV 8 AS int) + 1, 1)), 16, 10) AS int)"
-    return rows.filter(F.expr(f"(shiftright({bit}, cast(bitmap_bit_position(__x) % 8 AS int)) & 1) = 1")).drop("__x", "__bucket", "__map")
+    inside = F.expr(f"coalesce((shiftright({bit}, cast(bitmap_bit_position(__x) % 8 AS int)) & 1) = 1, false)")
+    return (rows.withColumn(mark, inside) if mark else rows.filter(inside)).drop("__x", "__bucket", "__map")
 
 
 def null_safe_key(column: Column) -> Column:

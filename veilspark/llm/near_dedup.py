@@ -175,13 +175,14 @@ def with_texts(pairs: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str,
     inside = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
     keys = written(rows.join(inside, "row", "left_semi").select("row", "k", "th"), "nd-keys")
     texts = docs.select(null_safe_key(F.col(id_col)).alias("k"), text.alias("text")).withColumn("th", F.xxhash64("text"))
-    texts = likely_in(texts, keys, ["k", "th"]).join(keys, ["k", "th"]).select("row", "text")
+    # Joins of texts are by merging at every size: what moves grows with the input, and hot documents come in copies.
+    texts = likely_in(texts, keys, ["k", "th"]).join(keys.hint("merge"), ["k", "th"]).select("row", "text")
     texts = written(texts.dropDuplicates(["row"]) if keys.count() < texts.count() else texts, "nd-texts")
     degree = written(pairs.groupBy("b").agg(F.count("*").alias("n")).withColumn("copies", F.ceil(F.col("n") / SALT_ROWS).cast("int")), "nd-degree")
     salted = join_per_key(pairs, degree, ["b"], "n").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int"))
-    ours = salted.join(texts.withColumnsRenamed({"row": "a", "text": "text_a"}), "a")
+    ours = salted.join(texts.withColumnsRenamed({"row": "a", "text": "text_a"}).hint("merge"), "a")
     theirs = texts.withColumnsRenamed({"row": "b", "text": "text_b"}).join(degree, "b").select("b", "text_b", F.explode(F.expr("sequence(0, copies - 1)")).alias("salt"))
-    return ours.join(theirs, ["b", "salt"]).select("a", "b", "text_a", "text_b")
+    return ours.join(theirs.hint("merge"), ["b", "salt"]).select("a", "b", "text_a", "text_b")
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -216,7 +217,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     repeated = out.groupBy("k", "th").agg(F.count("*").alias("n")).filter("n > 1")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.withColumns({"__k": null_safe_key(F.col(id_col)), "__th": F.xxhash64(text)})
-    kept = keyed.join(losers.withColumnsRenamed({"k": "__k", "th": "__th"}), ["__k", "__th"], "left_anti")
+    # Rows that the bitmap lets pass are joined; all others are no losers and stay where they are.
+    marked = likely_in(keyed, losers, ["k", "th"], ["__k", "__th"], "__maybe")
+    maybe = marked.filter("__maybe").join(losers.withColumnsRenamed({"k": "__k", "th": "__th"}).hint("merge"), ["__k", "__th"], "left_anti")
+    kept = marked.filter("NOT __maybe").unionByName(maybe)
     if repeated.limit(1).count():
         kept = kept.dropDuplicates(["__k", "__th"])
     return kept.select(*docs.columns)
