@@ -3,10 +3,14 @@
 A document is its sequence of occurrence-labelled shingles of five words (a document of fewer words is one shingle).
 Each of SKETCHES sketches takes the TAKEN labelled shingles of least hash and keeps them in text order, so that two
 documents share a sketch the likelier, the smaller their edit distance. Sharing a sketch makes candidates: a sketch's
-documents are paired with its least, its greatest and one pseudo-random member, never with each other. Candidates are
-verified by aligning their shingle sequences within the band that the threshold leaves; similarity is the length of the
-longest common subsequence over that of the longer sequence (labelled shingles occur once, so it is a longest increasing
-run of places). Classes are the connected components of verified links and of equal texts.
+documents are first paired with its least, its greatest and one pseudo-random member. Candidates are verified by aligning
+their shingle sequences within the band that the threshold leaves; similarity is the length of the longest common
+subsequence over that of the longer sequence (labelled shingles occur once, so it is a longest increasing run of places).
+Where a sketch's documents are still of several classes, the rest is exact: a similarity of at least SIMILARITY needs so
+many common shingles that two documents share one of their few rarest (in any order that all documents keep to), so the
+documents of all such sketches are paired by their rarest shingles, across classes, and verified as well. The order comes
+from a sample; it decides the work and not the result. Classes are the connected components of verified links and of
+equal texts.
 
 Equal texts count once until the end, in whatever number. Texts without a word link to none but equal ones. A null text
 is an empty one; null ids sort first and stay null; repeated ids are told apart by text; an empty table gives no rows;
@@ -33,6 +37,8 @@ SIMILARITY = 0.8
 SKETCHES, TAKEN = 16, 2
 #: Pairs that meet one copy of their common document's text.
 SALT_ROWS = 128
+#: Sampled documents, and the shingles common among them that are told from rare ones.
+SAMPLE_ROWS, COMMON_SHINGLES = 300, 200_000
 _A = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -168,16 +174,21 @@ def candidates(reps: DataFrame) -> DataFrame:
     return written(pairs.distinct(), "nd-pairs")
 
 
-def with_texts(pairs: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(a, b, text_a, text_b) of pairs. Texts of the documents in pairs are dealt once; a document in many pairs comes in
-    several copies, so no task gets all of its pairs."""
+def texts_of(inside: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, text) of the distinct rows ``inside``: a written table."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    inside = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
     keys = written(rows.join(inside, "row", "left_semi").select("row", "k", "th"), "nd-keys")
     texts = docs.select(null_safe_key(F.col(id_col)).alias("k"), text.alias("text")).withColumn("th", F.xxhash64("text"))
     # Joins of texts are by merging at every size: what moves grows with the input, and hot documents come in copies.
     texts = likely_in(texts, keys, ["k", "th"]).join(keys.hint("merge"), ["k", "th"]).select("row", "text")
-    texts = written(texts.dropDuplicates(["row"]) if keys.count() < texts.count() else texts, "nd-texts")
+    return written(texts.dropDuplicates(["row"]) if keys.count() < texts.count() else texts, "nd-texts")
+
+
+def with_texts(pairs: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(a, b, text_a, text_b) of pairs. Texts of the documents in pairs are dealt once; a document in many pairs comes in
+    several copies, so no task gets all of its pairs."""
+    inside = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
+    texts = texts_of(inside, rows, docs, id_col, text_col)
     degree = written(pairs.groupBy("b").agg(F.count("*").alias("n")).withColumn("copies", F.ceil(F.col("n") / SALT_ROWS).cast("int")), "nd-degree")
     salted = join_per_key(pairs, degree, ["b"], "n").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int"))
     ours = salted.join(texts.withColumnsRenamed({"row": "a", "text": "text_a"}).hint("merge"), "a")
@@ -185,13 +196,82 @@ def with_texts(pairs: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str,
     return ours.join(theirs.hint("merge"), ["b", "salt"]).select("a", "b", "text_a", "text_b")
 
 
+def _rarest(common: np.ndarray):
+    """A function giving (key, row, class, n) for the shingles of which documents of at least SIMILARITY share one: the
+    first of each in the order of ``common`` (ascending shingles of a sample, and how many documents of it hold them)."""
+    values, held = common
+
+    @_errstate
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 200):
+                batch = whole.slice(at, 200)
+                keys, sizes = [np.zeros(0, np.int64)], []
+                for text in batch.column(2).to_pylist():
+                    labels = labelled(shingles(word_hashes(text or "")))
+                    first = len(labels) - int(np.ceil(SIMILARITY * len(labels) - 1e-9)) + 1 if len(labels) else 0
+                    signed = labels.astype(np.int64)
+                    place = np.minimum(np.searchsorted(values, signed), max(len(values) - 1, 0))
+                    often = np.where(values[place] == signed, held[place], 0) if len(values) else np.zeros(len(signed), np.int64)
+                    keys.append(signed[np.lexsort((signed, often))[:first]])
+                    sizes.append((len(keys[-1]), len(labels)))
+                repeat = np.repeat(np.arange(batch.num_rows), [k for k, _ in sizes])
+                n = pa.array([n for _, n in sizes], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), batch.column(0).take(pa.array(repeat)), batch.column(1).take(pa.array(repeat)), n.take(pa.array(repeat))], ["key", "row", "class", "n"])
+
+    return run
+
+
+@_errstate
+def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(labelled(shingles(word_hashes(text or ""))).astype(np.int64))], ["key"])
+
+
+def _pairs_by_key(keyed: DataFrame) -> DataFrame:
+    """Distinct (a, b), a > b: all rows of one key and different classes that their lengths allow. A key's rows are cut into
+    blocks and every two blocks meet in a group of their own, so no task gets all pairs of a key."""
+    blocks = keyed.groupBy("key").agg(F.count("*").alias("rows"), F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi")
+    blocks = written(blocks.select("key", "rows", F.ceil(F.col("rows") / SALT_ROWS).cast("int").alias("blocks")), "nd-blocks")
+    rows = written(join_per_key(keyed, blocks, ["key"], "rows").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")), "nd-blocked")
+    one = rows.select("key", F.col("block").alias("x"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("y"), *[F.col(c).alias(f"{c}1") for c in ("row", "class", "n")])
+    two = rows.select("key", F.explode(F.expr("sequence(0, block)")).alias("x"), F.col("block").alias("y"), *[F.col(c).alias(f"{c}2") for c in ("row", "class", "n")])
+    met = one.join(two.hint("merge"), ["key", "x", "y"]).filter(f"class1 <> class2 AND (x < y OR row1 < row2) AND least(n1, n2) >= {SIMILARITY} * greatest(n1, n2) - 1e-6")
+    return met.select(F.greatest("row1", "row2").alias("a"), F.least("row1", "row2").alias("b")).distinct()
+
+
+def open_pairs(reps: DataFrame, compared: DataFrame, links: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
+    """Pairs (a, b) not compared yet, among them all of one sketch that may be alike and aren't of one class; None if there are none."""
+    parts = components(links, tag="nd-parts").withColumnRenamed("node", "row")
+    banded = reps.select("row", "bands").join(parts, "row", "left").select("row", F.coalesce("component", "row").alias("class"), F.explode("bands").alias("band"))
+    banded = written(banded, "nd-classed-bands")
+    # Of up to three documents, all pairs have been compared.
+    left = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")).filter("n > 3 AND lo < hi")
+    left = written(left.select("band", "n"), "nd-open")
+    members = written(join_per_key(banded, left, ["band"], "n").select("row", "class").distinct(), "nd-members")
+    if not members.limit(1).count():
+        return None
+    texts = texts_of(members.select("row"), reps, docs, id_col, text_col)
+    sample = texts.orderBy(F.xxhash64("row")).limit(SAMPLE_ROWS).select("text").mapInArrow(_labels, "key long")
+    common = sample.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), "key").limit(COMMON_SHINGLES).collect()
+    order = np.array(sorted((r["key"], r["n"]) for r in common), dtype=np.int64).reshape(-1, 2).T
+    keyed = texts.join(members.hint("merge"), "row").select("row", "class", "text").mapInArrow(_rarest(order), "key long, row long, class long, n long")
+    known = compared.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    return written(_pairs_by_key(written(keyed, "nd-rarest")).join(known, ["a", "b"], "left_anti"), "nd-open-pairs")
+
+
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(row, k, th, class_row, class_id, class_rows, n_links) of every row."""
     rows = sketched(docs, id_col, text_col)
     copies = written(rows.groupBy("same").agg(F.min("row").alias("rep"), F.count("*").alias("n")), "nd-copies")
     reps = written(rows.join(copies.select(F.col("rep").alias("row")), "row", "left_semi"), "nd-reps")
     pairs = candidates(reps)
-    links = written(with_texts(pairs, reps, docs, id_col, text_col).mapInArrow(_verified, "a long, b long, similarity double"), "nd-links")
+    verified = lambda some, tag: written(with_texts(some, reps, docs, id_col, text_col).mapInArrow(_verified, "a long, b long, similarity double"), tag)
+    links = verified(pairs, "nd-links")
+    left = open_pairs(reps, pairs, links, docs, id_col, text_col)
+    if left is not None:
+        links = links.unionByName(verified(left, "nd-more-links"))
     links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     parts = components(links, tag="nd-components")
     degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
