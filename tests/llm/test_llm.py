@@ -395,6 +395,25 @@ def test_cuts_don_t_depend_on_surroundings():
             assert set(passages.cuts(hashes).tolist()) == want
 
 
+def test_edited_passages_share_a_band():
+    """Passages of 50 to 60 words with a word changed, left out or put in, in other surroundings."""
+    rng = random.Random(12)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    tried = 0
+    with np.errstate(over="ignore"):
+        for _ in range(600):
+            one = words(rng.randint(50, 60))
+            at = rng.randrange(len(one))
+            two = one[:at] + words(rng.randint(0, 2)) + one[at + rng.randint(0, 1) :]
+            a, b = (set(near_dedup.shingles(near_dedup.word_hashes(" ".join(x))).tolist()) for x in (one, two))
+            if min(len(one), len(two)) < passages.LEAST_WORDS or len(a & b) < 0.8 * len(a | b):
+                continue
+            tried += 1
+            here, there = (passages.bands(" ".join(words(80) + x + words(80)))[0] for x in (one, two))
+            assert len(np.intersect1d(here, there))
+    assert tried > 300
+
+
 # --- 8: packing ---------------------------------------------------------------------------------------------------------------
 
 
