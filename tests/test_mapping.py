@@ -90,3 +90,16 @@ def test_streams(spark, tmp_path):
     texts = {r["doc_id"]: r["text"] for r in spark.read.option("recursiveFileLookup", "true").parquet(f"{tmp_path}/out").collect()}
     assert texts == {1: "Mail an Email-1", 2: "nochmal Email-1 und Email-2"}
     assert detect_stream.latest(spark, f"{tmp_path}/map").count() == 2
+
+
+def test_large_mappings_give_what_small_ones_give(spark, monkeypatch):
+    """Short terms inside words, terms that only a replacement makes, capitals, terms without letters, nulls."""
+    entries = [("EU", "Ort-1"), ("Ort-1 Bank", "Firma-7"), ("Bank", "Haus"), ("7-Haus", "x"), ("a", "€€"), ("€€", "Z"), ("§", "Par"), ("Müller", "Person-1"), ("Bankhaus", "EU Bank")]
+    mapping = spark.createDataFrame([(o, n, True) for o, n in entries], "original string, surrogate string, confirmed boolean")
+    texts = ["EUR und NEU", "die EU Bank", "Bankhaus MÜLLER, Müller", "bank BANK a§a", "", None, "Ort-1 Person-1 Haus x Par Z", "Firma-7-Bank", "nichts"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    runs = [lambda: s.encode(docs, mapping), lambda: s.decode(docs, mapping), lambda: s.preview(docs, mapping), lambda: s.highlight(docs, mapping)]
+    norm = lambda df: {r["doc_id"]: list(r) for r in df.collect()}
+    small = [norm(run()) for run in runs]
+    monkeypatch.setattr(s, "MAX_ENTRIES", 3)
+    assert [norm(run()) for run in runs] == small

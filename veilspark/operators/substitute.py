@@ -1,41 +1,69 @@
 """Rewriting texts by a mapping, both ways, with counts; and where its terms stand.
 
 The confirmed entries, longest first, are one array that every task folds over its texts. Up to MAX_ENTRIES entries it is
-broadcast (its size is checked first); larger mappings are cut down for each document to the entries whose first word
-stands in it, by a join on words.
+broadcast (its size is checked first); larger mappings are cut down for each document to the entries that stand in it, by
+a join on short pieces of their runs of letters and digits. Where entries are folded, those that stand in a text only
+after a replacement are added, until no text that the fold passes through holds another entry: what is left out could
+not have changed anything.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilspark.llm.common import written
+
 #: A mapping of more entries isn't broadcast.
 MAX_ENTRIES = 50_000
 _PAIRS = "array<struct<o: string, n: string>>"
+_ORDER = "(a, b) -> CASE WHEN a.l <> b.l THEN b.l - a.l WHEN a.p.o < b.p.o THEN -1 WHEN a.p.o > b.p.o THEN 1 WHEN a.p.n < b.p.n THEN -1 WHEN a.p.n > b.p.n THEN 1 ELSE 0 END"
 
 
 def _pairs(mapping: DataFrame, search: str, put: str) -> DataFrame:
     pair = F.struct(F.col(search).alias("o"), F.col(put).alias("n"))
     kept = mapping.filter("confirmed").filter(F.length(search) > 0).select(F.octet_length(search).alias("l"), pair.alias("p"))
-    order = "(a, b) -> CASE WHEN a.l <> b.l THEN b.l - a.l WHEN a.p.o < b.p.o THEN -1 WHEN a.p.o > b.p.o THEN 1 WHEN a.p.n < b.p.n THEN -1 WHEN a.p.n > b.p.n THEN 1 ELSE 0 END"
-    return kept.agg(F.expr(f"transform(array_sort(collect_list(struct(l, p)), {order}), x -> x.p)").alias("__pairs"))
+    return kept.agg(F.expr(f"transform(array_sort(collect_list(struct(l, p)), {_ORDER}), x -> x.p)").alias("__pairs"))
+
 
+def _runs(column: str) -> Column:
+    return F.expr(rf"regexp_extract_all({column}, r'[\p{{L}}\p{{N}}]+', 0)")
 
-def with_pairs(docs: DataFrame, mapping: DataFrame, search: str, put: str, text_col: str) -> DataFrame:
-    """``docs`` with __pairs: entries to look for, longest first."""
+
+def _found(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """Distinct (__row, o, n): the terms in each of ``texts`` (__row, __t)."""
+    # Any match of a term holds the term's longest run of letters and digits, so at least one of the text's runs contains
+    # it; terms are found by the first three characters of that run (fewer, if it is shorter), texts by all such pieces.
+    pieces = F.transform(_runs("__t"), lambda w: F.flatten(F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.array(*[F.substring(w, i, F.lit(k)) for k in (1, 2, 3)]))))
+    # The empty piece is for terms without any letter or digit.
+    keyed = texts.select("__row", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.flatten(pieces)))).alias("g")).distinct()
+    return keyed.join(terms, "g").join(texts, "__row").filter(F.expr("contains(__t, o)")).select("__row", "o", "n").distinct()
+
+
+def with_pairs(docs: DataFrame, mapping: DataFrame, search: str, put: str, text_col: str, text: str | None = None, new: str | None = None) -> DataFrame:
+    """``docs`` with __pairs: entries to look for, longest first. They are looked for in ``text`` (an expression, ``text_col``
+    by default) and, if ``new`` tells what an entry ``e`` puts in its place, in what it becomes."""
     confirmed = mapping.filter("confirmed").filter(F.length(search) > 0)
     if confirmed.limit(MAX_ENTRIES + 1).count() <= MAX_ENTRIES:
         return docs.join(F.broadcast(_pairs(mapping, search, put)))  # one row
-    # Any match of a term holds the term's longest run of letters and digits, so at least one of the text's runs contains
-    # it; terms are found by the first three characters of that run.
-    runs = lambda c: F.expr(rf"regexp_extract_all({c}, r'[\p{{L}}\p{{N}}]+', 0)")
-    terms = confirmed.select(F.col(search).alias("o"), F.col(put).alias("n")).withColumn("g", F.substring(F.element_at(F.array_sort(runs("o"), lambda a, b: F.length(b) - F.length(a)), 1), 1, 3))
-    keyed = docs.withColumn("__row", F.monotonically_increasing_id())
-    grams = keyed.select("__row", F.explode(F.array_distinct(F.flatten(F.transform(runs(text_col), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.substring(w, i, F.lit(3))))))).alias("g"))
-    hits = grams.join(terms, "g").join(keyed.select("__row", F.col(text_col).alias("__t")), "__row").filter(F.expr("contains(__t, o)"))
-    found = hits.select("__row", "o", "n").distinct().groupBy("__row").agg(F.expr("transform(array_sort(collect_list(struct(octet_length(o) AS l, struct(o, n) AS p)), (a, b) -> CASE WHEN a.l <> b.l THEN b.l - a.l WHEN a.p.o < b.p.o THEN -1 WHEN a.p.o > b.p.o THEN 1 ELSE 0 END), x -> x.p)").alias("__pairs"))
-    return keyed.join(found, "__row", "left").drop("__row")
+    longest = F.element_at(F.array_sort(_runs("o"), lambda a, b: F.length(b) - F.length(a)), 1)
+    terms = confirmed.select(F.col(search).alias("o"), F.col(put).alias("n"))
+    terms = terms.withColumn("g", F.when(F.size(_runs("o")) > 0, F.substring(longest, 1, 3)).otherwise(""))
+    keyed = written(docs.withColumn("__row", F.monotonically_increasing_id()), "sub-docs")
+    found = written(_found(keyed.select("__row", F.expr(text or text_col).alias("__t")), terms), "sub-found")
+    while True:
+        # As many rows of a term as the mapping has, like the broadcast array.
+        listed = found.join(terms.groupBy("o", "n").agg(F.count("*").alias("times")), ["o", "n"]).withColumn("__", F.explode(F.expr("sequence(1, times)")))
+        pairs = listed.groupBy("__row").agg(F.expr(f"transform(array_sort(collect_list(struct(octet_length(o) AS l, struct(o, n) AS p)), {_ORDER}), x -> x.p)").alias("__pairs"))
+        out = keyed.join(pairs, "__row", "left").withColumn("__pairs", F.coalesce("__pairs", F.expr(f"cast(array() AS {_PAIRS})")))
+        if new is None:
+            return out.drop("__row")
+        passed = f"aggregate(coalesce(__pairs, cast(array() AS {_PAIRS})), array({text_col}), (a, e) -> CASE WHEN contains(element_at(a, -1), e.o) THEN concat(a, array(replace(element_at(a, -1), e.o, {new}))) ELSE a END)"
+        texts = out.filter("size(__pairs) > 0").select("__row", F.explode(F.expr(passed)).alias("__t"))
+        more = written(_found(texts, terms).join(found, ["__row", "o", "n"], "left_anti"), "sub-more")
+        if not more.limit(1).count():
+            return out.drop("__row")
+        found = written(found.unionByName(more), "sub-found")
 
 
 def _fold(text: str, count: str, put: str) -> str:
@@ -57,7 +85,7 @@ def encode(docs: DataFrame, mapping: DataFrame, text_col: str = "text", strict:
     that changed the text, how often its surrogate stands there afterwards (``strict``: how often its original stood
     there before). Null text stays null."""
     count = _times("a.t", "e.o") if strict else f"CASE WHEN r <> a.t THEN {_times('r', 'e.n')} ELSE 0 END"
-    return _done(with_pairs(docs, mapping, "original", "surrogate", text_col), _fold(text_col, count, "e.n"), text_col, docs.columns)
+    return _done(with_pairs(docs, mapping, "original", "surrogate", text_col, new="e.n"), _fold(text_col, count, "e.n"), text_col, docs.columns)
 
 
 def decode(docs: DataFrame, mapping: DataFrame, text_col: str = "text", strict: bool = False) -> DataFrame:
@@ -67,7 +95,7 @@ def decode(docs: DataFrame, mapping: DataFrame, text_col: str = "text", strict:
     if not strict:
         put = r"replace(regexp_replace(regexp_replace(replace(e.n, '$$', chr(1)), r'\$\{0\}|\$0(?![A-Za-z0-9_])', chr(2)), r'\$\{[^}]*\}|\$[A-Za-z0-9_]+', ''), chr(1), '$')"
         put = f"replace({put}, chr(2), e.o)"
-    return _done(with_pairs(docs, mapping, "surrogate", "original", text_col), _fold(text_col, _times("a.t", "e.o"), put), text_col, docs.columns)
+    return _done(with_pairs(docs, mapping, "surrogate", "original", text_col, new=put), _fold(text_col, _times("a.t", "e.o"), put), text_col, docs.columns)
 
 
 def preview(docs: DataFrame, mapping: DataFrame, mode: str = "encode", text_col: str = "text") -> DataFrame:
@@ -82,7 +110,7 @@ def preview(docs: DataFrame, mapping: DataFrame, mode: str = "encode", text_col:
 def highlight(docs: DataFrame, mapping: DataFrame, mode: str = "encode", text_col: str = "text") -> DataFrame:
     """``docs`` with spans (characters): terms in any case, the longest first, none overlapping."""
     search, put = ("original", "surrogate") if mode == "encode" else ("surrogate", "original")
-    rows = with_pairs(docs, mapping.withColumn(search, F.lower(search)), search, put, text_col)
+    rows = with_pairs(docs, mapping.withColumn(search, F.lower(search)), search, put, text_col, f"lower({text_col})")
     low = f"lower({text_col})"
     places = f"filter(transform(sequence(1, greatest(length({low}), 1)), i -> i - 1), i -> substring({low}, i + 1, length(e.o)) = e.o)"
     spans = f"aggregate(flatten(transform(filter(__pairs, e -> contains({low}, e.o)), e -> transform({places}, s -> named_struct('start', s, 'end', s + length(e.o), 'term', e.o)))), cast(array() AS array<struct<start: int, end: int, term: string>>), (acc, x) -> CASE WHEN exists(acc, k -> x.start < k.end AND x.end > k.start) THEN acc ELSE concat(acc, array(x)) END, acc -> array_sort(acc))"
