@@ -14,10 +14,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_per_key, written
+from .common import hot_keys, join_per_key, written
 
 #: What separates words.
 SPACE = r"[\x20\x09-\x0D]"
@@ -89,115 +89,123 @@ def base_failed() -> Column:
     return F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words")
 
 
-def _quantile(rows: DataFrame, keys: list[str], bin_col: str, q: float, out: str) -> DataFrame:
-    """The least bin at which a key's cumulative share reaches q. Bins are bounded in number; counts merge before the shuffle."""
-    from pyspark.sql import Window
+def _dot(one: str, two: str) -> str:
+    return f"aggregate(zip_with({one}, {two}, (a, b) -> a * b), 0D, (s, v) -> s + v)"
 
-    counts = rows.groupBy(*keys, bin_col).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*keys)
-    running = counts.withColumn("r", F.sum("c").over(w.orderBy(bin_col).rowsBetween(Window.unboundedPreceding, 0))).withColumn("t", F.sum("c").over(w))
-    return running.filter(F.col("r") >= F.lit(q) * F.col("t")).groupBy(*keys).agg(F.min(bin_col).alias(out))
 
+def _distance(x: str, m: str, l: str, p: int) -> Column:
+    """The squared Mahalanobis distance: forward substitution with the rows of the Cholesky factor, one after another in ``l``."""
+    row = "slice({l}, cast(i * (i + 1) / 2 AS int) + 1, i)".format(l=l)
+    y = f"aggregate(sequence(0, {p - 1}), cast(array() AS array<double>), (y, i) -> concat(y, array(({x}[i] - {m}[i] - {_dot(row, 'y')}) / {l}[cast(i * (i + 3) / 2 AS int)])))"
+    return F.expr(f"aggregate({y}, 0D, (s, v) -> s + v * v)")
 
-def _distance(rows: DataFrame, p: int) -> DataFrame:
-    """``rows`` with d2, from centres m_i and Cholesky factors l_i_j: forward substitution."""
-    for i in range(p):
-        rest = F.col(f"x{i}") - F.col(f"m{i}")
-        for j in range(i):
-            rest = rest - F.col(f"l{i}_{j}") * F.col(f"y{j}")
-        rows = rows.withColumn(f"y{i}", rest / F.col(f"l{i}_{i}"))
-    total = sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(p)), F.lit(0.0))
-    return rows.withColumn("d2", total).drop(*[f"y{i}" for i in range(p)])
 
+def _bin(d2: Column) -> Column:
+    return F.floor(F.log2(d2 + F.lit(2.0**-10)) * FINE).cast("int")
 
-def _bin() -> Column:
-    return F.floor(F.log2(F.col("d2") + F.lit(2.0**-10)) * FINE).cast("int")
+
+def _sums(p: int) -> dict[str, Column]:
+    """What a centre and a covariance need; sums of such sums serve as well."""
+    return {"n": F.count("*")} | {f"s{i}": F.sum(F.col("x")[i]) for i in range(p)} | {f"s{i}_{j}": F.sum(F.col("x")[i] * F.col("x")[j]) for i in range(p) for j in range(i + 1)}
 
 
 def _factor(sums: DataFrame, p: int, floors: list[float], scale: float) -> DataFrame:
-    """Centres and Cholesky factors from sums over a subset; the floors' squares are added to the diagonal."""
-    n = F.col("n")
-    out = sums.withColumns({f"m{i}": F.col(f"s{i}") / n for i in range(p)})
-    for i in range(p):
-        for j in range(i + 1):
-            value = (F.col(f"s{i}_{j}") / n - F.col(f"m{i}") * F.col(f"m{j}")) * scale
-            if i == j:
-                value = F.greatest(value, F.lit(0.0)) + floors[i] ** 2
-            for k in range(j):
-                value = value - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
-            out = out.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(value, F.lit(floors[i] ** 2 / 4))) if i == j else value / F.col(f"l{j}_{j}"))
-    return out.select("fit", "size", *[f"m{i}" for i in range(p)], *[f"l{i}_{j}" for i in range(p) for j in range(i + 1)])
+    """Centres m and Cholesky factors l, row after row, from sums over a subset; the floors' squares are added to the diagonal."""
+    n, cells = F.col("n"), [(i, j) for i in range(p) for j in range(i + 1)]
+    value = lambda i, j: (F.col(f"s{i}_{j}") / n - F.col(f"s{i}") / n * F.col(f"s{j}") / n) * scale
+    cov = F.array(*[F.greatest(value(i, j), F.lit(0.0)) + floors[i] ** 2 if i == j else value(i, j) for i, j in cells])
+    out = sums.select("fit", "size", "hot", F.array(*[F.col(f"s{i}") / n for i in range(p)]).alias("m"), cov.alias("cov"))
+    rows, columns, least = (f"array({', '.join(str(v) for v in values)})" for values in ([i for i, _ in cells], [j for _, j in cells], [f"{floors[i] ** 2 / 4!r}D" for i, _ in cells]))
+    # Cell after cell: what is left of the covariance, over the diagonal of its column or as the root of itself.
+    upto = lambda which: f"slice(l, cast({which}[t] * ({which}[t] + 1) / 2 AS int) + 1, {columns}[t])"
+    rest = f"(cov[t] - {_dot(upto(rows), upto(columns))})"
+    cell = f"CASE WHEN {rows}[t] = {columns}[t] THEN sqrt(greatest({rest}, {least}[t])) ELSE {rest} / l[cast({columns}[t] * ({columns}[t] + 3) / 2 AS int)] END"
+    return out.withColumn("l", F.expr(f"aggregate(sequence(0, {len(cells) - 1}), cast(array() AS array<double>), (l, t) -> concat(l, array({cell})))")).drop("cov")
 
 
 def _vectors(stats: DataFrame, lang_col: str, source_col: str, features: dict) -> DataFrame:
-    """``stats`` with the group's name g, the language's and the vector x0, x1, ..."""
+    """``stats`` with the group's name __q_g, the language's and the vector."""
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("\x00"))
     source = F.coalesce(F.col(source_col).cast("string"), F.lit("\x00"))
-    return stats.withColumns({"g": F.concat_ws("|", lang, source), "g_lang": lang} | {f"x{i}": F.expr(sql).cast("double") for i, (sql, _) in enumerate(features.values())})
+    return stats.withColumns({"__q_g": F.concat_ws("|", lang, source), "__q_lang": lang, "__q_x": F.array(*[F.expr(sql).cast("double") for sql, _ in features.values()])})
 
 
-def estimates(stats: DataFrame, lang_col: str = "lang", source_col: str = "source", features: dict | None = None, min_group: int = MIN_GROUP, h: float = H) -> DataFrame:
-    """A row a group: g, its rows size0, the pool's size and robust centre and Cholesky factor. ``stats`` is read a few times."""
-    features = features or FEATURES
+def _with_fit(rows: DataFrame, fit: DataFrame) -> DataFrame:
+    """``rows`` with their fit's columns: hot fits, HOT_KEYS at most, by broadcast, the others by an ordinary join."""
+    hot = rows.filter("hot").join(F.broadcast(fit.filter("hot").drop("hot", "size")), "fit")
+    return hot.unionByName(rows.filter("NOT hot").join(fit.filter("NOT hot").drop("hot", "size"), "fit"))
+
+
+def _medians(rows: DataFrame, vector: Column) -> DataFrame:
+    """(fit, size, hot, mids): for each fit the median of every component, on the grid. Bins merge before the shuffle."""
+    bins = F.transform(vector, lambda v: F.floor(v * GRID).cast("int"))
+    counts = rows.select("fit", "size", "hot", F.posexplode(bins).alias("i", "b")).groupBy("fit", "size", "hot", "i", "b").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("fit", "size", "hot", "i").orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
+    mids = counts.withColumn("upto", upto).filter("upto >= 0.5 * size").groupBy("fit", "size", "hot", "i").agg((F.min("b") / GRID).alias("mid"))
+    return mids.groupBy("fit", "size", "hot").agg(F.array_sort(F.collect_list(F.struct("i", "mid"))).alias("mids")).withColumn("mids", F.col("mids.mid"))
+
+
+def estimates(vectors: DataFrame, features: dict, min_group: int = MIN_GROUP, h: float = H) -> DataFrame:
+    """A row a group: __q_g, its rows __q_rows, the pool's size __q_size and robust centre __q_m and Cholesky factor __q_l.
+
+    ``vectors`` is read a few times. Every step is one small plan over narrow rows: squared distances are counted and summed
+    in bins, so that the sums over the nearest share h come from the same pass as the share itself.
+    """
     p, floors = len(features), [x[1] for x in features.values()]
     if p % 2:
         raise ValueError("an even number of features is needed")
-    named = written(_vectors(stats, lang_col, source_col, features).select("g", "g_lang", *[f"x{i}" for i in range(p)]), "q-features")
+    named = vectors.select(F.col("__q_g").alias("g"), F.col("__q_lang").alias("g_lang"), F.col("__q_x").alias("x"))
 
-    sizes = named.groupBy("g", "g_lang").agg(F.count("*").alias("size0"))
-    small = sizes.filter(F.col("size0") < min_group)
-    by_lang = small.groupBy("g_lang").agg(F.sum("size0").alias("lang_size"))
-    fits = sizes.join(by_lang, "g_lang", "left").select("g", "size0", F.when(F.col("size0") >= min_group, F.concat(F.lit("g|"), "g")).when(F.col("lang_size") >= min_group, F.concat(F.lit("l|"), "g_lang")).otherwise("all").alias("fit"))
+    sizes = named.groupBy("g", "g_lang").agg(F.count("*").alias("rows"))
+    by_lang = sizes.filter(F.col("rows") < min_group).groupBy("g_lang").agg(F.sum("rows").alias("lang_size"))
+    fits = sizes.join(by_lang, "g_lang", "left").select("g", "rows", F.when(F.col("rows") >= min_group, F.concat(F.lit("g|"), "g")).when(F.col("lang_size") >= min_group, F.concat(F.lit("l|"), "g_lang")).otherwise("all").alias("fit"))
     fits = written(fits, "q-fits")
-    rows = written(join_per_key(named, fits, ["g"], "size0").drop("g", "g_lang", "size0"), "q-rows")
+    pools = fits.groupBy("fit").agg(F.sum("rows").alias("size"))
+    hot = hot_keys(pools, ["fit"], "size").select("fit", F.lit(True).alias("hot"))
+    fits = written(fits.join(pools, "fit").join(F.broadcast(hot), "fit", "left").withColumn("hot", F.coalesce("hot", F.lit(False))), "q-pools")
+    rows = written(join_per_key(named, fits, ["g"], "rows").select("fit", "size", "hot", "x"), "q-rows")
 
     # Start: medians and MADs on a grid.
-    def medians(source: DataFrame) -> DataFrame:
-        long = source.select("fit", F.posexplode(F.array(*[F.floor(F.col(f"x{i}") * GRID).cast("int") for i in range(p)])).alias("i", "b"))
-        mids = _quantile(long, ["fit", "i"], "b", 0.5, "mid")
-        return mids.groupBy("fit").agg(*[F.max(F.when(F.col("i") == i, F.col("mid") / GRID)).alias(f"m{i}") for i in range(p)])
-
-    count = rows.groupBy("fit").agg(F.count("*").alias("size"))
-    centre = written(medians(rows).join(count, "fit"), "q-median")
-    apart = join_per_key(rows, centre, ["fit"], "size").select("fit", *[F.abs(F.col(f"x{i}") - F.col(f"m{i}")).alias(f"x{i}") for i in range(p)])
-    spread = medians(apart).select("fit", *[F.greatest(F.col(f"m{i}") * 1.4826, F.lit(floors[i])).alias(f"l{i}_{i}") for i in range(p)])
-    fit = centre.join(spread, "fit").withColumns({f"l{i}_{j}": F.lit(0.0) for i in range(p) for j in range(i)})
-    fit = written(fit, "q-start")
+    centre = written(_medians(rows, F.col("x")).withColumnRenamed("mids", "m"), "q-median")
+    spread = _medians(_with_fit(rows, centre), F.expr("zip_with(x, m, (v, c) -> abs(v - c))"))
+    diagonal = F.array(*[F.greatest(F.col("mids")[i] * 1.4826, F.lit(floors[i])) if i == j else F.lit(0.0) for i in range(p) for j in range(i + 1)])
+    fit = written(centre.join(spread.select("fit", diagonal.alias("l")), "fit"), "q-start")
 
     inner = chi2_quantile(h, p)
-    scale = h / chi2_cdf(inner, p + 2)
-    for step in range(STEPS + 1):
-        at = _distance(join_per_key(rows, fit, ["fit"], "size"), p).withColumn("b", _bin())
-        if step < STEPS:
-            limit = written(fit.join(_quantile(at, ["fit"], "b", h, "limit"), "fit").select("fit", "limit", "size"), "q-limit")
-            chosen = _distance(join_per_key(rows, fit.join(limit.select("fit", "limit"), "fit"), ["fit"], "size"), p).withColumn("b", _bin()).filter("b <= limit")
-            factor = scale
-        else:  # reweighting: all rows within the usual quantile
-            edge = chi2_quantile(0.975, p)
-            chosen = at.filter(F.col("d2") <= edge)
-            factor = 0.975 / chi2_cdf(edge, p + 2)
-        sums = chosen.groupBy("fit").agg(F.count("*").alias("n"), F.first("size").alias("size"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(p)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i in range(p) for j in range(i + 1)])
-        fit = written(_factor(sums, p, floors, factor), "q-fit")
-    return written(fits.join(fit, "fit").drop("fit"), "q-groups")
+    for _ in range(STEPS):
+        at = _with_fit(rows, fit).withColumn("b", _bin(_distance("x", "m", "l", p)))
+        binned = at.groupBy("fit", "size", "hot", "b").agg(*[c.alias(k) for k, c in _sums(p).items()])
+        before = F.sum("n").over(Window.partitionBy("fit", "size", "hot").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
+        nearest = binned.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < F.lit(h) * F.col("size"))
+        fit = written(_factor(nearest.groupBy("fit", "size", "hot").agg(*[F.sum(k).alias(k) for k in _sums(p)]), p, floors, h / chi2_cdf(inner, p + 2)), "q-fit")
+    # Reweighting: all rows within the usual quantile.
+    edge = chi2_quantile(0.975, p)
+    near = _with_fit(rows, fit).filter(_distance("x", "m", "l", p) <= edge)
+    fit = written(_factor(near.groupBy("fit", "size", "hot").agg(*[c.alias(k) for k, c in _sums(p).items()]), p, floors, 0.975 / chi2_cdf(edge, p + 2)), "q-fit")
+    groups = fits.select("g", "rows", "fit").join(fit.drop("hot"), "fit").drop("fit")
+    return written(groups.select(*[F.col(a).alias(f"__q_{a}") for a in ("g", "rows", "size", "m", "l")]), "q-groups")
 
 
 def _verdict(at: DataFrame, features: dict | None, min_group: int, cutoff: float) -> DataFrame:
     p = len(features or FEATURES)
-    out = _distance(at, p).withColumn("kept", ~F.col("base_failed") & ~((F.col("size") >= min_group) & (F.col("d2") > chi2_quantile(cutoff, p))))
-    return out.drop("g", "g_lang", "size", "size0", *[f"m{i}" for i in range(p)], *[f"l{i}_{j}" for i in range(p) for j in range(i + 1)], *[f"x{i}" for i in range(p)])
+    out = at.withColumn("d2", _distance("__q_x", "__q_m", "__q_l", p)).withColumn("kept", ~F.col("base_failed") & ~((F.col("__q_size") >= min_group) & (F.col("d2") > chi2_quantile(cutoff, p))))
+    return out.drop(*[c for c in out.columns if c.startswith("__q_")])
 
 
 def judged_rows(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", features: dict | None = None, min_group: int = MIN_GROUP, h: float = H, cutoff: float = CUTOFF) -> DataFrame:
-    """``docs`` with the statistics, d2 and kept. Texts are written once beside their statistics and joined with the
-    groups' estimates, whose size the optimizer knows: by broadcast if it is small, else by shuffles that split hot groups."""
-    stats = written(statistics(docs, text_col).withColumn("base_failed", base_failed()), "q-docs")
-    groups = estimates(stats, lang_col, source_col, features, min_group, h)
-    return _verdict(_vectors(stats, lang_col, source_col, features or FEATURES).join(groups, "g"), features, min_group, cutoff)
+    """``docs`` with the statistics, base_failed, d2 and kept, which take the place of columns so named; all others stay,
+    unless they begin with __q_. Texts are written once beside their statistics and joined with the groups' estimates,
+    whose size the optimizer knows: by broadcast if it is small, else by shuffles that split hot groups."""
+    features = features or FEATURES
+    stats = written(_vectors(statistics(docs, text_col).withColumn("base_failed", base_failed()), lang_col, source_col, features), "q-docs")
+    groups = estimates(stats, features, min_group, h)
+    return _verdict(stats.join(groups, "__q_g"), features, min_group, cutoff)
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", features: dict | None = None, min_group: int = MIN_GROUP, h: float = H, cutoff: float = CUTOFF) -> DataFrame:
     """One row a document: doc_id, lang, source, the statistics, base_failed, d2, kept. Rules and estimate see every document."""
+    features = features or FEATURES
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
-    stats = written(statistics(rows).drop("text").withColumn("base_failed", base_failed()), "q-stats")
-    groups = estimates(stats, features=features, min_group=min_group, h=h)
-    return _verdict(join_per_key(_vectors(stats, "lang", "source", features or FEATURES), groups, ["g"], "size0"), features, min_group, cutoff)
+    stats = written(_vectors(statistics(rows).drop("text").withColumn("base_failed", base_failed()), "lang", "source", features), "q-stats")
+    groups = estimates(stats, features, min_group, h)
+    return _verdict(join_per_key(stats, groups, ["__q_g"], "__q_rows"), features, min_group, cutoff)
