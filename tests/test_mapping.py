@@ -29,6 +29,21 @@ def test_add_bulk(spark):
     assert m.add_bulk(m.empty(spark), items(spark, [("x", "ort", None)]).limit(0)).count() == 0
 
 
+def test_labels_step_over_taken_numbers(spark):
+    """Many new ones, numbers taken in runs and alone, by the mapping and by hand: one after the other in brute force."""
+    base = mapped(spark, [("a", "Person-3", True), ("b", "Person-2", True)]).unionByName(spark.createDataFrame([("c", "c", "Person-5", "ort", True), ("d", "d", "Person-6", "ort", True), ("e", "e", "Person-9", "ort", True)], m.SCHEMA))
+    given = [("x", "person", "Person-11"), ("y", "person", "Person-40")]
+    new = [(f"n{i:03}", "person", None) for i in range(60)]
+    got = {r["original"]: r["surrogate"] for r in m.add_bulk(base, items(spark, given + new)).collect()}
+    taken, number = {2, 3, 5, 6, 9, 11, 40}, 3
+    for name, *_ in new:
+        number += 1
+        while number in taken:
+            number += 1
+        assert got[name] == f"Person-{number}"
+    assert m.next_labels(base).filter("category = 'person'").first()["surrogate"] == "Person-4"
+
+
 def test_update_remove_import_list(spark):
     base = mapped(spark, [("Anna", "Person-1", True), ("bob", "Person-2", True)])
     patch = spark.createDataFrame([("anna", None, None, False)], "id string, surrogate string, category string, confirmed boolean")
@@ -49,6 +64,9 @@ def test_save_and_load(spark, tmp_path):
     base = mapped(spark, [("Anna", "Person-1", True), ("bob", "Person-2", False)])
     m.save(base, f"{tmp_path}/store")
     assert sorted(map(tuple, m.load(spark, f"{tmp_path}/store").collect())) == sorted(map(tuple, base.collect()))
+    many = spark.range(25_000).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("n"), "id").alias("original"), F.lit("s").alias("surrogate"), F.lit("ort").alias("category"), F.lit(True).alias("confirmed"))
+    m.save(many, f"{tmp_path}/many", field="replacement")
+    assert m.load(spark, f"{tmp_path}/many", field="replacement").exceptAll(many).count() == 0 and m.load(spark, f"{tmp_path}/many", field="replacement").count() == 25_000
 
 
 def test_rewriting(spark):

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon
+from ..storage import numbered
 
 SCHEMA = "id string, original string, surrogate string, category string, confirmed boolean"
 
@@ -47,13 +48,14 @@ def counters(mapping: DataFrame, kept: DataFrame | None = None) -> DataFrame:
 def next_labels(mapping: DataFrame, kept: DataFrame | None = None) -> DataFrame:
     """(category, surrogate) that the next entry of each category would get."""
     spark = mapping.sparkSession
-    used = mapping.select("surrogate").distinct()
-    cats = category_dim(spark).join(counters(mapping, kept), "label", "left").select("category", "label", F.coalesce("n", F.lit(0)).alias("n"))
-    counted = mapping.count()  # at most so many numbers are taken by surrogates given by hand
-    tried = cats.join(used.withColumn("label", F.regexp_extract("surrogate", "^(.*)-[0-9]+$", 1)).groupBy("label").agg(F.count("*").alias("c")), "label", "left")
-    tried = tried.withColumn("surrogate", F.explode(F.expr(f"transform(sequence(n + 1, n + 1 + least(coalesce(c, 0), {counted})), k -> concat(label, '-', k))")))
-    free = tried.join(used, "surrogate", "left_anti").withColumn("k", F.expr("cast(substring(surrogate, length(label) + 2) AS int)"))
-    return free.groupBy("category").agg(F.min_by("surrogate", "k").alias("surrogate"))
+    # Counters hold the highest number of a category's own entries; entries of other categories may have taken the next ones.
+    cats = category_dim(spark).join(counters(mapping, kept), "label", "left").select("category", "label", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    taken = mapping.select(F.regexp_extract("surrogate", "^(.*)-([0-9]+)$", 1).alias("label"), F.expr("try_cast(regexp_extract(surrogate, '^(.*)-([0-9]+)$', 2) AS bigint)").alias("k"), "surrogate").filter("k IS NOT NULL AND surrogate = concat(label, '-', k)").select("label", "k").distinct()
+    above = numbered(taken.join(F.broadcast(cats), "label").filter("k > n"), "label", ["k"], "j")
+    # The first j whose number isn't n + j is free.
+    run = above.groupBy("label").agg(F.min(F.when(F.col("k") != F.col("n") + F.col("j"), F.col("j"))).alias("gap"), F.count("*").alias("c"))
+    free = cats.join(run, "label", "left").withColumn("k", F.col("n") + F.coalesce("gap", F.col("c") + 1, F.lit(1)))
+    return free.select("category", F.concat_ws("-", "label", F.col("k").cast("string")).alias("surrogate"))
 
 
 def add_bulk(mapping: DataFrame, items: DataFrame, kept: DataFrame | None = None) -> DataFrame:
@@ -68,13 +70,14 @@ def add_bulk(mapping: DataFrame, items: DataFrame, kept: DataFrame | None = None
     used = mapping.select("surrogate").unionByName(given.select("surrogate")).distinct()
     used = used.withColumn("label", F.regexp_extract("surrogate", "^(.*)-([0-9]+)$", 1)).withColumn("k", F.expr("try_cast(regexp_extract(surrogate, '^(.*)-([0-9]+)$', 2) AS int)")).filter("k IS NOT NULL AND surrogate = concat(label, '-', k)")
     start = counters(mapping, kept)
-    above = used.join(start, "label", "left").filter("k > coalesce(n, 0)").groupBy("label").agg(F.sort_array(F.collect_set("k")).alias("taken"))
-    order = Window.partitionBy("label").orderBy("position")
-    numbered = blank.withColumn("i", F.row_number().over(order)).join(start, "label", "left").join(above, "label", "left")
-    # The i-th free number above n: each taken number at or below the running value moves it up by one.
-    free = F.expr("aggregate(coalesce(taken, cast(array() AS array<int>)), cast(coalesce(n, 0) + i AS int), (k, t) -> CASE WHEN t <= k THEN k + 1 ELSE k END)")
-    numbered = numbered.withColumn("surrogate", F.concat_ws("-", "label", free.cast("string")))
-    new = given.select("original", "surrogate", "category").unionByName(numbered.select("original", "surrogate", "category"))
+    above = used.join(start, "label", "left").filter("k > coalesce(n, 0)").select("label", "k", F.coalesce("n", F.lit(0)).alias("n"))
+    # The i-th new label comes after the j-th taken number if j's place among free numbers lies before i: in the merged
+    # order of both, a label's row number is how far above the highest number it stands.
+    arrived = numbered(blank.join(start, "label", "left"), "label", ["position", "original"], "i").withColumn("taken", F.lit(0))
+    gaps = numbered(above, "label", ["k"], "j").select("label", (F.col("k") - F.col("n") - F.col("j")).alias("i"), F.lit(1).alias("taken"), F.col("k").cast("string").alias("original"))
+    free = numbered(arrived.unionByName(gaps, allowMissingColumns=True), "label", ["i", "taken", "original"], "r").filter("taken = 0")
+    named = free.withColumn("surrogate", F.concat_ws("-", "label", (F.coalesce("n", F.lit(0)) + F.col("r")).cast("string")))
+    new = given.select("original", "surrogate", "category").unionByName(named.select("original", "surrogate", "category"))
     return mapping.unionByName(new.select(entry_id(F.col("original")).alias("id"), "original", "surrogate", "category", F.lit(True).alias("confirmed")))
 
 
@@ -112,15 +115,23 @@ def from_entities(rows: DataFrame) -> DataFrame:
     return items.select("original", "category", F.lit(None).cast("string").alias("surrogate"), F.lower("original").alias("position"))
 
 
-def save(mapping: DataFrame, path: str) -> None:
-    """A JSON document: version, created_at (days), entries by lower(original)."""
-    entries = F.array_sort(F.collect_list(F.struct(F.lower("original").alias("k"), F.struct("id", "original", F.col("surrogate").alias("alias"), "category", "confirmed").alias("e"))))
-    document = mapping.agg(entries.alias("x")).select(F.lit(1).alias("version"), F.concat(F.lit("unix:"), F.unix_date(F.current_date()).cast("string")).alias("created_at"), F.transform("x", lambda y: y["e"]).alias("entries"))
-    document.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+#: Entries of one document of a saved mapping.
+DOCUMENT_ENTRIES = 10_000
 
 
-def load(spark: SparkSession, path: str) -> DataFrame:
-    """The mapping that a document holds; the version is not looked at."""
-    schema = "version int, created_at string, entries array<struct<id: string, original: string, alias: string, category: string, confirmed: boolean>>"
-    rows = spark.read.schema(schema).option("multiLine", "true").json(path).select(F.explode("entries").alias("e"))
-    return rows.select("e.id", "e.original", F.col("e.alias").alias("surrogate"), "e.category", "e.confirmed")
+def save(mapping: DataFrame, path: str, field: str = "surrogate") -> None:
+    """JSON documents, one a line, of DOCUMENT_ENTRIES entries or so: version, created_at (days), entries by lower(original).
+    ``field`` names the surrogate. A small mapping is one document."""
+    parts = max(1, -(-mapping.count() // DOCUMENT_ENTRIES))
+    entry = F.struct("id", "original", F.col("surrogate").alias(field), "category", "confirmed")
+    dealt = mapping.select(F.pmod(F.xxhash64(F.lower("original")), F.lit(parts)).alias("part"), F.struct(F.lower("original").alias("k"), entry.alias("e")).alias("x"))
+    documents = dealt.groupBy("part").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    made = documents.select(F.lit(1).alias("version"), F.concat(F.lit("unix:"), F.unix_date(F.current_date()).cast("string")).alias("created_at"), F.transform("x", lambda y: y["e"]).alias("entries"))
+    made.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def load(spark: SparkSession, path: str, field: str = "surrogate", pretty: bool = False) -> DataFrame:
+    """The mapping that documents hold; the version is not looked at. ``pretty``: one document a file, over many lines."""
+    schema = f"version int, created_at string, entries array<struct<id: string, original: string, `{field}`: string, category: string, confirmed: boolean>>"
+    rows = spark.read.schema(schema).option("multiLine", str(pretty).lower()).json(path).select(F.explode("entries").alias("e"))
+    return rows.select("e.id", "e.original", F.col("e")[field].alias("surrogate"), "e.category", "e.confirmed")

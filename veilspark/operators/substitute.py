@@ -1,7 +1,7 @@
 """Rewriting texts by a mapping, both ways, with counts; and where its terms stand.
 
-The confirmed entries, longest first, are one array that every task folds over its texts. Up to MAX_ENTRIES entries it is
-broadcast (its size is checked first); larger mappings are cut down for each document to the entries that stand in it, by
+The confirmed entries, longest first, are one array that every task folds over its texts. Up to MAX_ENTRIES entries of
+MAX_BYTES together it is broadcast (its size is checked first); larger mappings are cut down for each document to the entries that stand in it, by
 a join on short pieces of their runs of letters and digits. Where entries are folded, those that stand in a text only
 after a replacement are added, until no text that the fold passes through holds another entry: what is left out could
 not have changed anything.
@@ -12,10 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import written
+from ..storage import written
 
-#: A mapping of more entries isn't broadcast.
-MAX_ENTRIES = 50_000
+#: A mapping of more entries, or of more bytes in originals and surrogates, isn't broadcast.
+MAX_ENTRIES, MAX_BYTES = 50_000, 8_000_000
 _PAIRS = "array<struct<o: string, n: string>>"
 _ORDER = "(a, b) -> CASE WHEN a.l <> b.l THEN b.l - a.l WHEN a.p.o < b.p.o THEN -1 WHEN a.p.o > b.p.o THEN 1 WHEN a.p.n < b.p.n THEN -1 WHEN a.p.n > b.p.n THEN 1 ELSE 0 END"
 
@@ -44,7 +44,8 @@ def with_pairs(docs: DataFrame, mapping: DataFrame, search: str, put: str, text_
     """``docs`` with __pairs: entries to look for, longest first. They are looked for in ``text`` (an expression, ``text_col``
     by default) and, if ``new`` tells what an entry ``e`` puts in its place, in what it becomes."""
     confirmed = mapping.filter("confirmed").filter(F.length(search) > 0)
-    if confirmed.limit(MAX_ENTRIES + 1).count() <= MAX_ENTRIES:
+    size = confirmed.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(search) + F.coalesce(F.octet_length(put), F.lit(0))), F.lit(0)).alias("bytes")).first()
+    if size["n"] <= MAX_ENTRIES and size["bytes"] <= MAX_BYTES:
         return docs.join(F.broadcast(_pairs(mapping, search, put)))  # one row
     longest = F.element_at(F.array_sort(_runs("o"), lambda a, b: F.length(b) - F.length(a)), 1)
     terms = confirmed.select(F.col(search).alias("o"), F.col(put).alias("n"))

@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from ..operators import mapping as m
 from ..operators import resolve, substitute
 from ..operators.rules import Passes
+from ..storage import written
 
 
 def spread(docs: DataFrame) -> DataFrame:
     """``docs`` over at least as many partitions as there are cores: detection is all computation."""
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+    spark = docs.sparkSession
+    cores, files = spark.sparkContext.defaultParallelism, docs.inputFiles()
+    # A file gives at least one partition; few small files give few, and only then rows are dealt out.
+    return docs.repartition(cores) if len(files) < cores else docs
 
 
 def detect(docs: DataFrame, passes: Passes | None = None, text_col: str = "text", ner_col: str | None = None) -> DataFrame:
@@ -26,9 +29,10 @@ def accepted(rows: DataFrame, threshold: float = 0.75) -> DataFrame:
 
 
 def pseudonymize(docs: DataFrame, mapping: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", passes: Passes | None = None) -> tuple[DataFrame, DataFrame]:
-    """(encoded documents with entities and replacements_made, the grown mapping)."""
+    """(encoded documents with entities and replacements_made, the grown mapping). Detection, the dear part, and the mapping
+    run once: both are written to the shared folder and read from there."""
     spark = docs.sparkSession
-    found = detect(docs, passes, text_col)
+    found = written(detect(docs, passes, text_col), "detected")
     rows = accepted(resolve.entity_rows(found, id_col))
-    grown = m.add_bulk(mapping if mapping is not None else m.empty(spark), m.from_entities(rows))
+    grown = written(m.add_bulk(mapping if mapping is not None else m.empty(spark), m.from_entities(rows)), "mapping")
     return substitute.encode(found, grown, text_col), grown

@@ -16,6 +16,7 @@ from ..operators import mapping as m
 from ..operators import ner, resolve, substitute
 from ..operators.extract import extract
 from ..operators.rules import Passes
+from ..storage import written
 from .pipeline import pseudonymize, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -333,6 +334,10 @@ def _email_items(spark, sf_dir):
     return m.from_entities(rows)
 
 
+def _email_map(spark, sf_dir):
+    return written(m.add_bulk(m.empty(spark), _email_items(spark, sf_dir)), "emails")
+
+
 _EMAILS = r"SELECT DISTINCT unnest(regexp_extract_all(text, '(?i)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b')) AS original FROM documents"
 _MAP = f"WITH o AS ({_EMAILS}), f AS (SELECT min(original) AS original, lower(original) AS k FROM o GROUP BY lower(original)), s AS (SELECT original, 'Email-' || row_number() OVER (ORDER BY k) AS surrogate FROM f)"
 
@@ -358,11 +363,12 @@ def mapping_numbering(spark, sf_dir):
     return _customer_map(spark, sf_dir).select("original", "surrogate")
 
 
-@query("SELECT c_name AS original, CASE WHEN c_custkey < 100 THEN 'old' ELSE 'new' END AS surrogate FROM customer WHERE c_custkey < 200")
+@query("SELECT CASE WHEN c_custkey % 2 = 0 THEN upper(c_name) ELSE c_name END AS original, CASE WHEN c_custkey % 2 = 0 THEN 'old' ELSE 'new' END AS surrogate FROM customer")
 def mapping_import(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer").select(m.entry_id(F.col("c_name")).alias("id"), F.col("c_name").alias("original"), "c_custkey", F.lit("person").alias("category"), F.lit(True).alias("confirmed"))
-    make = lambda cond, s: rows.filter(cond).select("id", "original", F.lit(s).alias("surrogate"), "category", "confirmed")
-    return m.import_entries(make("c_custkey < 100", "old"), make("c_custkey < 200", "new")).select("original", "surrogate")
+    """Half of the customers are known, written in capitals; all are imported."""
+    rows = table(spark, sf_dir, "customer").select(m.entry_id(F.col("c_name")).alias("id"), "c_name", "c_custkey", F.lit("person").alias("category"), F.lit(True).alias("confirmed"))
+    make = lambda df, original, s: df.select("id", F.expr(original).alias("original"), F.lit(s).alias("surrogate"), "category", "confirmed")
+    return m.import_entries(make(rows.filter("c_custkey % 2 = 0"), "upper(c_name)", "old"), make(rows, "c_name", "new")).select("original", "surrogate")
 
 
 @query("SELECT c_name AS original, c_custkey % 2 = 0 AS confirmed, CASE WHEN c_custkey % 5 = 0 THEN 'Z' ELSE 'S' END AS surrogate FROM customer")
@@ -402,7 +408,7 @@ _ENCODED = (
 
 @query(_ENCODED + " SELECT doc_id, md5(text) AS digest FROM enc")
 def encode_text(spark, sf_dir):
-    grown = m.add_bulk(m.empty(spark), _email_items(spark, sf_dir))
+    grown = _email_map(spark, sf_dir)
     return substitute.encode(_docs(spark, sf_dir), grown).select("doc_id", F.md5("text").alias("digest"))
 
 
@@ -410,21 +416,21 @@ def encode_text(spark, sf_dir):
 def decode_round_trip(spark, sf_dir):
     """Encoded documents decoded again, by surrogates that no text holds."""
     items = _email_items(spark, sf_dir).withColumn("surrogate", F.concat(F.lit("<<"), F.md5("original"), F.lit(">>")))
-    grown = m.add_bulk(m.empty(spark), items)
+    grown = written(m.add_bulk(m.empty(spark), items), "emails")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("text").alias("before"))
-    there = substitute.encode(docs, grown).drop("replacements_made")
+    there = written(substitute.encode(docs, grown).drop("replacements_made"), "encoded")
     return substitute.decode(there, grown).select("doc_id", F.expr("text = before").alias("same"))
 
 
 @query(f"WITH o AS ({_EMAILS}) SELECT doc_id, original AS term, cast((length(text) - length(replace(text, original, ''))) / length(original) AS BIGINT) AS n FROM documents, o WHERE contains(text, original)")
 def preview_spans(spark, sf_dir):
-    grown = m.add_bulk(m.empty(spark), _email_items(spark, sf_dir))
+    grown = _email_map(spark, sf_dir)
     return substitute.preview(_docs(spark, sf_dir), grown).select("doc_id", F.explode("spans").alias("s")).groupBy("doc_id", F.col("s.term").alias("term")).agg(F.count("*").alias("n"))
 
 
 @query()
 def highlight_spans(spark, sf_dir):
-    grown = m.add_bulk(m.empty(spark), _email_items(spark, sf_dir))
+    grown = _email_map(spark, sf_dir)
     return substitute.highlight(_docs(spark, sf_dir), grown).select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.start", "s.end", "s.term")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import mapping as m
 from ..operators import resolve, substitute
 from ..plans.pipeline import accepted
+from ..storage import dropped, written
 
 
 def entities(stream: DataFrame, *ids: str) -> DataFrame:
@@ -34,15 +35,15 @@ def pseudonymize(stream: DataFrame, mapping_path: str, output_path: str, checkpo
 
     def batch(docs: DataFrame, number: int) -> None:
         spark = docs.sparkSession
-        docs = docs.persist()
         base = latest(spark, mapping_path)
-        items = m.from_entities(accepted(resolve.entity_rows(resolve.detect(docs, text_col=text_col), id_col)))
+        found = written(resolve.detect(docs, text_col=text_col), "stream")
+        items = m.from_entities(accepted(resolve.entity_rows(found, id_col)))
         version = f"{mapping_path}/version-{number:012d}"
         before = [r for r in base.inputFiles() if f"version-{number:012d}" in r]
         if not before:
             m.add_bulk(base, items).write.mode("overwrite").parquet(version)
         grown = spark.read.schema(m.SCHEMA).parquet(version)
-        substitute.encode(docs, grown, text_col).write.mode("overwrite").parquet(f"{output_path}/batch-{number:012d}")
-        docs.unpersist()
+        substitute.encode(found.drop("entities"), grown, text_col).write.mode("overwrite").parquet(f"{output_path}/batch-{number:012d}")
+        dropped(found)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
