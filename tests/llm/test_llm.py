@@ -407,6 +407,10 @@ def test_every_occurrence_is_aligned():
         assert found(words(20) + p[:30] + words(40) + p + words(5), b) == [(90, 146, 10, 66)]
         assert found(words(20) + p[10:40] + words(40) + p[:28] + words(1) + p[29:] + words(5), b) == [(90, 146, 10, 66)]
         assert found(["wort"] * 3000, ["wort"] * 2000)[0][2:] == (0, 2000)
+        many = [x for _ in range(12) for x in words(3) + p]
+        links = passages.common_passages(*[near_dedup.shingles(near_dedup.word_hashes(" ".join(many)))] * 2)
+        assert len(links) >= 144 and len(passages.spanning(links)) < len({x[:2] for x in links}) + len({x[2:4] for x in links})
+        assert {x[:2] for x in passages.spanning(links)} == {x[:2] for x in links} and {x[2:4] for x in passages.spanning(links)} == {x[2:4] for x in links}
 
 
 def test_edited_passages_share_a_band():
@@ -428,6 +432,40 @@ def test_edited_passages_share_a_band():
     assert tried > 300
 
 
+def test_passages_around_boilerplate(spark):
+    """Pairs of texts that have a few words on both sides of what all texts share in common, verbatim and edited."""
+    rng = random.Random(14)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    for common, beyond, edit in ((46, 3, False), (40, 8, False), (40, 9, True)):
+        shared, texts = words(common), []
+        for _ in range(100):
+            passage = words(beyond) + shared + words(beyond)
+            texts.append(words(rng.randint(0, 80)) + passage + words(rng.randint(0, 80)))
+            if edit:
+                passage[rng.randrange(beyond, beyond + common)] = "edited"
+            texts.append(words(rng.randint(0, 80)) + passage + words(rng.randint(0, 80)))
+        docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+        told = defaultdict(set)
+        for r in passages.repeated_passages(docs).collect():
+            told[r["doc_id"]].add((r["class_doc_id"], r["class_start"]))
+        together = sum(bool(told[2 * i] & told[2 * i + 1]) for i in range(100))
+        with np.errstate(over="ignore"):
+            hashes = [near_dedup.shingles(near_dedup.word_hashes(" ".join(t))) for t in texts]
+            alike = sum(bool(passages.common_passages(hashes[2 * i], hashes[2 * i + 1])) for i in range(100))
+        assert together >= (95 if edit else 100) * alike / 100 and alike >= 90
+
+
+def test_passages_of_copies(spark):
+    """Copies of a text have its passages, too; they are removals."""
+    rng = random.Random(15)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    p = words(60)
+    one, two = " ".join(words(30) + p + words(5)), " ".join(p + words(40))
+    rows = passages.repeated_passages(spark.createDataFrame([(1, one), (2, one), (3, two), (4, one)], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["start_word"], r["end_word"], r["class_doc_id"], r["kept"]) for r in rows if r["kind"] == "passage") == [(1, 30, 90, 1, True), (2, 30, 90, 1, False), (3, 0, 60, 1, False), (4, 30, 90, 1, False)]
+    assert sorted((r["doc_id"], r["class_doc_id"], r["kept"]) for r in rows if r["kind"] == "copy") == [(1, 1, True), (2, 1, False), (4, 1, False)]
+
+
 # --- 8: packing ---------------------------------------------------------------------------------------------------------------
 
 

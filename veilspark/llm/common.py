@@ -1,13 +1,12 @@
-"""Pieces that several operators share: shared storage, skew-safe joins, connected components."""
+"""Pieces that several operators share: skew-safe joins, connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import dropped, new_folder, shared_dir, written  # noqa: F401
+
 #: At most this many keys are broadcast as hot; all other keys hold fewer rows than each of these.
 HOT_KEYS = 1000
 #: Keys with fewer rows than this are never treated as hot.
@@ -18,33 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset (tests), a new local one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = getattr(spark, "_veilspark_shared", None)
-        if not path:
-            path = spark._veilspark_shared = "file://" + tempfile.mkdtemp(prefix="veilspark-")
-    return path.rstrip("/")
-
-
-def new_folder(spark: SparkSession, tag: str) -> str:
-    """A fresh path below the shared folder, removed when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as a table in the shared folder: lineage ends there, so lost executors cost no recomputation, and the
-    optimizer knows its size."""
-    spark = df.sparkSession
-    path = new_folder(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def hot_keys(per_key: DataFrame, keys: list[str], weight: str) -> DataFrame:
     """The heaviest keys, at most HOT_KEYS of them whatever the input's size."""
     return per_key.filter(F.col(weight) >= HOT_ROWS).orderBy(F.desc(weight), *keys).limit(HOT_KEYS)
@@ -101,10 +73,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", tag: str = "compone
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("deg"))
         large = join_per_key(both, least, ["u"], "deg").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         large = written(large.distinct(), tag)
+        dropped(now)
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("deg"))
         joined = join_per_key(large, least, ["u"], "deg")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         now = written(small.filter("u <> v").distinct(), tag)
+        dropped(large)
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == tuple(seen):
             break

@@ -181,7 +181,9 @@ def texts_of(inside: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, t
     texts = docs.select(null_safe_key(F.col(id_col)).alias("k"), text.alias("text")).withColumn("th", F.xxhash64("text"))
     # Joins of texts are by merging at every size: what moves grows with the input, and hot documents come in copies.
     texts = likely_in(texts, keys, ["k", "th"]).join(keys.hint("merge"), ["k", "th"]).select("row", "text")
-    return written(texts.dropDuplicates(["row"]) if keys.count() < texts.count() else texts, "nd-texts")
+    found = written(texts, "nd-texts")
+    # Rows of one id and text find each other's text, too.
+    return written(found.dropDuplicates(["row"]), "nd-texts-once") if keys.count() < found.count() else found
 
 
 def with_texts(pairs: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -282,7 +284,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id, class_rows, n_links) of every row: class_id is the least id of the class, n_links counts verified links of the row's text to other texts."""
+    """(doc_id, class_id, class_rows, n_links) of every row: class_id is the least id of the class, n_links counts the links that were verified
+    between the row's text and others: to leaders and, where these left classes open, to texts that share rare shingles. Links
+    inside a class that follow from these are not looked for."""
     out = _classes(docs, id_col, text_col)
     id_of = lambda c: F.when(F.col(c) != -(2**63), F.col(c))
     return out.select(id_of("k").alias("doc_id"), id_of("first.k").alias("class_id"), "class_rows", "n_links")
