@@ -407,8 +407,8 @@ def test_every_occurrence_is_aligned():
         assert found(words(20) + p[:30] + words(40) + p + words(5), b) == [(90, 146, 10, 66)]
         assert found(words(20) + p[10:40] + words(40) + p[:28] + words(1) + p[29:] + words(5), b) == [(90, 146, 10, 66)]
         assert found(["wort"] * 3000, ["wort"] * 2000)[0][2:] == (0, 2000)
-        many = [x for _ in range(12) for x in words(3) + p]
-        links = passages.common_passages(*[near_dedup.shingles(near_dedup.word_hashes(" ".join(many)))] * 2)
+        many = [[x for _ in range(12) for x in words(30) + p] for _ in range(2)]
+        links = passages.common_passages(*(near_dedup.shingles(near_dedup.word_hashes(" ".join(t))) for t in many))
         assert len(links) >= 144 and len(passages.spanning(links)) < len({x[:2] for x in links}) + len({x[2:4] for x in links})
         assert {x[:2] for x in passages.spanning(links)} == {x[:2] for x in links} and {x[2:4] for x in passages.spanning(links)} == {x[2:4] for x in links}
 
