@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from veilspark.plans import checks  # noqa: F401
 from veilspark.plans.queries import QUERIES, SQL
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")

@@ -36,7 +36,7 @@ def roles(tokens: DataFrame) -> DataFrame:
 def softmax_argmax(logits: str) -> str:
     """SQL: struct (label index, probability) of an array of logits; the first of equal maxima."""
     top = f"array_max({logits})"
-    return f"named_struct('label', cast(array_position({logits}, {top}) - 1 AS int), 'conf', 1D / aggregate({logits}, 0D, (s, x) -> s + exp(cast(x - {top} AS double))))"
+    return f"named_struct('label', cast(array_position({logits}, {top}) - 1 AS int), 'conf', 1D / aggregate({logits}, 0D, (__s, __v) -> __s + exp(cast(__v - {top} AS double))))"
 
 
 def merge_tokens(tokens: DataFrame, texts: DataFrame | None = None, doc: str = "doc_id") -> DataFrame:

@@ -400,16 +400,17 @@ def next_label(spark, sf_dir):
     return m.next_labels(rows)
 
 
+#: Every entry in turn on the text as it is by then; the second field counts surrogates after an entry that changed it.
 _ENCODED = (
     _MAP + ", p AS (SELECT list([original, surrogate] ORDER BY strlen(original) DESC, original) AS pairs FROM s), "
-    "enc AS (SELECT doc_id, text AS before, list_reduce(list_prepend([text, ''], list_filter((SELECT pairs FROM p), lambda x: contains(text, x[1]))), lambda a, x: [replace(a[1], x[1], x[2]), '']) [1] AS text FROM documents)"
+    "enc AS (SELECT doc_id, list_reduce(list_prepend([text, '0'], (SELECT pairs FROM p)), lambda a, x: [replace(a[1], x[1], x[2]), CASE WHEN contains(a[1], x[1]) THEN "
+    "cast(cast(a[2] AS BIGINT) + (length(replace(a[1], x[1], x[2])) - length(replace(replace(a[1], x[1], x[2]), x[2], ''))) // length(x[2]) AS VARCHAR) ELSE a[2] END]) AS e FROM documents)"
 )
 
 
-@query(_ENCODED + " SELECT doc_id, md5(text) AS digest FROM enc")
+@query(_ENCODED + " SELECT doc_id, md5(e[1]) AS digest, cast(e[2] AS INTEGER) AS replacements_made FROM enc")
 def encode_text(spark, sf_dir):
-    grown = _email_map(spark, sf_dir)
-    return substitute.encode(_docs(spark, sf_dir), grown).select("doc_id", F.md5("text").alias("digest"))
+    return substitute.encode(_docs(spark, sf_dir), _email_map(spark, sf_dir)).select("doc_id", F.md5("text").alias("digest"), "replacements_made")
 
 
 @query("SELECT doc_id, true AS same FROM documents")
