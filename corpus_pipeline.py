@@ -1,4 +1,9 @@
-"""A corpus pipeline: each stage is a table of documents for the next one."""
+"""A corpus pipeline: each stage is a table of documents for the next one.
+
+Every stage takes the columns of documents, ignores others and gives no rows for an empty table. A null or short text has too
+few words and goes with the quality rules; null ids, languages and sources are kept as they are. Repeated rows are judged
+each by itself until near-dedup keeps one of them; of equal ids with different texts each is a document of its own.
+"""
 
 from __future__ import annotations
 
