@@ -1,9 +1,12 @@
 """WARC archives as a Spark data source: ``format("warc")`` reads and writes.
 
-Reading plans a partition a file, takes predicates on record type, target and record id before any payload is
-inflated, parses each record's headers first and seeks past the records that no predicate wants. Writing puts one
-gzip member a record, its length in the member's header (an extra field, ignored by other readers), and lists the
-files of successful tasks in a manifest, so files of lost or repeated attempts are never read.
+Reading plans a partition a file (with the option ``split_bytes``, one for so many bytes of a gzip file), takes predicates
+on record type, target and record id before any payload is inflated, parses each record's headers first and seeks past
+the records that no predicate wants. Members of other writers may hold several records and don't tell their length; what
+no predicate wants is inflated piece by piece there and not kept. Writing puts one gzip member a record, its length in the
+member's header (an extra field, ignored by other readers). Every commit lists the files of its successful tasks in a
+manifest of its own; readers take the union, so files of lost or repeated attempts are never read. A failed write removes
+its files; an overwrite removes what was listed before.
 
 Null payloads are empty payloads; null urls are left out of the record; repeated pages are written each; an empty
 table gives an empty archive; other columns of the input are ignored.
@@ -31,7 +34,8 @@ from .common import join_per_key, written
 
 WRITE_SCHEMA = "page_id long, url string, payload binary, record_type string, refers_to long"
 READ_SCHEMA = "record_id string, record_type string, target_uri string, page_id long, refers_to long, payload_bytes long, payload_digest string"
-MANIFEST = "_manifest.json"
+#: Names of manifests begin so.
+MANIFEST = "_manifest"
 #: A file ends after so many bytes, so one task can't make an archive that only one task can read.
 ROLL_BYTES = 256 << 20
 #: Records in a batch, and bytes after which a batch ends early.
@@ -72,6 +76,9 @@ class Record:
     block: bytes | None  # None: skipped
 
     def http(self) -> tuple[dict[str, str], bytes]:
+        """(headers, payload) of a block that holds an HTTP message; of any other, the block is the payload."""
+        if not self.headers.get("content-type", "application/http").startswith("application/http"):
+            return {}, self.block or b""
         head, _, payload = (self.block or b"").partition(b"\r\n\r\n")
         return _headers(head), payload
 
@@ -84,23 +91,26 @@ def _headers(head: bytes) -> dict[str, str]:
     return out
 
 
-def records(file, want=lambda headers: True) -> Iterator[Record]:
-    """Records of a seekable archive: gzip members (with or without lengths) or plain. ``want`` sees headers only."""
-    at, size = 0, file.size()
-    while at < size:
+def records(file, want=lambda headers: True, start: int = 0, end: int | None = None) -> Iterator[Record]:
+    """Records of a seekable archive: gzip members (with or without lengths) or plain. ``want`` sees headers only.
+    With ``start`` and ``end``, those of the gzip members that begin between them."""
+    size = file.size()
+    end = size if end is None else min(end, size)
+    at = _member_from(file, start, end) if start else 0
+    while at < end:
         file.seek(at)
-        start = file.read(12)
-        if start[:2] != b"\x1f\x8b":
+        first = file.read(12)
+        if first[:2] != b"\x1f\x8b":
             yield from _plain(file, at, size, want)
             return
         length, skip = None, 10
-        if start[3] & 4:
-            extra = file.read(struct.unpack("<H", start[10:12])[0])
+        if first[3] & 4:
+            extra = file.read(struct.unpack("<H", first[10:12])[0])
             skip = 12 + len(extra)
             if len(extra) == _LENGTHS.size and extra[:2] == b"SL":
                 length = _LENGTHS.unpack(extra)[2]
         if length is None:
-            at = yield from _unsized(file, at, size, want)
+            at = yield from _unsized(file, at, want)
             continue
         inflate, data = zlib.decompressobj(-15), b""
         left = length - skip - 8
@@ -116,19 +126,84 @@ def records(file, want=lambda headers: True) -> Iterator[Record]:
         at += length
 
 
-def _unsized(file, at: int, size: int, want) -> Iterator[Record]:
-    """A member of another writer: inflated whole to find its end."""
-    file.seek(at)
-    inflate, data, read = zlib.decompressobj(31), b"", 0
-    while not inflate.eof and at + read < size:
-        chunk = file.read(1 << 16)
-        read += len(chunk)
-        data += inflate.decompress(chunk)
-    head, _, body = data.partition(b"\r\n\r\n")
-    headers = _headers(head)
-    if headers and want(headers):
-        yield Record(headers, body[: int(headers.get("content-length", len(body)))])
-    return at + read - len(inflate.unused_data)
+def _member_from(file, at: int, end: int) -> int:
+    """The first place from ``at`` on where a gzip member begins that holds records; ``end`` if there is none."""
+    magic, overlap = b"\x1f\x8b\x08", 2
+    while at < end:
+        file.seek(at)
+        data = file.read(1 << 20)
+        found = data.find(magic)
+        while found >= 0 and at + found < end:
+            file.seek(at + found)
+            try:
+                if zlib.decompressobj(31).decompress(file.read(4096), 5) == b"WARC/":
+                    return at + found
+            except zlib.error:
+                pass  # bytes of a payload that look like a member's first ones
+            found = data.find(magic, found + 1)
+        at += max(len(data) - overlap, 1)
+    return end
+
+
+class _Inflated:
+    """The data of one gzip member of unknown length, inflated piece by piece."""
+
+    def __init__(self, file, at: int):
+        file.seek(at)
+        self.file, self.at, self.inflate, self.data = file, at, zlib.decompressobj(31), b""
+
+    def more(self) -> bool:
+        """Inflates further; false at the member's end."""
+        if self.inflate.eof:
+            return False
+        chunk = self.inflate.unconsumed_tail
+        if not chunk:
+            chunk = self.file.read(1 << 16)
+            self.at += len(chunk)
+        out = self.inflate.decompress(chunk, 1 << 20)
+        if not chunk and not out and not self.inflate.eof:
+            raise EOFError("the archive ends inside a gzip member")
+        self.data += out
+        return True
+
+    def until(self, mark: bytes) -> bytes | None:
+        """What precedes the mark, which is passed; None if the data end before."""
+        seen = 0
+        while (found := self.data.find(mark, seen)) < 0:
+            seen = max(0, len(self.data) - len(mark) + 1)
+            if not self.more():
+                return None
+        out, self.data = self.data[:found], self.data[found + len(mark) :]
+        return out
+
+    def take(self, n: int, keep: bool) -> bytes | None:
+        parts, left = [], n
+        while left:
+            if not self.data and not self.more():
+                raise EOFError("a record is shorter than its Content-Length")
+            part, self.data = self.data[:left], self.data[left:]
+            left -= len(part)
+            if keep:
+                parts.append(part)
+        return b"".join(parts) if keep else None
+
+    def end(self) -> int:
+        return self.at - len(self.inflate.unused_data)
+
+
+def _unsized(file, at: int, want) -> Iterator[Record]:
+    """All records of a member of another writer, which is inflated to find its end; returns that."""
+    member = _Inflated(file, at)
+    while (head := member.until(b"\r\n\r\n")) is not None:
+        # Records end with two line ends, which stand before the next one's head.
+        headers = _headers(head.lstrip(b"\r\n"))
+        if "content-length" not in headers:
+            continue
+        wanted = want(headers)
+        block = member.take(int(headers["content-length"]), wanted)
+        if wanted:
+            yield Record(headers, block)
+    return member.end()
 
 
 def _plain(file, at: int, size: int, want) -> Iterator[Record]:
@@ -157,10 +232,12 @@ def _page(uri: str | None) -> int | None:
 @dataclass
 class _File(InputPartition):
     path: str
+    start: int = 0
+    end: int | None = None
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, start: int = 0, end: int | None = None):
         super().__init__(path)
-        self.path = path
+        self.path, self.start, self.end = path, start, end
 
 
 @dataclass
@@ -175,6 +252,7 @@ _PUSHED = {"record_type": "warc-type", "target_uri": "warc-target-uri", "record_
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.payload, self.verify = options["path"], options.get("payload", "true") == "true", options.get("verify", "true") == "true"
+        self.split = int(options.get("split_bytes", 0))
         self.tests: list[tuple[str, str, tuple]] = []
 
     def pushFilters(self, filters):
@@ -193,12 +271,13 @@ class WarcReader(DataSourceReader):
 
     def partitions(self):
         store, root = fs.FileSystem.from_uri(self.path)
-        names = [i.path for i in store.get_file_info(fs.FileSelector(root, recursive=True)) if i.type == fs.FileType.File]
-        manifest = f"{root}/{MANIFEST}"
-        if manifest in names:
-            with store.open_input_stream(manifest) as f:
-                names = [f"{root}/{n}" for n in json.loads(f.read())]
-        return [_File(n) for n in sorted(names) if n.endswith((".warc", ".warc.gz"))] or [_File("")]
+        sizes = {i.path: i.size for i in store.get_file_info(fs.FileSelector(root, recursive=True)) if i.type == fs.FileType.File}
+        names = listed(store, sizes)
+        found = []
+        for name in sorted(n for n in (sizes if names is None else names) if n.endswith((".warc", ".warc.gz"))):
+            step = self.split if self.split and name.endswith(".gz") else None
+            found += [_File(name, at, at + step) for at in range(0, sizes[name], step)] if step else [_File(name)]
+        return found or [_File("")]
 
     def _want(self, headers: dict[str, str]) -> bool:
         for name, how, values in self.tests:
@@ -220,9 +299,10 @@ class WarcReader(DataSourceReader):
             return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)], names)
 
         with store.open_input_file(partition.path) as file:
-            for r in records(file, self._want):
+            for r in records(file, self._want, partition.start, partition.end):
                 http, payload = r.http()
-                kind, told = r.headers.get("warc-type"), (r.headers.get("warc-payload-digest") or "").removeprefix("sha1:")
+                kind, told = r.headers.get("warc-type"), r.headers.get("warc-payload-digest") or ""
+                told = told.removeprefix("sha1:") if told.startswith("sha1:") else ""
                 if kind == "revisit":
                     size, payload = int(http.get("content-length", 0)), None
                 else:
@@ -240,8 +320,8 @@ class WarcReader(DataSourceReader):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict[str, str]):
-        self.path, self.level, self.roll = options["path"], int(options.get("level", 3)), int(options.get("roll_bytes", ROLL_BYTES))
+    def __init__(self, options: dict[str, str], overwrite: bool = False):
+        self.path, self.level, self.roll, self.overwrite = options["path"], int(options.get("level", 3)), int(options.get("roll_bytes", ROLL_BYTES)), overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Done:
         store, root = fs.FileSystem.from_uri(self.path)
@@ -260,20 +340,52 @@ class WarcWriter(DataSourceArrowWriter):
                     if sent >= self.roll:
                         out.close()
                         out = None
-        finally:
             if out is not None:
                 out.close()
+        except BaseException:  # a task that fails leaves no files
+            if out is not None:
+                out.close()
+            self._removed(done.files)
+            raise
         return done
 
+    def _removed(self, names: list[str]) -> None:
+        store, root = fs.FileSystem.from_uri(self.path)
+        for name in names:
+            try:
+                store.delete_file(f"{root}/{name}")
+            except FileNotFoundError:
+                pass  # removed before
+
     def commit(self, messages):
         store, root = fs.FileSystem.from_uri(self.path)
         store.create_dir(root, recursive=True)
-        with store.open_output_stream(f"{root}/{MANIFEST}") as f:
+        before = [i.path for i in store.get_file_info(fs.FileSelector(root, recursive=True)) if i.type == fs.FileType.File] if self.overwrite else []
+        with store.open_output_stream(f"{root}/{MANIFEST}-{uuid.uuid4().hex}.json") as f:
             f.write(json.dumps(sorted(n for m in messages if m for n in m.files)).encode())
+        if self.overwrite:
+            manifests = [n for n in before if n.rsplit("/", 1)[-1].startswith(MANIFEST)]
+            gone = listed(store, before)
+            # Manifests go first: a reader sees files that are there.
+            self._removed([n.removeprefix(f"{root}/") for n in [*manifests, *(gone if gone is not None else before)]])
+
+    def abort(self, messages):
+        self._removed([n for m in messages if m for n in m.files])
+
+
+def listed(store: fs.FileSystem, names) -> list[str] | None:
+    """The files that the manifests among ``names`` list; None where there is no manifest (other writers' archives)."""
+    manifests = [n for n in names if n.rsplit("/", 1)[-1].startswith(MANIFEST)]
+    files = set()
+    for manifest in manifests:
+        with store.open_input_stream(manifest) as f:
+            files |= {f"{manifest.rsplit('/', 1)[0]}/{n}" for n in json.loads(f.read())}
+    return sorted(files) if manifests else None
 
 
 class WarcSource(DataSource):
-    """Options: path; payload (true: with the payload column); verify (true: digests are recomputed); level, roll_bytes (writing)."""
+    """Options: path; payload (true: with the payload column); verify (true: digests are recomputed); split_bytes (reading, 0: files
+    are whole; set it for large archives whose payloads don't hold archives themselves); level, roll_bytes (writing)."""
 
     @classmethod
     def name(cls):
@@ -286,7 +398,7 @@ class WarcSource(DataSource):
         return WarcReader(dict(self.options))
 
     def writer(self, schema: StructType, overwrite: bool):
-        return WarcWriter(dict(self.options))
+        return WarcWriter(dict(self.options), overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -306,9 +418,9 @@ def planned(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     return known.select("page_id", "url", "payload", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"))
 
 
-def write_archive(rows: DataFrame, path: str, **options: str) -> None:
+def write_archive(rows: DataFrame, path: str, mode: str = "append", **options: str) -> None:
     register(rows.sparkSession)
-    rows.write.format("warc").mode("append").options(**options).save(path)
+    rows.write.format("warc").mode(mode).options(**options).save(path)
 
 
 def read_archive(spark: SparkSession, path: str, **options: str) -> DataFrame:
