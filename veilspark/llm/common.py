@@ -47,10 +47,12 @@ def likely_in(left: DataFrame, right: DataFrame, keys: list[str], left_keys: lis
     """
     place = lambda names: F.pmod(F.xxhash64(*names), F.lit(FILTER_BITS)) + 1
     bits = right.select(place(keys).alias("x")).select(F.bitmap_bucket_number("x").alias("__bucket"), F.bitmap_bit_position("x").alias("bit"))
-    maps = bits.repartition("__bucket").groupBy("__bucket").agg(F.bitmap_construct_agg("bit").alias("__map"))
-    rows = left.withColumn("__x", place(left_keys or keys)).withColumn("__bucket", F.bitmap_bucket_number("__x")).join(F.broadcast(maps), "__bucket", "left")
-    bit = "cast(conv(hex(substring(__map, cast(bitmap_bit_position(__x) DIV 8 AS int) + 1, 1)), 16, 10) AS int)"
-    inside = F.expr(f"coalesce((shiftright({bit}, cast(bitmap_bit_position(__x) % 8 AS int)) & 1) = 1, false)")
+    maps = bits.repartition("__bucket").groupBy("__bucket").agg(F.bitmap_construct_agg("bit").alias("m"))
+    # As longs of eight bytes each: a row's test then reads one of them, where binary would be copied whole for every row.
+    longs = "transform(sequence(0, length(m) DIV 8 - 1), i -> cast(conv(hex(substring(m, cast(i * 8 + 1 AS int), 8)), 16, -10) AS bigint))"
+    maps = maps.select("__bucket", F.expr(longs).alias("__map"))
+    rows = left.withColumn("__x", place(left_keys or keys)).withColumn("__bucket", F.bitmap_bucket_number("__x")).withColumn("__x", F.bitmap_bit_position("__x")).join(F.broadcast(maps), "__bucket", "left")
+    inside = F.expr("coalesce((shiftright(element_at(__map, cast(__x DIV 64 AS int) + 1), cast((7 - (__x DIV 8) % 8) * 8 + __x % 8 AS int)) & 1) = 1, false)")
     return (rows.withColumn(mark, inside) if mark else rows.filter(inside)).drop("__x", "__bucket", "__map")
 
 
