@@ -39,7 +39,11 @@ SKETCHES, TAKEN = 16, 2
 SALT_ROWS = 128
 #: Sampled documents, and the shingles common among them that are told from rare ones.
 SAMPLE_ROWS, COMMON_SHINGLES = 300, 200_000
+#: Bytes of a word that is hashed by itself, and characters of texts that are hashed together.
+LONG_WORD, PART_CHARS = 256, 1 << 21
 _A = np.uint64(0x9E3779B97F4A7C15)
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -51,9 +55,42 @@ def _mix(x: np.ndarray) -> np.ndarray:
 _SEEDS = _mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * _A)
 
 
+def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of the words of all texts, where each text's begin and the last one's end); ASCII white space parts words.
+
+    Words are hashed together, eight bytes at a time; the few of more than LONG_WORD bytes one by one."""
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    blob = b" " + b" ".join(raw) + b" " * 8
+    space = _SPACE[np.frombuffer(blob, np.uint8)]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    begin, size = edges[::2], edges[1::2] - edges[::2]
+    eight = np.ndarray(len(blob) - 7, "<u8", blob, strides=(1,))
+    out = _mix(size.astype(np.uint64) * _A)
+    at, done = np.flatnonzero(size <= LONG_WORD), 0
+    while len(at):
+        out[at] = _mix((out[at] ^ (eight[begin[at] + done] & _FIRST_BYTES[np.minimum(size[at] - done, 8)])) * _A)
+        done += 8
+        at = at[size[at] > done]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(blob[begin[i] : begin[i] + size[i]])
+    return out, np.searchsorted(begin, np.cumsum([1, *(len(r) + 1 for r in raw)]))
+
+
 def word_hashes(text: str) -> np.ndarray:
-    """64-bit hashes of the words, which ASCII white space parts."""
-    return np.array([xxhash.xxh3_64_intdigest(w) for w in text.encode("utf-8", "surrogatepass").split()], dtype=np.uint64)
+    """64-bit hashes of a text's words."""
+    return words_of([text])[0]
+
+
+def parts(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of texts that are hashed together: of bounded size, or one text."""
+    first, size = 0, 0
+    for i, text in enumerate(texts):
+        if size and size + len(text) > PART_CHARS:
+            yield first, i
+            first, size = i, 0
+        size += len(text)
+    if len(texts) > first:
+        yield first, len(texts)
 
 
 def shingles(words: np.ndarray, size: int = WORDS) -> np.ndarray:
@@ -137,7 +174,10 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             batch = whole.slice(at, 1000)
             texts = [t or "" for t in batch.column(2).to_pylist()]
             same = [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts]
-            bands = [sketches(labelled(shingles(word_hashes(t)))) for t in texts]
+            bands = []
+            for first, end in parts(texts):
+                words, upto = words_of(texts[first:end])
+                bands += [sketches(labelled(shingles(words[upto[i] : upto[i + 1]]))) for i in range(end - first)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["k", "th", "same", "bands"])
 
 
@@ -186,11 +226,14 @@ def texts_of(inside: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, t
     return written(found.dropDuplicates(["row"]), "nd-texts-once") if keys.count() < found.count() else found
 
 
-def with_texts(pairs: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(a, b, text_a, text_b) of pairs. Texts of the documents in pairs are dealt once; a document in many pairs comes in
-    several copies, so no task gets all of its pairs."""
+def texts_in(pairs: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, text) of the documents in ``pairs``: a written table."""
     inside = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
-    texts = texts_of(inside, rows, docs, id_col, text_col)
+    return texts_of(inside, rows, docs, id_col, text_col)
+
+
+def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, text_a, text_b) of pairs; a document in many pairs comes in several copies, so no task gets all of its pairs."""
     degree = written(pairs.groupBy("b").agg(F.count("*").alias("n")).withColumn("copies", F.ceil(F.col("n") / SALT_ROWS).cast("int")), "nd-degree")
     salted = join_per_key(pairs, degree, ["b"], "n").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int"))
     ours = salted.join(texts.withColumnsRenamed({"row": "a", "text": "text_a"}).hint("merge"), "a")
@@ -243,8 +286,8 @@ def _pairs_by_key(keyed: DataFrame) -> DataFrame:
     return met.select(F.greatest("row1", "row2").alias("a"), F.least("row1", "row2").alias("b")).distinct()
 
 
-def open_pairs(reps: DataFrame, compared: DataFrame, links: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
-    """Pairs (a, b) not compared yet, among them all of one sketch that may be alike and aren't of one class; None if there are none."""
+def open_pairs(reps: DataFrame, compared: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """``texts`` holds those of all documents in ``compared``, so of all that share a sketch. Pairs (a, b) not compared yet, among them all of one sketch that may be alike and aren't of one class; None if there are none."""
     parts = components(links, tag="nd-parts").withColumnRenamed("node", "row")
     banded = reps.select("row", "bands").join(parts, "row", "left").select("row", F.coalesce("component", "row").alias("class"), F.explode("bands").alias("band"))
     banded = written(banded, "nd-classed-bands")
@@ -254,11 +297,11 @@ def open_pairs(reps: DataFrame, compared: DataFrame, links: DataFrame, docs: Dat
     members = written(join_per_key(banded, left, ["band"], "n").select("row", "class").distinct(), "nd-members")
     if not members.limit(1).count():
         return None
-    texts = texts_of(members.select("row"), reps, docs, id_col, text_col)
+    texts = texts.join(members.hint("merge"), "row").select("row", "class", "text")
     sample = texts.orderBy(F.xxhash64("row")).limit(SAMPLE_ROWS).select("text").mapInArrow(_labels, "key long")
     common = sample.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), "key").limit(COMMON_SHINGLES).collect()
     order = np.array(sorted((r["key"], r["n"]) for r in common), dtype=np.int64).reshape(-1, 2).T
-    keyed = texts.join(members.hint("merge"), "row").select("row", "class", "text").mapInArrow(_rarest(order), "key long, row long, class long, n long")
+    keyed = texts.mapInArrow(_rarest(order), "key long, row long, class long, n long")
     known = compared.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     return written(_pairs_by_key(written(keyed, "nd-rarest")).join(known, ["a", "b"], "left_anti"), "nd-open-pairs")
 
@@ -269,9 +312,10 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     copies = written(rows.groupBy("same").agg(F.min("row").alias("rep"), F.count("*").alias("n")), "nd-copies")
     reps = written(rows.join(copies.select(F.col("rep").alias("row")), "row", "left_semi"), "nd-reps")
     pairs = candidates(reps)
-    verified = lambda some, tag: written(with_texts(some, reps, docs, id_col, text_col).mapInArrow(_verified, "a long, b long, similarity double"), tag)
+    texts = texts_in(pairs, reps, docs, id_col, text_col)
+    verified = lambda some, tag: written(with_texts(some, texts).mapInArrow(_verified, "a long, b long, similarity double"), tag)
     links = verified(pairs, "nd-links")
-    left = open_pairs(reps, pairs, links, docs, id_col, text_col)
+    left = open_pairs(reps, pairs, links, texts)
     if left is not None:
         links = links.unionByName(verified(left, "nd-more-links"))
     links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
