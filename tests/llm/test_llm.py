@@ -484,6 +484,23 @@ def test_every_occurrence_is_aligned():
         assert [x[:4] for x in passages.spanning([(0, 60, 0, 60, 1.0), (50, 120, 0, 70, 1.0), (200, 260, 300, 360, 1.0)])] == [(0, 120, 0, 70), (200, 260, 300, 360)]
 
 
+def test_texts_hashed_together_are_hashed_alike():
+    """Words and bands of many texts are those of each text; equal hashes are equal words, of any length and white space."""
+    text = "Ein\tzwei\n\ndrei  ü " + "x" * 8 + " " + "x" * 9 + " " + "y" * 300 + " \x0b" + "y" * 301 + " a\u00a0b\x00 \ud800"
+    texts = ["", " \n", text, "drei", "", " ".join(f"w{i % 90}" for i in range(400)), text + " ", "kurz " * 49]
+    hashes, upto = near_dedup.words_of(texts)
+    words = [w for t in texts for w in t.encode("utf-8", "surrogatepass").split()]
+    assert len(hashes) == len(words) and len(upto) == len(texts) + 1 and len(set(zip(words, hashes.tolist(), strict=True))) == len(set(words)) == len(set(hashes.tolist()))
+    with np.errstate(over="ignore"):
+        bands, at, n = passages.bands_of(texts)
+        for i, t in enumerate(texts):
+            assert hashes[upto[i] : upto[i + 1]].tolist() == near_dedup.word_hashes(t).tolist()
+            one, count = passages.bands(t)
+            assert count == n[i] == len(t.encode("utf-8", "surrogatepass").split())
+            assert bands[at[i] : at[i + 1]].tolist() == one.tolist() and len(one) == len(set(one.tolist()))
+    assert len(near_dedup.words_of([])[0]) == 0 and passages.bands("")[1] == 0
+
+
 def test_edited_passages_share_a_band():
     """Passages of 50 to 60 words with a word changed, left out or put in, in other surroundings."""
     rng = random.Random(12)
