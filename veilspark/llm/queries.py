@@ -85,9 +85,9 @@ URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.exam
 
 
 def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdict on every page's URL: the longest rule's, else that of trees learned from the URLs that rules cover."""
+    """Verdict on every page's URL: the longest rule's, else that of trees learned from labelled URLs."""
     rules = spark.createDataFrame(URL_RULES, url_filter.RULES)
-    out = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    out = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules, url_filter.labelled_samples(spark))
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 

@@ -2,10 +2,14 @@
 
 A rule (host, path, verdict) covers its host and all subdomains where the URL's path starts with the rule's; of several the
 longest counts. Rules are matched by joining the suffixes of distinct hosts with the rules' hosts, so neither list is
-broadcast by assumption and each URL is joined once. The trees are learned from labelled URLs (by default those that rules
-cover) on lexical features: lengths, depth, digit ratio, entropy, parameter counts, and statistics of the host's suffixes,
-i.e. how often a suffix is blocked among the labelled ones. At most about TRAIN_ROWS labelled URLs are learned from, chosen
-by hash; counts, rules and verdicts cover all rows.
+broadcast by assumption and each URL is joined once. The trees are learned from labelled URLs on lexical features: lengths,
+depth, hyphens, digit ratio, entropy, parameter counts, and statistics of the host's suffixes, i.e. how many labelled URLs
+have a suffix and how many of them are blocked (suffixes of fewer than MIN_SEEN labelled ones count as unknown: their share
+would tell the label of the row itself). About TRAIN_ROWS labelled URLs are learned from at most, chosen by hash; rules and
+verdicts cover all rows.
+
+``labelled_samples`` makes labelled URLs by rule: ordinary ones, and four kinds of unwanted ones (hosts of hyphenated words,
+random hosts, tracking links, deep paths of random tokens), each with one such trait only.
 
 Null URLs and those without ``://`` have empty host and path, no rule, and the trees' verdict on their features. Repeated
 rows are judged each. Without labelled URLs everything is allowed; if all labels are equal, all others get that verdict.
@@ -30,9 +34,11 @@ TRAIN_ROWS = 20_000
 TREES, DEPTH, THRESHOLD = 20, 4, 0.5
 #: A suffix counts as if it had so many more URLs with the average share of blocked ones.
 SMOOTHING = 5.0
+#: Suffixes of fewer labelled URLs than this are unknown.
+MIN_SEEN = 50
 
 ALLOW, BLOCK = "allow", "block"
-LEXICAL = ["length", "host_length", "labels", "depth", "digit_ratio", "entropy", "parameters", "longest_segment"]
+LEXICAL = ["length", "host_length", "labels", "hyphens", "depth", "digit_ratio", "host_digits", "entropy", "host_entropy", "parameters", "longest_segment"]
 SUFFIX = ["blocked_1", "seen_1", "blocked_2", "seen_2"]
 RULES = "host string, path string, verdict string"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -74,9 +80,12 @@ def with_features(rows: DataFrame, url_col: str = "url") -> DataFrame:
         "length": F.expr(f"length({url})"),
         "host_length": F.length("host"),
         "labels": F.expr("size(filter(split(host, '[.]'), s -> s <> ''))"),
+        "hyphens": F.expr("length(host) - length(replace(host, '-', ''))"),
         "depth": F.expr(f"size({segments})"),
         "digit_ratio": F.expr(f"length(regexp_replace({url}, '[^0-9]', '')) / greatest(length({url}), 1)"),
+        "host_digits": F.expr("length(regexp_replace(host, '[^0-9]', '')) / greatest(length(host), 1)"),
         "entropy": _entropy(url),
+        "host_entropy": _entropy("host"),
         "parameters": F.expr(f"size(filter(split({query}, '&'), s -> s <> ''))"),
         "longest_segment": F.expr(f"coalesce(array_max(transform({segments}, s -> length(s))), 0)"),
     }
@@ -119,7 +128,7 @@ def train(spark: SparkSession, labelled: DataFrame, url_col: str = "url", train_
         return UrlModel(share=sizes["share"] if share is None else share)
     suffixes = []
     for n in (1, 2):
-        counted = sample.groupBy(f"__s{n}").agg(F.count("*").alias(f"__seen_{n}"), F.sum("__label").alias("__b"))
+        counted = sample.groupBy(f"__s{n}").agg(F.count("*").alias(f"__seen_{n}"), F.sum("__label").alias("__b")).filter(F.col(f"__seen_{n}") >= MIN_SEEN)
         suffixes.append(written(counted.select(f"__s{n}", f"__seen_{n}", ((F.col("__b") + SMOOTHING * share) / (F.col(f"__seen_{n}") + SMOOTHING)).alias(f"__blocked_{n}")).coalesce(1), "url-suffixes"))
     model = UrlModel(suffixes, share)
     steps = [
@@ -130,16 +139,41 @@ def train(spark: SparkSession, labelled: DataFrame, url_col: str = "url", train_
     return model
 
 
-def judge(urls: DataFrame, rules: DataFrame, url_col: str = "url", labelled: DataFrame | None = None, train_rows: int = TRAIN_ROWS) -> DataFrame:
+#: Fixed values of the labelled samples: syllables of their words, and suffixes of both classes (common ones in both).
+_SYLLABLES = ["ba", "ter", "lo", "min", "sa", "ring", "to", "ven", "ka", "del", "po", "stan", "ri", "mu", "gel", "no", "fra", "li", "hor", "web"]
+_SUFFIXES = ["com", "net", "org", "de", "fr", "info"]
+_CHEAP = ["com", "net", "org", "info", "xyz", "top"]
+SAMPLES = 4_000
+
+
+def labelled_samples(spark: SparkSession, per_class: int = SAMPLES, salt: int = 0) -> DataFrame:
+    """(url, blocked): made by rule from hashes of row numbers; another ``salt`` gives other URLs."""
+    number = lambda k, n, i="id": f"pmod(xxhash64({i}, {k}, {salt}), {n})"
+    pick = lambda values, k, i="id": f"element_at(array({', '.join(repr(v) for v in values)}), cast({number(k, len(values), i)} + 1 AS int))"
+    word = lambda k, i="id": f"concat({pick(_SYLLABLES, k, i)}, {pick(_SYLLABLES, k + 1, i)}, CASE WHEN {number(k + 2, 2, i)} = 0 THEN {pick(_SYLLABLES, k + 3, i)} ELSE '' END)"
+    token = lambda k, size, i="id": f"substring(translate(base64(unhex(sha2(concat({i}, '-{k}-{salt}'), 256))), '+/=', 'xyz'), 1, {size})"
+    below = lambda k: f"CASE WHEN {number(k, 3)} = 0 THEN '' ELSE concat({pick(['www', 'm', 'blog', 'shop', 'news'], k + 1)}, '.') END"
+    parameters = lambda k, least, most: f"concat('?', array_join(transform(sequence(1, cast({least} + {number(k, most - least + 1)} AS int)), j -> concat({word(k + 1, 'concat(id, j)')}, '=', {number(k + 6, 1000, 'concat(id, j)')})), '&'))"
+    path = f"concat('/', array_join(transform(sequence(1, cast(1 + {number(40, 3)} AS int)), j -> {word(41, 'concat(id, j)')}), '/'), CASE {number(46, 4)} WHEN 0 THEN concat('/', {number(47, 300000)}) WHEN 1 THEN concat('/', {number(47, 3000)}, '.html') WHEN 2 THEN '/' ELSE '' END)"
+    query = f"CASE {number(50, 4)} WHEN 0 THEN {parameters(51, 1, 2)} WHEN 1 THEN '#top' ELSE '' END"
+    host = f"concat({below(1)}, {word(3)}, CASE WHEN {number(8, 2)} = 0 THEN concat('.', {word(9)}) ELSE '' END, '.')"
+    plain = f"concat({host}, {pick(_SUFFIXES, 15)})"
+    hyphens = f"concat({below(1)}, {word(3)}, '-', {word(20)}, CASE WHEN {number(25, 3)} = 0 THEN concat('-', {word(26)}) ELSE '' END, CASE WHEN {number(8, 2)} = 0 THEN concat('.', {word(9)}) ELSE '' END, '.', {pick(_CHEAP, 15)})"
+    random = f"concat(lower({token(30, 16)}), {number(31, 1000)}, '.', {pick(_CHEAP, 15)})"
+    tracking = f"concat({plain}, {path}, {parameters(60, 5, 9)}, '&sid=', {token(61, 24)})"
+    deep = f"concat({plain}, '/', array_join(transform(sequence(1, cast(6 + {number(70, 4)} AS int)), j -> {token(71, 12, 'concat(id, j)')}), '/'), {query})"
+    good = f"concat({plain}, {path}, {query})"
+    bad = f"CASE pmod(id, 4) WHEN 0 THEN concat({hyphens}, {path}, {query}) WHEN 1 THEN concat({random}, {path}, {query}) WHEN 2 THEN {tracking} ELSE {deep} END"
+    scheme = f"CASE WHEN {number(80, 3)} = 0 THEN 'http://' ELSE 'https://' END"
+    rows = spark.range(2 * per_class).withColumn("blocked", F.col("id") >= per_class)
+    return rows.select(F.expr(f"concat({scheme}, CASE WHEN blocked THEN {bad} ELSE {good} END)").alias("url"), "blocked")
+
+
+def judge(urls: DataFrame, rules: DataFrame, labelled: DataFrame, url_col: str = "url", train_rows: int = TRAIN_ROWS) -> DataFrame:
     """``urls`` with host, path, rule, verdict and score (null where a rule decides). ``rules``: (host, path, verdict).
-    ``labelled`` (the URL, blocked) is what the trees learn from; by default the URLs that rules cover."""
-    spark = urls.sparkSession
+    ``labelled`` (url, blocked) is what the trees learn from."""
+    model = train(urls.sparkSession, with_host(labelled.select("url", "blocked")), "url", train_rows)
     covered = covering(with_host(urls.drop("rule", "verdict", "score"), url_col), rules)
-    if labelled is None:
-        known = covered.filter("__rule IS NOT NULL").select(url_col, "host", "path", (F.col("__rule.verdict") == BLOCK).alias("blocked"))
-    else:
-        known = with_host(labelled.select(url_col, "blocked"), url_col)
-    model = train(spark, known, url_col, train_rows)
     out = model.score(with_features(covered, url_col))
     verdict = F.coalesce(F.col("__rule.verdict"), F.when(F.col("score") >= THRESHOLD, BLOCK).otherwise(ALLOW))
     kept = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict", "score")]
