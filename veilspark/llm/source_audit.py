@@ -35,7 +35,7 @@ SCALE = 1_000_000_000
 #: Ranks of terms that are told.
 TOP_TERMS = 200
 #: About so many bytes of text are counted at once, and so many counts make a block.
-CHUNK_BYTES, BLOCK_ENTRIES = 1 << 24, 200_000
+CHUNK_BYTES, BLOCK_ENTRIES = 1 << 23, 200_000
 #: At most about so many pairs leave one task's block.
 OUTPUT_ROWS = 500_000
 
@@ -57,10 +57,45 @@ def slices(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return low, starts, ends, np.searchsorted(offsets[1:], starts, side="right")
 
 
+def _eights(low: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one little-endian number."""
+    return np.ndarray(shape=(len(low) + 1,), dtype="<u8", buffer=np.append(low, np.zeros(8, np.uint8)), strides=(1,))
+
+
+# The primes of XXH64.
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
+
+
+def _turned(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+def digests(low: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """XXH64 of each slice, all slices of under 32 bytes together, a step of the hash at a time."""
+    eights = _eights(low)
+    h = lengths.astype(np.uint64) + _P5
+    short = lengths < 32
+    for k in (8, 16, 24):
+        i = np.flatnonzero(short & (lengths >= k))
+        h[i] = _turned(h[i] ^ (_turned(eights[starts[i] + k - 8] * _P2, 31) * _P1), 27) * _P1 + _P4
+    done = lengths & ~7
+    i = np.flatnonzero(short & (lengths & 4 > 0))
+    h[i] = _turned(h[i] ^ ((eights[starts[i] + done[i]] & _MASKS[4]) * _P1), 23) * _P2 + _P3
+    done = lengths & ~3
+    for k in range(3):
+        i = np.flatnonzero(short & (lengths & 3 > k))
+        h[i] = _turned(h[i] ^ (low[starts[i] + done[i] + k].astype(np.uint64) * _P5), 11) * _P1
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    h ^= h >> np.uint64(32)
+    for i in np.flatnonzero(~short).tolist():
+        h[i] = xxhash.xxh64_intdigest(low[starts[i] : starts[i] + lengths[i]].tobytes())
+    return h
+
+
 def _equal(low: np.ndarray, starts: np.ndarray, lengths: np.ndarray, other: np.ndarray) -> np.ndarray:
     """Whether each slice has the bytes of slice ``other``; eight bytes are compared at a time."""
-    padded = np.append(low, np.zeros(8, np.uint8))
-    eights = np.ndarray(shape=(len(low) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    eights = _eights(low)
     same = lengths == lengths[other]
     rest, k = np.flatnonzero(same), 0
     while len(rest):
@@ -72,17 +107,26 @@ def _equal(low: np.ndarray, starts: np.ndarray, lengths: np.ndarray, other: np.n
     return same
 
 
-def grouped(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, digest=xxhash.xxh3_64_intdigest) -> tuple[np.ndarray, np.ndarray]:
-    """The group of each slice, and the first slice of each group: slices of equal bytes, and no others, share one."""
-    raw = low.tobytes()
-    hashes = np.fromiter((digest(raw[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
-    _, first, group = np.unique(hashes, return_index=True, return_inverse=True)
-    apart = np.flatnonzero(~_equal(low, starts, ends - starts, first[group]))
+def _firsts(values: np.ndarray) -> np.ndarray:
+    """Which of sorted values differ from the one before."""
+    return np.append(True, values[1:] != values[:-1]) if len(values) else np.zeros(0, bool)
+
+
+def grouped(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashed=digests) -> tuple[np.ndarray, np.ndarray]:
+    """The group of each slice, and a slice of each group: slices of equal bytes, and no others, share one."""
+    lengths = ends - starts
+    hashes = hashed(low, starts, lengths)
+    order = np.argsort(hashes)
+    new = _firsts(hashes[order])
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new) - 1
+    first = order[new]
+    apart = np.flatnonzero(~_equal(low, starts, lengths, first[group]))
     if len(apart):
         seen: dict[bytes, int] = {}
         more = []
         for i in apart.tolist():
-            word = raw[starts[i] : ends[i]]
+            word = low[starts[i] : ends[i]].tobytes()
             if word not in seen:
                 seen[word] = len(first) + len(seen)
                 more.append(i)
@@ -91,19 +135,29 @@ def grouped(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, digest=xxhash
     return group, first
 
 
-def _counted(data: np.ndarray, offsets: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+def _words(low: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """The slices as strings."""
+    upto = np.append(0, np.cumsum(lengths))
+    places = np.arange(upto[-1]) + np.repeat(starts - upto[:-1], lengths)
+    return pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(upto.astype(np.int32)), pa.py_buffer(low[places])])
+
+
+def _counted(data: np.ndarray, offsets: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
     """Of texts with their group numbers: (group, term, occurrences, texts) of each group and term."""
     low, starts, ends, text = slices(data, offsets)
     if not len(starts):
-        return np.zeros(0, np.int64), [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int64)
     term, first = grouped(low, starts, ends)
     width = len(first)
-    by_text, n = np.unique(text * width + term, return_counts=True)
-    key, at = np.unique(owner[by_text // width] * width + by_text % width, return_inverse=True)
-    total = np.bincount(at, weights=n).astype(np.int64)
-    raw = low.tobytes()
-    words = [raw[starts[i] : ends[i]] for i in first.tolist()]
-    return key // width, [words[i] for i in (key % width).tolist()], total, np.bincount(at)
+    by_text = np.sort(text * width + term)
+    at = np.flatnonzero(_firsts(by_text))
+    n, by_text = np.diff(np.append(at, len(by_text))), by_text[at]
+    key = owner[by_text // width] * width + by_text % width
+    order = np.argsort(key)
+    key = key[order]
+    at = np.flatnonzero(_firsts(key))
+    words = _words(low, starts[first], (ends - starts)[first])
+    return key[at] // width, words.take(pa.array(key[at] % width)), np.add.reduceat(n[order], at), np.diff(np.append(at, len(key)))
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -118,6 +172,10 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at = last
 
 
+#: Rows that leave a worker together.
+_ROWS = 50_000
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["lang", "source", "term", "n", "docs"]
     for whole in batches:
@@ -132,14 +190,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             owner = np.array([groups.setdefault(g, len(groups)) for g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)])
             group, terms, n, docs = _counted(data, bounds - bounds[0], owner)
             keys = list(groups)
-            lang, source = (pa.DictionaryArray.from_arrays(pa.array(group, pa.int32()), pa.array([k[i] for k in keys], pa.string())).cast(pa.string()) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([lang, source, pa.array(terms, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(docs, pa.int64())], names)
+            lang, source = (pa.array([k[i] for k in keys], pa.string()).take(pa.array(group)) for i in (0, 1))
+            out = pa.RecordBatch.from_arrays([lang, source, terms, pa.array(n, pa.int64()), pa.array(docs, pa.int64())], names)
+            yield from (out.slice(at, _ROWS) for at in range(0, out.num_rows, _ROWS))
 
 
 def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """(lang, source, term, n, docs): occurrences and rows of every term of every group."""
     filled = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))])
-    rows = filled.mapInArrow(_count, "lang string, source string, term string, n long, docs long")
+    # What workers counted goes to its term's task at once, for both groupings that follow: sums of few and small rows a chunk.
+    rows = filled.mapInArrow(_count, "lang string, source string, term string, n long, docs long").repartition("lang", "term")
     return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
