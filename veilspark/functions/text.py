@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon
+from .spans import let
 
 #: A Unicode letter or digit, as regular expression.
 ALNUM = r"[\p{IsAlphabetic}\p{N}]"
@@ -19,6 +20,9 @@ def quoted(text: str) -> str:
 
 
 def words_in(values: list[str]) -> str:
+    """SQL: the words as a constant array: one literal that is split when the query is planned, where it can be."""
+    if values and not any(set(v) & set("|'\\") for v in values):
+        return f"split('{'|'.join(values)}', '[|]')"
     return "array(" + ", ".join(quoted(v) for v in values) + ")"
 
 
@@ -55,9 +59,29 @@ def date_valid(day: str, month_no: str, year_no: str) -> str:
     return f"coalesce({year_no} BETWEEN 1900 AND 2030 AND {month_no} BETWEEN 1 AND 12 AND try_to_date(concat(lpad(cast({year_no} AS string), 4, '0'), '-', lpad(cast({month_no} AS string), 2, '0'), '-', lpad(cast({day} AS string), 2, '0')), 'yyyy-MM-dd') IS NOT NULL AND {day} BETWEEN 1 AND 31, false)"
 
 
+#: Bytes before a place in which its last eight words are looked for first.
+NEAR_BYTES = 400
+
+
+def last_words(data: str, end: str) -> str:
+    """Text that has the last eight blank-delimited tokens of the first ``end`` bytes of a text, given as binary: that of the
+    bytes just before, and all of it where these hold too few."""
+    from_ = f"greatest({end} - {NEAR_BYTES}, 0)"
+    near = f"make_valid_utf8(cast(substring({data}, {from_} + 1, {end} - {from_}) AS string))"
+    return f"CASE WHEN {end} <= {NEAR_BYTES} OR size({tokens(near)}) > 8 THEN {near} ELSE cast(substring({data}, 1, {end}) AS string) END"
+
+
+def last_bytes(data: str, end: str) -> str:
+    """The hundred bytes before a place, from the character boundary at or before them."""
+    from_ = f"greatest({end} - 100, 0)"
+    middle = lambda k: f"hex(substring({data}, {from_} - {k} + 1, 1)) BETWEEN '80' AND 'BF'"
+    back = f"CASE WHEN {from_} = 0 OR NOT {middle(0)} THEN 0 WHEN NOT {middle(1)} THEN 1 WHEN NOT {middle(2)} THEN 2 ELSE 3 END"
+    return f"cast(substring({data}, {from_} - {back} + 1, {end} - {from_} + {back}) AS string)"
+
+
 def birth_context(before: str) -> str:
     """Whether the last eight words before a date tell that it is one of birth."""
-    return f"lower(array_join(slice({tokens(before)}, -least(8, size({tokens(before)})), 8), ' ')) rlike {quoted(lexicon.BIRTH_CUES)}"
+    return let("__v", tokens(before), f"lower(array_join(slice(__v, greatest(size(__v) - 7, 1), 8), ' ')) rlike {quoted(lexicon.BIRTH_CUES)}")
 
 
 def phone_plausible(text: str) -> str:
@@ -69,13 +93,8 @@ def phone_plausible(text: str) -> str:
 
 
 def phone_confidence(before: str) -> str:
-    """0.92 if one of the cues stands in the hundred bytes before (from the character boundary at or before), else 0.84."""
-    raw = f"encode(right({before}, 100), 'UTF-8')"
-    at = f"greatest(octet_length({raw}) - 100, 0)"
-    middle = lambda k: f"hex(substring({raw}, {at} - {k} + 1, 1)) BETWEEN '80' AND 'BF'"
-    back = f"CASE WHEN NOT {middle(0)} THEN 0 WHEN NOT {middle(1)} THEN 1 WHEN NOT {middle(2)} THEN 2 ELSE 3 END"
-    prefix = f"lower(decode(substring({raw}, {at} - {back} + 1), 'UTF-8'))"
-    return f"CASE WHEN {' OR '.join(f'contains({prefix}, {quoted(k)})' for k in lexicon.PHONE_CUES)} THEN 0.92D ELSE 0.84D END"
+    """0.92 if one of the cues stands in what ``last_bytes`` gives, else 0.84."""
+    return f"CASE WHEN {' OR '.join(f'contains(lower({before}), {quoted(k)})' for k in lexicon.PHONE_CUES)} THEN 0.92D ELSE 0.84D END"
 
 
 def normalized(text: str) -> str:

@@ -1,7 +1,9 @@
 """Rules to mentions: every match of a rule with its place, as expressions over one document's text.
 
-Matches and the text between them come from two scans of one pattern; a fold over both gives the places. Nothing is
-exploded and nothing shuffled; a gate in front of each rule spares the scans where a rule can't match.
+Matches and the text between them come from two scans of one pattern (three where a group is taken), the second only if
+there is a match. Running sums of their lengths give places and line numbers; what a rule wants to know of the text before a
+match is read from the bytes just before it, and from the whole text before it only where these hold too few words. Nothing
+is exploded and nothing shuffled; a gate in front of each rule spares the scans where a rule can't match.
 """
 
 from __future__ import annotations
@@ -11,23 +13,33 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import quoted, tail_trimmed, tokens
+from ..functions.spans import let, running
+from ..functions.text import last_bytes, last_words, quoted, tail_trimmed, tokens
 from .rules import Rule
 
-#: A mention: text, span in bytes (s, e) and in characters (cs, ce), rule, confidence, source.
-MENTION = "struct<t: string, s: int, e: int, cs: int, ce: int, rule: int, conf: double, src: string>"
+#: A mention: text, span in bytes (s, e) and in characters (cs, ce), rule, confidence, source, newlines before it (addresses).
+MENTION = "struct<t: string, s: int, e: int, cs: int, ce: int, rule: int, conf: double, src: string, ln: int>"
 NO_MENTIONS = f"cast(array() AS array<{MENTION}>)"
 
 
-def matches(rule: Rule, text: str) -> str:
-    """SQL: array of (m, v, cs, s): each match, the taken text before tests, where the match begins."""
+
+def matches(rule: Rule, text: str, found: str) -> str:
+    """SQL: array of (m, v, cs, s, b, ln): each match, the taken text before tests, where the match begins, the context before
+    it that the rule looks at, and the newlines before it. ``found``: the matches."""
     pattern = quoted(rule.java)
-    found, gaps = f"regexp_extract_all({text}, {pattern}, 0)", f"split({text}, {pattern}, -1)"
-    values = found if rule.take in ("whole", "name") else f"regexp_extract_all({text}, {pattern}, 1)"
-    zipped = f"filter(transform(arrays_zip({found}, {values}, {gaps}), __z -> named_struct('m', __z.`0`, 'v', __z.`1`, 'g', __z.`2`)), __z -> __z.m IS NOT NULL)"
-    step = "named_struct('c', __a.c + length(__z.g) + length(__z.m), 'b', __a.b + octet_length(__z.g) + octet_length(__z.m), 'o', concat(__a.o, array(named_struct('m', __z.m, 'v', __z.v, 'cs', __a.c + length(__z.g), 's', __a.b + octet_length(__z.g)))))"
-    empty = "cast(array() AS array<struct<m: string, v: string, cs: int, s: int>>)"
-    return f"aggregate({zipped}, named_struct('c', 0, 'b', 0, 'o', {empty}), (__a, __z) -> {step}, __a -> __a.o)"
+    values = f"transform({found}, __m -> named_struct('m', __m, 'v', __m))"
+    if rule.take not in ("whole", "name"):
+        values = f"zip_with({found}, regexp_extract_all({text}, {pattern}, 1), (__m, __w) -> named_struct('m', __m, 'v', __w))"
+    # There is a gap more than there are matches, behind the last.
+    zipped = f"filter(zip_with({values}, split({text}, {pattern}, -1), (__w, __g) -> named_struct('m', __w.m, 'v', __w.v, 'g', __g)), __z -> __z.m IS NOT NULL)"
+    lines = (lambda part: f"length({part}) - length(replace({part}, chr(10), ''))") if rule.lines else (lambda part: "0")
+    sizes = f"transform(__zz, __z -> named_struct('c', length(__z.g) + length(__z.m), 'b', octet_length(__z.g) + octet_length(__z.m), 'n', {lines('__z.g')} + {lines('__z.m')}))"
+    sums = running(sizes, "named_struct('c', __x.c + __b.c, 'b', __x.b + __b.b, 'n', __x.n + __b.n)")
+    start = "get(__ss, __i).b - octet_length(__z.m)"
+    context = {"words": last_words, "chars": last_bytes}.get(rule.context, lambda *_: "''")("__bin", start)
+    made = f"transform(__zz, (__z, __i) -> named_struct('m', __z.m, 'v', __z.v, 'cs', get(__ss, __i).c - length(__z.m), 's', {start}, 'b', {context}, 'ln', get(__ss, __i).n - ({lines('__z.m')})))"
+    out = let("__zz", zipped, let("__ss", sums, made))
+    return let("__bin", f"cast({text} AS binary)", out) if rule.context else out
 
 
 def mentions_sql(rule: Rule, text: str = "text") -> str:
@@ -39,17 +51,17 @@ def mentions_sql(rule: Rule, text: str = "text") -> str:
     else:
         value = t[rule.take]
     first = {"tail": ("__x.s + octet_length(__x.m) - octet_length(__x.v)", "__x.cs + length(__x.m) - length(__x.v)")}.get(rule.take, ("__x.s", "__x.cs"))
-    long = "__x.m" if rule.take in ("whole", "inner") else "__y.t" if rule.take == "name" else "__x.v"
-    taken = f"transform({matches(rule, text)}, __x -> named_struct('t', {value}, 'm', __x.m, 'v', __x.v, 's', {first[0]}, 'cs', {first[1]}))"
-    long = {"__x.m": "__y.m", "__x.v": "__y.v"}.get(long, long)
-    made = f"transform(filter({taken}, __y -> {_fill(rule.test, text)}), __y -> named_struct('t', __y.t, 's', __y.s, 'e', __y.s + octet_length({long}), 'cs', __y.cs, 'ce', __y.cs + length({long}), 'rule', {rule.number}, 'conf', {_fill(rule.confidence, text)}, 'src', '{rule.source}'))"
+    long = {"whole": "__y.m", "inner": "__y.m", "name": "__y.t"}.get(rule.take, "__y.v")
+    taken = f"transform({matches(rule, text, '__f')}, __x -> named_struct('t', {value}, 'm', __x.m, 'v', __x.v, 's', {first[0]}, 'cs', {first[1]}, 'b', __x.b, 'ln', __x.ln))"
+    made = f"transform(filter({taken}, __y -> {_fill(rule.test)}), __y -> named_struct('t', __y.t, 's', __y.s, 'e', __y.s + octet_length({long}), 'cs', __y.cs, 'ce', __y.cs + length({long}), 'rule', {rule.number}, 'conf', {_fill(rule.confidence)}, 'src', '{rule.source}', 'ln', __y.ln))"
     gate = re.sub(r"\btext\b", text, rule.gate, count=1)
-    return f"CASE WHEN {gate} AND {text} rlike {quoted(rule.java)} THEN {made} ELSE {NO_MENTIONS} END"
+    found = f"CASE WHEN {gate} THEN regexp_extract_all({text}, {quoted(rule.java)}, 0) END"
+    return let("__f", found, f"CASE WHEN size(__f) > 0 THEN {made} ELSE {NO_MENTIONS} END")
 
 
-def _fill(sql: str, text: str) -> str:
+def _fill(sql: str) -> str:
     """SQL of a rule with its names bound. The lambda variables of the helpers begin with two underscores too, so whole words only."""
-    for name, value in (("__before", f"substring({text}, 1, __y.cs)"), ("__t", "__y.t"), ("__m", "__y.m")):
+    for name, value in (("__before", "__y.b"), ("__t", "__y.t"), ("__m", "__y.m")):
         sql = re.sub(rf"(?<![\w.]){name}(?!\w)", value, sql)
     return sql
 

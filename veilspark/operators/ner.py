@@ -56,8 +56,8 @@ def merge_tokens(tokens: DataFrame, texts: DataFrame | None = None, doc: str = "
 def as_candidates(spans: DataFrame, doc: str = "doc_id") -> DataFrame:
     """(doc, ner): spans with text as candidates for ``resolve.detect(ner_col='ner')``."""
     made = spans.groupBy(doc, "category", "text").agg(F.max("conf").alias("conf"), F.sort_array(F.collect_list(F.struct(F.col("start").cast("int").alias("s"), F.col("end").cast("int").alias("e")))).alias("offs"))
-    one = F.expr(f"cast(named_struct('p', 9, 'cat', category, 't', text, 'conf', conf, 'src', 'ner', 'occ', size(offs), 'offs', offs, 'kind', cast(null AS string)) AS {CANDIDATE})")
-    return made.withColumn("c", one).groupBy(doc).agg(F.sort_array(F.collect_list(F.struct(F.expr("offs[0].s").alias("s"), "text", "c"))).alias("x")).select(doc, F.transform("x", lambda y: y["c"]).alias("ner"))
+    one = F.expr(f"cast(named_struct('p', 9, 'cat', category, 't', text, 'conf', conf, 'src', 'ner', 'occ', size(offs), 'offs', offs, 'review', false, 'feats', map('ner', 'onnx', 'model', 'local_token_classification', 'ner_cat', category)) AS {CANDIDATE})")
+    return made.withColumn("c", one).groupBy(doc).agg(F.collect_list(F.struct(F.expr("offs[0].s").alias("s"), "text", "c")).alias("x")).withColumn("x", F.expr("array_sort(x, (l, r) -> CASE WHEN l.s <> r.s THEN l.s - r.s WHEN l.text < r.text THEN -1 WHEN l.text > r.text THEN 1 ELSE 0 END)")).select(doc, F.transform("x", lambda y: y["c"]).alias("ner"))
 
 
 def model_dir(spark: SparkSession, path: str | None = None) -> str | None:

@@ -10,20 +10,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon, text
+from ..functions.spans import apart, before, groups, let
 from .extract import MENTION, NO_MENTIONS, mentions_sql
 from .rules import Passes
 
 SPANS = "array<struct<s: int, e: int>>"
-#: A candidate: pass, category, text, confidence, source, occurrences, spans in bytes, kind of date.
-CANDIDATE = f"struct<p: int, cat: string, t: string, conf: double, src: string, occ: int, offs: {SPANS}, kind: string>"
+FEATURES = "map<string, string>"
+NO_FEATURES = f"cast(map() AS {FEATURES})"
+#: A candidate: pass, category, text, confidence, source, occurrences, spans in bytes, whether it needs a review, features.
+CANDIDATE = f"struct<p: int, cat: string, t: string, conf: double, src: string, occ: int, offs: {SPANS}, review: boolean, feats: {FEATURES}>"
 ENTITY = f"struct<text: string, category: string, confidence: double, occurrences: int, offsets: array<struct<start: int, end: int>>, detection_source: string, needs_review: boolean, features: map<string, string>>"
 
 
-def let(name: str, value: str, body: str) -> str:
-    """SQL: body with ``name`` bound to a value that is evaluated once."""
-    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
-
-
 def rank(source: str) -> str:
     return "CASE " + " ".join(f"WHEN {source} = '{s}' THEN {r}" for s, r in lexicon.SOURCE_RANKS.items()) + " ELSE 0 END"
 
@@ -33,8 +31,9 @@ def stronger(left: str, right: str) -> str:
     return f"CASE WHEN {rank(right)} > {rank(left)} THEN {right} ELSE {left} END"
 
 
-def overlaps(a: str, b: str) -> str:
-    return f"{a}.s < {b}.e AND {a}.e > {b}.s"
+def absent_added(features: str, more: str) -> str:
+    """SQL: features with those of ``more`` whose keys aren't there."""
+    return f"CASE WHEN cardinality({more}) = 0 THEN {features} ELSE map_concat({features}, map_filter({more}, (__key, __value) -> NOT map_contains_key({features}, __key))) END"
 
 
 def contained(inner: str, outer: str) -> str:
@@ -43,14 +42,12 @@ def contained(inner: str, outer: str) -> str:
 
 def without_overlaps(spans: str, kind: str = MENTION) -> str:
     """SQL: the longest first, then the earliest, each kept unless it overlaps a kept one; by place."""
-    first = "array_sort({}, (l, r) -> CASE WHEN l.e - l.s > r.e - r.s THEN -1 WHEN l.e - l.s < r.e - r.s THEN 1 WHEN l.s < r.s THEN -1 WHEN l.s > r.s THEN 1 ELSE 0 END)".format(spans)
-    kept = f"aggregate({first}, cast(array() AS array<{kind}>), (acc, x) -> CASE WHEN exists(acc, k -> {overlaps('x', 'k')}) THEN acc ELSE concat(acc, array(x)) END)"
-    return f"array_sort({kept}, (l, r) -> CASE WHEN l.s < r.s THEN -1 WHEN l.s > r.s THEN 1 ELSE 0 END)"
+    return apart(spans, kind, "CASE WHEN l.e - l.s > r.e - r.s THEN -1 WHEN l.e - l.s < r.e - r.s THEN 1 WHEN l.s < r.s THEN -1 WHEN l.s > r.s THEN 1 ELSE 0 END")
 
 
-def face(t: str) -> str:
-    """What comparing an entity's text needs."""
-    return f"named_struct('t', {t}, 'norm', {text.normalized(t)}, 'ident', {text.identity(t)}, 'low', lower({t}), 'titled', {text.titled(t)})"
+def face(t: str, person: str = "true") -> str:
+    """What comparing an entity's text needs: key and title for persons only."""
+    return f"named_struct('t', {t}, 'norm', {text.normalized(t)}, 'ident', CASE WHEN {person} THEN {text.identity(t)} ELSE '' END, 'low', lower({t}), 'titled', {person} AND {text.titled(t)})"
 
 
 def chosen(a: str, b: str) -> str:
@@ -63,7 +60,9 @@ def chosen(a: str, b: str) -> str:
 
 def group_sql(mentions: str, number: int) -> str:
     """SQL: candidates of one pass from its keyed mentions (array of (k, x))."""
-    keyed = f"transform(array_distinct(transform({mentions}, y -> y.k)), k -> transform(filter({mentions}, y -> y.k = k), y -> y.x))"
+    # Sorted by key, cut where it changes, and the groups put in the order of their first mentions: no search a key.
+    numbered = f"array_sort(transform({mentions}, (y, i) -> named_struct('k', y.k, 'i', i, 'x', y.x)), (l, r) -> CASE WHEN l.k < r.k THEN -1 WHEN l.k > r.k THEN 1 ELSE l.i - r.i END)"
+    keyed = f"transform(array_sort({let('__n', numbered, groups('__n', 'k'))}, (l, r) -> get(l, 0).i - get(r, 0).i), g -> transform(g, y -> y.x))"
     first = "g[0]"
     t = f"{first}.t"
     if number == 10:
@@ -73,9 +72,9 @@ def group_sql(mentions: str, number: int) -> str:
     offsets = "transform(g, x -> named_struct('s', x.s, 'e', x.e))"
     if number == 5:
         offsets = f"array_sort(array_distinct({offsets}))"
-    kind = "CASE WHEN exists(g, x -> x.conf >= 0.93D) THEN 'geburtsdatum' ELSE 'datum' END" if number == 4 else "cast(null AS string)"
+    feats = "map('date_kind', CASE WHEN exists(g, x -> x.conf >= 0.93D) THEN 'geburtsdatum' ELSE 'datum' END)" if number == 4 else NO_FEATURES
     category = "CASE g[0].rule DIV 10 " + " ".join(f"WHEN {n} THEN '{c}'" for n, c in ((1, "email"), (2, "iban"), (3, "betrag"), (4, "datum"), (5, "telefon"), (6, "ort"), (7, "ort"), (8, "firma"), (10, "person"), (11, "produkt"), (12, "sonstiges"))) + " END"
-    return f"transform({keyed}, g -> named_struct('p', {number}, 'cat', {category}, 't', {t}, 'conf', {conf}, 'src', {source}, 'occ', size({offsets}), 'offs', {offsets}, 'kind', {kind}))"
+    return f"transform({keyed}, g -> named_struct('p', {number}, 'cat', {category}, 't', {t}, 'conf', {conf}, 'src', {source}, 'occ', size({offsets}), 'offs', {offsets}, 'review', false, 'feats', {feats}))"
 
 
 _KEYS = {7: "lower(x.t)", 10: text.identity("x.t"), 6: "concat(CASE WHEN x.rule = 63 THEN 'block' WHEN x.rule = 62 THEN 'postcode' ELSE 'street' END, ':', x.t)"}
@@ -83,28 +82,29 @@ _KEYS = {7: "lower(x.t)", 10: text.identity("x.t"), 6: "concat(CASE WHEN x.rule
 
 def address_sql(streets: str, towns: str, text_col: str = "text") -> str:
     """SQL: address mentions: a street and a town on the next line make a block; what lies in one isn't told again."""
-    line = lambda a: f"transform({a}, x -> named_struct('x', x, 'line', {_line('x.cs', text_col)}))"
-    ordered = f"array_sort({line(streets)}, (l, r) -> CASE WHEN l.line <> r.line THEN l.line - r.line WHEN l.x.rule <> r.x.rule THEN l.x.rule - r.x.rule ELSE l.x.s - r.x.s END)"
-    block = f"named_struct('t', substring({text_col}, a.x.cs + 1, b.x.ce - a.x.cs), 's', a.x.s, 'e', b.x.e, 'cs', a.x.cs, 'ce', b.x.ce, 'rule', 63, 'conf', 0.88D, 'src', 'parser')"
-    body = let("tt", line(towns), let("ss", ordered, let("bb", f"flatten(transform(ss, a -> transform(filter(tt, b -> b.line = a.line + 1), b -> {block})))", f"concat(bb, filter(transform(ss, a -> a.x), m -> NOT exists(bb, b -> {contained('m', 'b')})), filter(transform(tt, a -> a.x), m -> NOT exists(bb, b -> {contained('m', 'b')})))")))
-    return f"CASE WHEN size({streets}) + size({towns}) > 0 THEN {body} ELSE {NO_MENTIONS} END"
-
-
-def _line(at: str, text_col: str) -> str:
-    before = f"substring({text_col}, 1, {at})"
-    return f"(length({before}) - length(replace({before}, chr(10), '')))"
+    # Towns by line as spans from their line on, so that a street finds those of the next line by binary search.
+    by_line = f"array_sort(transform({towns}, x -> named_struct('s', x.ln, 'e', x.ln, 'x', x)), (l, r) -> CASE WHEN l.s <> r.s THEN l.s - r.s ELSE l.x.s - r.x.s END)"
+    ordered = f"array_sort({streets}, (l, r) -> CASE WHEN l.ln <> r.ln THEN l.ln - r.ln WHEN l.rule <> r.rule THEN l.rule - r.rule ELSE l.s - r.s END)"
+    block = f"named_struct('t', cast(substring(__bin, a.s + 1, b.x.e - a.s) AS string), 's', a.s, 'e', b.x.e, 'cs', a.cs, 'ce', b.x.ce, 'rule', 63, 'conf', 0.88D, 'src', 'parser', 'ln', a.ln)"
+    below = let("__p", before("tt", "a.ln + 1"), f"slice(tt, __p + 1, {before('tt', 'a.ln + 2')} - __p)")
+    apart_from = lambda rows: f"filter({rows}, m -> NOT exists(bb, b -> {contained('m', 'b')}))"
+    body = let("tt", by_line, let("ss", ordered, let("bb", f"flatten(transform(ss, a -> transform({below}, b -> {block})))", f"concat(bb, {apart_from('ss')}, {apart_from('transform(tt, a -> a.x)')})")))
+    # Bytes are cut out at once, where characters would be counted from the text's beginning.
+    return f"CASE WHEN size({streets}) + size({towns}) > 0 THEN {let('__bin', f'cast({text_col} AS binary)', body)} ELSE {NO_MENTIONS} END"
 
 
 def block_sql(candidates: str) -> str:
-    """SQL: candidates in order, each without the spans that overlap an accepted one's; those left without any go."""
-    empty = f"cast(array() AS array<{CANDIDATE}>)"
-    accept = "named_struct('used', concat(a.used, kept), 'out', concat(a.out, array(named_struct('p', c.p, 'cat', c.cat, 't', c.t, 'conf', c.conf, 'src', c.src, 'occ', size(kept), 'offs', kept, 'kind', c.kind))))"
-    step = let("kept", f"filter(c.offs, o -> NOT exists(a.used, u -> {overlaps('o', 'u')}))", f"CASE WHEN size(kept) = 0 THEN a ELSE {accept} END")
-    return f"aggregate({candidates}, named_struct('used', cast(array() AS {SPANS}), 'out', {empty}), (a, c) -> {step}, a -> a.out)"
+    """SQL: candidates in order, each without the spans that overlap an earlier one's that stayed; those left without any go."""
+    spans = f"flatten(transform({candidates}, (c, i) -> transform(c.offs, (o, j) -> named_struct('s', o.s, 'e', o.e, 'i', i, 'j', j))))"
+    order = "CASE WHEN l.i <> r.i THEN l.i - r.i ELSE l.j - r.j END"
+    kept = f"array_sort({apart(spans, 'struct<s: int, e: int, i: int, j: int>', order, '__k.i <> __y.i')}, (l, r) -> {order})"
+    one = "named_struct('p', c.p, 'cat', c.cat, 't', c.t, 'conf', c.conf, 'src', c.src, 'occ', size(g), 'offs', transform(g, o -> named_struct('s', o.s, 'e', o.e)), 'review', c.review, 'feats', c.feats)"
+    made = let("kk", kept, f"transform({groups('kk', 'i')}, g -> {let('c', f'get({candidates}, get(g, 0).i)', one)})")
+    return f"CASE WHEN size({candidates}) = 0 THEN {candidates} ELSE {made} END"
 
 
 #: A candidate while entities are merged: with its face.
-_FACED = f"struct<f: struct<t: string, norm: string, ident: string, low: string, titled: boolean>, cat: string, conf: double, src: string, occ: int, offs: {SPANS}, kind: string>"
+_FACED = f"struct<f: struct<t: string, norm: string, ident: string, low: string, titled: boolean>, cat: string, conf: double, src: string, occ: int, offs: {SPANS}, review: boolean, feats: {FEATURES}>"
 
 
 def merge_sql(candidates: str) -> str:
@@ -112,14 +112,14 @@ def merge_sql(candidates: str) -> str:
     whole words within its category; then without spans inside earlier ones'; by occurrences."""
     order = "CASE WHEN octet_length(l.t) <> octet_length(r.t) THEN octet_length(r.t) - octet_length(l.t) ELSE l.i - r.i END"
     numbered = f"transform({candidates}, (c, i) -> named_struct('t', c.t, 'i', i, 'c', c))"
-    faced = f"transform(array_sort({numbered}, (l, r) -> {order}), n -> named_struct('f', {face('n.t')}, 'cat', n.c.cat, 'conf', n.c.conf, 'src', n.c.src, 'occ', n.c.occ, 'offs', n.c.offs, 'kind', n.c.kind))"
+    faced = f"transform(array_sort({numbered}, (l, r) -> {order}), n -> named_struct('f', {face('n.t', 'n.c.cat = ' + chr(39) + 'person' + chr(39))}, 'cat', n.c.cat, 'conf', n.c.conf, 'src', n.c.src, 'occ', n.c.occ, 'offs', n.c.offs, 'review', n.c.review, 'feats', n.c.feats))"
     at = "locate(c.f.low, e.f.low)"
     edge = f"({at} = 1 OR NOT substring(e.f.low, {at} - 1, 1) rlike {text.quoted(text.ALNUM)}) AND NOT substring(e.f.low, {at} + length(c.f.low), 1) rlike {text.quoted(text.ALNUM)}"
     same = f"e.f.norm = c.f.norm OR (e.cat = 'person' AND c.cat = 'person' AND e.f.ident <> '' AND e.f.ident = c.f.ident) OR (e.cat = c.cat AND octet_length(c.f.t) >= 3 AND {at} > 0 AND {edge})"
-    joined = f"named_struct('f', CASE WHEN e.cat = 'person' AND c.cat = 'person' THEN {chosen('e.f', 'c.f')} ELSE e.f END, 'cat', e.cat, 'conf', greatest(e.conf, c.conf), 'src', {stronger('e.src', 'c.src')}, 'occ', e.occ + c.occ, 'offs', concat(e.offs, c.offs), 'kind', coalesce(e.kind, c.kind))"
+    joined = f"named_struct('f', CASE WHEN e.cat = 'person' AND c.cat = 'person' THEN {chosen('e.f', 'c.f')} ELSE e.f END, 'cat', e.cat, 'conf', greatest(e.conf, c.conf), 'src', {stronger('e.src', 'c.src')}, 'occ', e.occ + c.occ, 'offs', concat(e.offs, c.offs), 'review', e.review OR c.review, 'feats', {absent_added('e.feats', 'c.feats')})"
     step = let("hit", f"array_position(transform(acc, e -> {same}), true)", f"CASE WHEN hit = 0 THEN concat(acc, array(c)) ELSE transform(acc, (e, i) -> CASE WHEN i = hit - 1 THEN {joined} ELSE e END) END")
     merged = f"aggregate({faced}, cast(array() AS array<{_FACED}>), (acc, c) -> {step})"
-    keep = "named_struct('f', c.f, 'cat', c.cat, 'conf', c.conf, 'src', c.src, 'occ', c.occ, 'offs', kept, 'kind', c.kind)"
+    keep = "named_struct('f', c.f, 'cat', c.cat, 'conf', c.conf, 'src', c.src, 'occ', c.occ, 'offs', kept, 'review', c.review, 'feats', c.feats)"
     prune = let("kept", f"filter(c.offs, o -> NOT exists(a.used, u -> {contained('o', 'u')}))", f"CASE WHEN size(kept) = 0 THEN a ELSE named_struct('used', concat(a.used, kept), 'out', concat(a.out, array({keep}))) END")
     pruned = f"aggregate({merged}, named_struct('used', cast(array() AS {SPANS}), 'out', cast(array() AS array<{_FACED}>)), (a, c) -> {prune}, a -> a.out)"
     by_count = f"array_sort(transform({pruned}, (c, i) -> named_struct('c', c, 'i', i)), (l, r) -> CASE WHEN l.c.occ <> r.c.occ THEN r.c.occ - l.c.occ ELSE l.i - r.i END)"
@@ -132,14 +132,12 @@ def resolve_sql(entities: str) -> str:
     picks = f"flatten(transform({entities}, (c, i) -> transform(c.offs, (o, j) -> named_struct('s', o.s, 'e', o.e, 'p', {priority}, 'conf', c.conf, 'i', i, 'j', j))))"
     order = "CASE WHEN l.p <> r.p THEN r.p - l.p WHEN l.e - l.s <> r.e - r.s THEN (r.e - r.s) - (l.e - l.s) WHEN l.conf > r.conf THEN -1 WHEN l.conf < r.conf THEN 1 WHEN l.i <> r.i THEN l.i - r.i ELSE l.j - r.j END"
     pick = "struct<s: int, e: int, p: int, conf: double, i: int, j: int>"
-    kept = f"aggregate(array_sort({picks}, (l, r) -> {order}), cast(array() AS array<{pick}>), (acc, x) -> CASE WHEN exists(acc, k -> {overlaps('x', 'k')}) THEN acc ELSE concat(acc, array(x)) END)"
-    mine = "transform(array_sort(filter(kk, k -> k.i = i), (l, r) -> l.j - r.j), k -> named_struct('s', k.s, 'e', k.e))"
-    made = f"filter(transform({entities}, (c, i) -> named_struct('c', c, 'offs', {mine})), x -> size(x.offs) > 0)"
-    return let("kk", kept, made)
+    by_entity = f"array_sort({apart(picks, pick, order)}, (l, r) -> CASE WHEN l.i <> r.i THEN l.i - r.i ELSE l.j - r.j END)"
+    return let("kk", by_entity, f"transform({groups('kk', 'i')}, g -> named_struct('c', get({entities}, get(g, 0).i), 'offs', transform(g, k -> named_struct('s', k.s, 'e', k.e))))")
 
 
 def score_sql(resolved: str) -> str:
-    """SQL: entities with needs_review and its reason, by the first rule that applies."""
+    """SQL: entities with needs_review and its reason (unless they have one), by the first rule that applies."""
     c = "x.c"
     ner = f"{c}.src = 'ner' AND {c}.cat = 'person'"
     reason = (
@@ -147,8 +145,11 @@ def score_sql(resolved: str) -> str:
         f"WHEN {ner} AND {c}.conf < 0.72D THEN 'ner_low_confidence' WHEN {c}.conf >= 0.90D THEN NULL "
         f"WHEN {c}.cat = 'person' AND {c}.conf < 0.85D THEN 'person_mid_confidence' WHEN {c}.conf < 0.85D THEN 'below_threshold' END"
     )
-    features = f"map_from_entries(filter(array(named_struct('key', 'date_kind', 'value', {c}.kind), named_struct('key', 'review_reason', 'value', {reason})), p -> p.value IS NOT NULL))"
-    entity = f"named_struct('text', {c}.f.t, 'category', {c}.cat, 'confidence', {c}.conf, 'occurrences', size(x.offs), 'offsets', transform(x.offs, o -> named_struct('start', o.s, 'end', o.e)), 'detection_source', {c}.src, 'needs_review', {reason} IS NOT NULL, 'features', {features})"
+    # Between 0.85 and 0.90 no rule applies, and what the merged candidates said stays.
+    safe = f"({c}.cat IN ('email', 'iban', 'telefon') AND {c}.conf >= 0.75D) OR ({ner} AND {c}.conf >= 0.88D) OR {c}.conf >= 0.90D"
+    review = f"CASE WHEN {reason} IS NOT NULL THEN true WHEN {safe} THEN false ELSE {c}.review END"
+    features = f"CASE WHEN {reason} IS NULL THEN {c}.feats ELSE {absent_added(f'{c}.feats', f'map({chr(39)}review_reason{chr(39)}, {reason})')} END"
+    entity = f"named_struct('text', {c}.f.t, 'category', {c}.cat, 'confidence', {c}.conf, 'occurrences', size(x.offs), 'offsets', transform(x.offs, o -> named_struct('start', o.s, 'end', o.e)), 'detection_source', {c}.src, 'needs_review', {review}, 'features', {features})"
     return f"transform({resolved}, x -> {entity})"
 
 
@@ -158,17 +159,16 @@ def candidates(docs: DataFrame, passes: Passes | None = None, text_col: str = "t
     passes = passes or Passes()
     out = docs.withColumn("text" if text_col == "text" else "__text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     src = "text" if text_col == "text" else "__text"
-    for n in passes.numbers():
-        if n == 6:
-            out = out.withColumn("__s", F.expr("concat(" + ", ".join([NO_MENTIONS, *(mentions_sql(r, src) for r in passes.of(6) if r.number < 62)]) + ")")).withColumn("__p", F.expr("concat(" + ", ".join([NO_MENTIONS, *(mentions_sql(r, src) for r in passes.of(6) if r.number == 62)]) + ")"))
-            out = out.withColumn("__m6", F.expr(address_sql("__s", "__p", src))).drop("__s", "__p")
-        else:
-            found = "concat(" + ", ".join([NO_MENTIONS, *(mentions_sql(r, src) for r in passes.of(n))]) + ")"
-            out = out.withColumn(f"__m{n}", F.expr(found))
-            if n == 4:
-                out = out.withColumn("__m4", F.expr(without_overlaps("__m4")))
-        out = out.withColumn(f"__m{n}", F.expr(f"transform(__m{n}, x -> named_struct('k', {_KEYS.get(n, 'x.t')}, 'x', x))"))
-        out = out.withColumn(f"__c{n}", F.expr(f"CASE WHEN size(__m{n}) = 0 THEN cast(array() AS array<{CANDIDATE}>) ELSE cast({group_sql(f'__m{n}', n)} AS array<{CANDIDATE}>) END")).drop(f"__m{n}")
+    # A step's columns are made together: each step is one analysis of a large expression, not one a pass.
+    sources = lambda rules: "concat(" + ", ".join([NO_MENTIONS, *(mentions_sql(r, src) for r in rules)]) + ")"
+    numbers = passes.numbers()
+    found = {f"__m{n}": sources(passes.of(n)) for n in numbers if n != 6}
+    if 6 in numbers:
+        found |= {"__s": sources(r for r in passes.of(6) if r.number < 62), "__p": sources(r for r in passes.of(6) if r.number == 62)}
+    out = out.withColumns({name: F.expr(sql) for name, sql in found.items()})
+    mentions = {n: f"__m{n}" for n in numbers} | ({4: without_overlaps("__m4")} if 4 in numbers else {}) | ({6: address_sql("__s", "__p", src)} if 6 in numbers else {})
+    out = out.withColumns({f"__k{n}": F.expr(f"transform({sql}, x -> named_struct('k', {_KEYS.get(n, 'x.t')}, 'x', x))") for n, sql in mentions.items()}).drop(*found)
+    out = out.withColumns({f"__c{n}": F.expr(f"CASE WHEN size(__k{n}) = 0 THEN cast(array() AS array<{CANDIDATE}>) ELSE cast({group_sql(f'__k{n}', n)} AS array<{CANDIDATE}>) END") for n in numbers}).drop(*[f"__k{n}" for n in numbers])
     order = []
     for n in sorted({*passes.numbers(), *((9, 10) if ner_col else ())}):
         if ner_col and n == 9:

@@ -28,6 +28,8 @@ class Rule:
     gate: str = "true"
     test: str = "true"
     flags: str = "(?U)"
+    context: str = ""  # what __before holds: the last eight words (words) or hundred bytes (chars) before the match
+    lines: bool = False  # whether line numbers are needed
 
     @property
     def java(self) -> str:
@@ -49,7 +51,8 @@ _MONTH_YEAR = rf"({_MONTHS})\s+(\d{{4}})"
 _CASELESS = "(?iU)"
 _BIRTH = f"CASE WHEN {text.birth_context('__before')} THEN 0.93D ELSE 0.91D END"
 _NOT_STOPPED = f"NOT arrays_overlap({text.tokens('__t')}, {text.words_in(lexicon.PERSON_STOPWORDS)}) AND {text.identity('__t')} <> ''"
-_DIGIT = "text rlike '[0-9]'"
+# Gates know as many digits and white space as the patterns do: those of all scripts.
+_DIGIT = r"text rlike r'\p{Nd}'"
 
 
 def rules(first_names: list[str] | None = None, places: list[str] | None = None, brands: list[str] | None = None) -> list[Rule]:
@@ -70,19 +73,19 @@ def rules(first_names: list[str] | None = None, places: list[str] | None = None,
         Rule("money_suffix_symbol", 31, "betrag", r"\d[\d.,]*\s?[$€£¥]", "0.92D", gate="text rlike '[$€£¥]'"),
         Rule("money_suffix_word", 32, "betrag", rf"\d[\d.,]*\s+(?:Euro|{CURRENCIES}|Franken?|Pfund|Dollar|Pounds?)\b", "0.92D", gate=_DIGIT, flags=_CASELESS),
         Rule("money_prefix_code", 33, "betrag", rf"\b(?:{CURRENCIES})\s+\d[\d.,]*\b", "0.92D", gate=_DIGIT, flags=_CASELESS),
-        Rule("date_dot", 40, "datum", rf"\b{_DMY}\b", _BIRTH, gate=_DIGIT, test=_date(_part(_DMY, 1), f"try_cast({_part(_DMY, 2)} AS int)", _part(_DMY, 3))),
-        Rule("date_day_month", 41, "datum", rf"\b{_DAY_MONTH}\b", _BIRTH, gate=_DIGIT, test=_date(_part(_CASELESS + _DAY_MONTH, 1), text.month(_part(_CASELESS + _DAY_MONTH, 2)), _part(_CASELESS + _DAY_MONTH, 3)), flags=_CASELESS),
-        Rule("date_month_year", 42, "datum", rf"\b{_MONTH_YEAR}\b", _BIRTH, gate=_DIGIT, test=f"coalesce(try_cast({_part(_CASELESS + _MONTH_YEAR, 2)} AS int) BETWEEN 1900 AND 2030, false)", flags=_CASELESS),
-        Rule("date_iso", 43, "datum", rf"\b{_ISO}\b", _BIRTH, gate=_DIGIT, test=text.date_valid(f"try_cast({_part(_ISO, 3)} AS int)", f"try_cast({_part(_ISO, 2)} AS int)", f"try_cast({_part(_ISO, 1)} AS int)")),
-        Rule("date_slash", 44, "datum", rf"\b{_SLASH}\b", _BIRTH, gate=_DIGIT, test=_date(_part(_SLASH, 1), f"try_cast({_part(_SLASH, 2)} AS int)", _part(_SLASH, 3))),
+        Rule("date_dot", 40, "datum", rf"\b{_DMY}\b", _BIRTH, gate=_DIGIT, test=_date(_part(_DMY, 1), f"try_cast({_part(_DMY, 2)} AS int)", _part(_DMY, 3)), context="words"),
+        Rule("date_day_month", 41, "datum", rf"\b{_DAY_MONTH}\b", _BIRTH, gate=_DIGIT, test=_date(_part(_CASELESS + _DAY_MONTH, 1), text.month(_part(_CASELESS + _DAY_MONTH, 2)), _part(_CASELESS + _DAY_MONTH, 3)), flags=_CASELESS, context="words"),
+        Rule("date_month_year", 42, "datum", rf"\b{_MONTH_YEAR}\b", _BIRTH, gate=_DIGIT, test=f"coalesce(try_cast({_part(_CASELESS + _MONTH_YEAR, 2)} AS int) BETWEEN 1900 AND 2030, false)", flags=_CASELESS, context="words"),
+        Rule("date_iso", 43, "datum", rf"\b{_ISO}\b", _BIRTH, gate=_DIGIT, test=text.date_valid(f"try_cast({_part(_ISO, 3)} AS int)", f"try_cast({_part(_ISO, 2)} AS int)", f"try_cast({_part(_ISO, 1)} AS int)"), context="words"),
+        Rule("date_slash", 44, "datum", rf"\b{_SLASH}\b", _BIRTH, gate=_DIGIT, test=_date(_part(_SLASH, 1), f"try_cast({_part(_SLASH, 2)} AS int)", _part(_SLASH, 3)), context="words"),
         # The last group repeats possessively and ends where no word character follows: the same matches without backtracking.
-        Rule("phone_grouped", 50, "telefon", r"(?:\+\d{1,3}[\s./-]?|\b\d{1,3}[\s./-]?)(?:\(\d{2,5}\)|\d{2,5})(?:[\s./-]\d++(?!\w))++", text.phone_confidence("__before"), gate=_DIGIT, test=text.phone_plausible("__t")),
-        Rule("phone_compact", 51, "telefon", r"\b0\d{9,14}\b", text.phone_confidence("__before"), gate=_DIGIT, test=text.phone_plausible("__t")),
-        Rule("street", 60, "ort", rf"\b{NAME}+(?:{streets}){BLANK}*\d+{BLANK}?[a-zA-Z]?\b", "0.82D", gate=_DIGIT),
-        Rule("street_preposition", 61, "ort", rf"\b(?:Am|An{BLANK}der|An{BLANK}dem|Auf{BLANK}der|Auf{BLANK}dem|Im|In{BLANK}der|In{BLANK}dem|Zum|Zur|Bei{BLANK}der|Bei{BLANK}dem){BLANK}+{NAME}+{BLANK}*\d+{BLANK}?[a-zA-Z]?\b", "0.82D", gate=_DIGIT),
-        Rule("postcode", 62, "ort", rf"\b(\d{{5}}){BLANK}+({NAME}+(?:-[a-zäöüß]+)?)\b", "0.85D", gate=_DIGIT, test="substring(__t, 1, 5) rlike '^(?!00)[0-9]{5}$'"),
+        Rule("phone_grouped", 50, "telefon", r"(?:\+\d{1,3}[\s./-]?|\b\d{1,3}[\s./-]?)(?:\(\d{2,5}\)|\d{2,5})(?:[\s./-]\d++(?!\w))++", text.phone_confidence("__before"), gate=_DIGIT, test=text.phone_plausible("__t"), context="chars"),
+        Rule("phone_compact", 51, "telefon", r"\b0\d{9,14}\b", text.phone_confidence("__before"), gate=_DIGIT, test=text.phone_plausible("__t"), context="chars"),
+        Rule("street", 60, "ort", rf"\b{NAME}+(?:{streets}){BLANK}*\d+{BLANK}?[a-zA-Z]?\b", "0.82D", gate=_DIGIT, lines=True),
+        Rule("street_preposition", 61, "ort", rf"\b(?:Am|An{BLANK}der|An{BLANK}dem|Auf{BLANK}der|Auf{BLANK}dem|Im|In{BLANK}der|In{BLANK}dem|Zum|Zur|Bei{BLANK}der|Bei{BLANK}dem){BLANK}+{NAME}+{BLANK}*\d+{BLANK}?[a-zA-Z]?\b", "0.82D", gate=_DIGIT, lines=True),
+        Rule("postcode", 62, "ort", rf"\b(\d{{5}}){BLANK}+({NAME}+(?:-[a-zäöüß]+)?)\b", "0.85D", gate=_DIGIT, test="substring(__t, 1, 5) rlike '^(?!00)[0-9]{5}$'", lines=True),
         Rule("place", 70, "ort", rf"\b(?:{quote(by_length)})\b", "0.80D", flags=_CASELESS),
-        Rule("company_legal", 80, "firma", rf"\b([A-ZÜÄÖ]{company_word}*(?:\s+(?:(?:&|und|von|de)\s+)?[A-ZÜÄÖ0-9]{company_tail}*){{0,7}})\s+({legal})\b", "0.95D", gate=rf"text rlike r'\s(?:{legal})'"),
+        Rule("company_legal", 80, "firma", rf"\b([A-ZÜÄÖ]{company_word}*(?:\s+(?:(?:&|und|von|de)\s+)?[A-ZÜÄÖ0-9]{company_tail}*){{0,7}})\s+({legal})\b", "0.95D", gate=rf"text rlike r'(?U)\s(?:{legal})'"),
         Rule("company_signal", 81, "firma", r"\b(?:Firma|Hersteller|Partner|Lieferant|Kunde|Unternehmen)\s+([A-ZÜÄÖ][A-Za-züäöÜÄÖß0-9\-\.&]{1,50}(?:\s+[A-ZÜÄÖ][A-Za-züäöß]{1,40}){0,2})\b", "0.82D", take="tail", gate="text rlike 'Firma|Hersteller|Partner|Lieferant|Kunde|Unternehmen'"),
         Rule("company_hyphen", 82, "firma", r"\b([\p{Lu}]{2,5}-[A-Za-züäöÜÄÖß]+\.?)(?:\s|\z|[,;:\)])", "0.88D", take="head", gate="contains(text, '-')"),
         Rule("company_acronym", 83, "firma", r"\b([\p{Lu}]{2,5}\s+[A-ZÜÄÖ][a-züäöß]{2,40})\b", "0.86D", take="head", gate=r"text rlike r'\p{Lu}{2}'", test=f"NOT array_contains({text.words_in(lexicon.ABBREVIATION_STOPWORDS)}, get({text.tokens('__t')}, 0))"),

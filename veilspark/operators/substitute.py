@@ -1,72 +1,64 @@
 """Rewriting texts by a mapping, both ways, with counts; and where its terms stand.
 
-The confirmed entries, longest first, are one array that every task folds over its texts. Up to MAX_ENTRIES entries of
-MAX_BYTES together it is broadcast (its size is checked first); larger mappings are cut down for each document to the entries that stand in it, by
-a join on short pieces of their runs of letters and digits. Where entries are folded, those that stand in a text only
-after a replacement are added, until no text that the fold passes through holds another entry: what is left out could
-not have changed anything.
+Where terms stand is found by ``terms``: a broadcast index of the confirmed entries that walks over each text once, or shards
+of it for very large mappings. Rewriting then folds over the entries that a text meets, the longest first: those that stand
+in it, and those that only a replacement makes. What is left out could not have changed anything.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.spans import apart
 from ..storage import written
+from . import terms
 
-#: A mapping of more entries, or of more bytes in originals and surrogates, isn't broadcast.
-MAX_ENTRIES, MAX_BYTES = 50_000, 8_000_000
-_PAIRS = "array<struct<o: string, n: string>>"
+_PAIRS = terms.PAIRS
 _ORDER = "(a, b) -> CASE WHEN a.l <> b.l THEN b.l - a.l WHEN a.p.o < b.p.o THEN -1 WHEN a.p.o > b.p.o THEN 1 WHEN a.p.n < b.p.n THEN -1 WHEN a.p.n > b.p.n THEN 1 ELSE 0 END"
 
 
-def _pairs(mapping: DataFrame, search: str, put: str) -> DataFrame:
+def _entries(mapping: DataFrame, search: str, put: str, new: str = "e.n") -> DataFrame:
+    """(o, n, r): what is looked for, what belongs to it, and what it becomes."""
     pair = F.struct(F.col(search).alias("o"), F.col(put).alias("n"))
-    kept = mapping.filter("confirmed").filter(F.length(search) > 0).select(F.octet_length(search).alias("l"), pair.alias("p"))
-    return kept.agg(F.expr(f"transform(array_sort(collect_list(struct(l, p)), {_ORDER}), x -> x.p)").alias("__pairs"))
-
-
-def _runs(column: str) -> Column:
-    return F.expr(rf"regexp_extract_all({column}, r'[\p{{L}}\p{{N}}]+', 0)")
-
-
-def _found(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """Distinct (__row, o, n): the terms in each of ``texts`` (__row, __t)."""
-    # Any match of a term holds the term's longest run of letters and digits, so at least one of the text's runs contains
-    # it; terms are found by the first three characters of that run (fewer, if it is shorter), texts by all such pieces.
-    pieces = F.transform(_runs("__t"), lambda w: F.flatten(F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.array(*[F.substring(w, i, F.lit(k)) for k in (1, 2, 3)]))))
-    # The empty piece is for terms without any letter or digit.
-    keyed = texts.select("__row", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.flatten(pieces)))).alias("g")).distinct()
-    return keyed.join(terms, "g").join(texts, "__row").filter(F.expr("contains(__t, o)")).select("__row", "o", "n").distinct()
-
-
-def with_pairs(docs: DataFrame, mapping: DataFrame, search: str, put: str, text_col: str, text: str | None = None, new: str | None = None) -> DataFrame:
-    """``docs`` with __pairs: entries to look for, longest first. They are looked for in ``text`` (an expression, ``text_col``
-    by default) and, if ``new`` tells what an entry ``e`` puts in its place, in what it becomes."""
-    confirmed = mapping.filter("confirmed").filter(F.length(search) > 0)
-    size = confirmed.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(search) + F.coalesce(F.octet_length(put), F.lit(0))), F.lit(0)).alias("bytes")).first()
-    if size["n"] <= MAX_ENTRIES and size["bytes"] <= MAX_BYTES:
-        return docs.join(F.broadcast(_pairs(mapping, search, put)))  # one row
-    longest = F.element_at(F.array_sort(_runs("o"), lambda a, b: F.length(b) - F.length(a)), 1)
-    terms = confirmed.select(F.col(search).alias("o"), F.col(put).alias("n"))
-    terms = terms.withColumn("g", F.when(F.size(_runs("o")) > 0, F.substring(longest, 1, 3)).otherwise(""))
+    return mapping.filter("confirmed").filter((F.length(search) > 0) & F.col(put).isNotNull()).select(pair.alias("e")).select("e.o", "e.n", F.expr(new).alias("r"))
+
+
+def with_pairs(docs: DataFrame, mapping: DataFrame, search: str, put: str, text_col: str, new: str = "e.n") -> DataFrame:
+    """``docs`` with __pairs: the entries that replacing all in turn meets, longest first; ``new`` tells what an entry ``e`` puts
+    in its place."""
+    entries = _entries(mapping, search, put, new)
+    data = terms.one_shard(entries)
+    if data:
+        return docs.withColumn("__pairs", terms.pairs(data, F.col(text_col)))
     keyed = written(docs.withColumn("__row", F.monotonically_increasing_id()), "sub-docs")
-    found = written(_found(keyed.select("__row", F.expr(text or text_col).alias("__t")), terms), "sub-found")
+    find = lambda texts: terms.places_of(texts, entries, "__row", "__t").select("__row", "x.o", "x.n").distinct()
+    found = written(find(keyed.select("__row", F.col(text_col).alias("__t"))), "sub-found")
     while True:
-        # As many rows of a term as the mapping has, like the broadcast array.
-        listed = found.join(terms.groupBy("o", "n").agg(F.count("*").alias("times")), ["o", "n"]).withColumn("__", F.explode(F.expr("sequence(1, times)")))
+        # As many rows of an entry as the mapping has.
+        listed = found.join(entries.groupBy("o", "n").agg(F.count("*").alias("times")), ["o", "n"]).withColumn("__", F.explode(F.expr("sequence(1, times)")))
         pairs = listed.groupBy("__row").agg(F.expr(f"transform(array_sort(collect_list(struct(octet_length(o) AS l, struct(o, n) AS p)), {_ORDER}), x -> x.p)").alias("__pairs"))
         out = keyed.join(pairs, "__row", "left").withColumn("__pairs", F.coalesce("__pairs", F.expr(f"cast(array() AS {_PAIRS})")))
-        if new is None:
-            return out.drop("__row")
-        passed = f"aggregate(coalesce(__pairs, cast(array() AS {_PAIRS})), array({text_col}), (a, e) -> CASE WHEN contains(element_at(a, -1), e.o) THEN concat(a, array(replace(element_at(a, -1), e.o, {new}))) ELSE a END)"
+        passed = f"aggregate(__pairs, array({text_col}), (a, e) -> CASE WHEN contains(element_at(a, -1), e.o) THEN concat(a, array(replace(element_at(a, -1), e.o, {new}))) ELSE a END)"
         texts = out.filter("size(__pairs) > 0").select("__row", F.explode(F.expr(passed)).alias("__t"))
-        more = written(_found(texts, terms).join(found, ["__row", "o", "n"], "left_anti"), "sub-more")
+        more = written(find(texts).join(found, ["__row", "o", "n"], "left_anti"), "sub-more")
         if not more.limit(1).count():
             return out.drop("__row")
         found = written(found.unionByName(more), "sub-found")
 
 
+def with_places(docs: DataFrame, mapping: DataFrame, search: str, put: str, text: str) -> DataFrame:
+    """``docs`` with __places: where entries stand in ``text`` (an expression), by place."""
+    entries = _entries(mapping, search, put)
+    data = terms.one_shard(entries)
+    if data:
+        return docs.withColumn("__places", terms.places(data, F.expr(text)))
+    keyed = written(docs.withColumn("__row", F.monotonically_increasing_id()), "sub-docs")
+    found = terms.places_of(keyed.select("__row", F.expr(text).alias("__t")), entries, "__row", "__t")
+    listed = found.groupBy("__row").agg(F.sort_array(F.collect_list("x")).alias("__places"))
+    return keyed.join(listed, "__row", "left").withColumn("__places", F.coalesce("__places", F.expr(f"cast(array() AS {terms.PLACES})"))).drop("__row")
+
+
 def _fold(text: str, count: str, put: str) -> str:
     state = f"named_struct('t', {text}, 'n', 0)"
     return f"aggregate(coalesce(__pairs, cast(array() AS {_PAIRS})), {state}, (a, e) -> CASE WHEN contains(a.t, e.o) THEN element_at(transform(array(replace(a.t, e.o, {put})), r -> named_struct('t', r, 'n', a.n + {count})), 1) ELSE a END)"
@@ -102,17 +94,16 @@ def decode(docs: DataFrame, mapping: DataFrame, text_col: str = "text", strict:
 def preview(docs: DataFrame, mapping: DataFrame, mode: str = "encode", text_col: str = "text") -> DataFrame:
     """``docs`` with spans: every place (bytes) of every confirmed term, overlapping ones too, by start then end."""
     search, put = ("original", "surrogate") if mode == "encode" else ("surrogate", "original")
-    rows = with_pairs(docs, mapping, search, put, text_col)
-    places = f"slice(aggregate(split({text_col}, concat('\\\\Q', replace(e.o, '\\\\E', ''), '\\\\E'), -1), named_struct('at', 0, 'o', cast(array() AS array<int>)), (a, g) -> named_struct('at', a.at + octet_length(g) + octet_length(e.o), 'o', concat(a.o, array(a.at + octet_length(g)))), a -> a.o), 1, greatest(size(split({text_col}, concat('\\\\Q', replace(e.o, '\\\\E', ''), '\\\\E'), -1)) - 1, 0))"
-    spans = f"array_sort(flatten(transform(filter(__pairs, e -> contains({text_col}, e.o)), e -> transform({places}, s -> named_struct('start', s, 'end', s + octet_length(e.o), 'term', e.o, 'replacement', e.n)))))"
-    return rows.withColumn("spans", F.expr(spans)).select(*[c for c in docs.columns if c != "spans"], "spans")
+    rows = with_places(docs, mapping, search, put, text_col)
+    spans = "array_sort(transform(filter(__places, x -> x.k), x -> named_struct('start', x.s, 'end', x.e, 'term', x.o, 'replacement', x.n)))"
+    return rows.withColumn("spans", F.expr(f"CASE WHEN {text_col} IS NOT NULL THEN {spans} END")).select(*[c for c in docs.columns if c != "spans"], "spans")
 
 
 def highlight(docs: DataFrame, mapping: DataFrame, mode: str = "encode", text_col: str = "text") -> DataFrame:
     """``docs`` with spans (characters): terms in any case, the longest first, none overlapping."""
     search, put = ("original", "surrogate") if mode == "encode" else ("surrogate", "original")
-    rows = with_pairs(docs, mapping.withColumn(search, F.lower(search)), search, put, text_col, f"lower({text_col})")
-    low = f"lower({text_col})"
-    places = f"filter(transform(sequence(1, greatest(length({low}), 1)), i -> i - 1), i -> substring({low}, i + 1, length(e.o)) = e.o)"
-    spans = f"aggregate(flatten(transform(filter(__pairs, e -> contains({low}, e.o)), e -> transform({places}, s -> named_struct('start', s, 'end', s + length(e.o), 'term', e.o)))), cast(array() AS array<struct<start: int, end: int, term: string>>), (acc, x) -> CASE WHEN exists(acc, k -> x.start < k.end AND x.end > k.start) THEN acc ELSE concat(acc, array(x)) END, acc -> array_sort(acc))"
-    return rows.withColumn("spans", F.expr(spans)).select(*[c for c in docs.columns if c != "spans"], "spans")
+    rows = with_places(docs, mapping.withColumn(search, F.lower(search)), search, put, f"lower({text_col})")
+    order = "CASE WHEN l.b <> r.b THEN r.b - l.b WHEN l.o < r.o THEN -1 WHEN l.o > r.o THEN 1 ELSE l.s - r.s END"
+    marks = "transform(__places, x -> named_struct('s', x.cs, 'e', x.ce, 'b', x.e - x.s, 'o', x.o))"
+    spans = f"transform({apart(marks, 'struct<s: int, e: int, b: int, o: string>', order)}, x -> named_struct('start', x.s, 'end', x.e, 'term', x.o))"
+    return rows.withColumn("spans", F.expr(f"CASE WHEN {text_col} IS NOT NULL THEN {spans} END")).select(*[c for c in docs.columns if c != "spans"], "spans")

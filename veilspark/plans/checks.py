@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lexicon
-from ..operators import ner, resolve, substitute
+from ..operators import mapping as m
+from ..operators import ner, resolve, review, substitute
 from ..operators.extract import extract
 from ..operators.rules import Passes
 from ..sources import documents as files
@@ -33,9 +34,9 @@ _GREEDY = "list_reduce(list_prepend([], {}), lambda a, x: CASE WHEN len(list_fil
 
 def _lines(spark, sf_dir, offsets: str):
     """(l_orderkey, cc): the line items of an order as merged entities, in their order."""
-    entity = f"named_struct('f', {_FACE}, 'cat', {_CAT}, 'conf', {_CONF}, 'src', {_SRC}, 'occ', 1, 'offs', {offsets}, 'kind', cast(null AS string))"
+    entity = f"named_struct('f', {_FACE}, 'cat', {_CAT}, 'conf', {_CONF}, 'src', {_SRC}, 'occ', 1, 'offs', {offsets}, 'review', false, 'feats', cast(map() AS map<string, string>))"
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", F.expr(f"{_S} AS s"), F.expr(f"{_E} AS e"), F.expr(entity).alias("c")).alias("x"))
-    return rows.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("x")).alias("x")).select("l_orderkey", F.transform("x", lambda y: y["c"]).alias("cc"))
+    return rows.groupBy("l_orderkey").agg(F.expr("array_sort(collect_list(x), (l, r) -> cast(CASE WHEN l.l_linenumber <> r.l_linenumber THEN l.l_linenumber - r.l_linenumber WHEN l.s <> r.s THEN l.s - r.s ELSE l.e - r.e END AS int))").alias("x")).select("l_orderkey", F.transform("x", lambda y: y["c"]).alias("cc"))
 
 
 @query(
@@ -59,7 +60,7 @@ def resolve_conflicts(spark, sf_dir):
 def block_spans(spark, sf_dir):
     """Candidates with two spans each, in order, without what earlier ones block; a candidate's own spans don't."""
     rows = _lines(spark, sf_dir, f"array(named_struct('s', cast({_S} AS int), 'e', cast({_E} AS int)), named_struct('s', cast({_S} + 40 AS int), 'e', cast({_E} + 40 AS int)))")
-    rows = rows.withColumn("cc", F.expr(f"transform(cc, c -> cast(named_struct('p', 1, 'cat', c.cat, 't', c.f.t, 'conf', c.conf, 'src', c.src, 'occ', 2, 'offs', c.offs, 'kind', c.kind) AS {resolve.CANDIDATE}))"))
+    rows = rows.withColumn("cc", F.expr(f"transform(cc, c -> cast(named_struct('p', 1, 'cat', c.cat, 't', c.f.t, 'conf', c.conf, 'src', c.src, 'occ', 2, 'offs', c.offs, 'review', c.review, 'feats', c.feats) AS {resolve.CANDIDATE}))"))
     kept = f"flatten(transform({resolve.block_sql('cc')}, c -> transform(c.offs, o -> concat(substring(c.t, 2), ':', o.s, '-', o.e))))"
     return rows.select("l_orderkey", F.expr(f"array_join({kept}, ',')").alias("kept"))
 
@@ -83,7 +84,7 @@ def longest_spans(spark, sf_dir):
 )
 def score_table(spark, sf_dir):
     """Every rule of the score table, over all categories, sources and confidences; those that a review accepts beforehand."""
-    c = f"named_struct('f', {_FACE}, 'cat', {_CAT}, 'conf', {_CONF}, 'src', {_SRC}, 'kind', cast(null AS string))"
+    c = f"named_struct('f', {_FACE}, 'cat', {_CAT}, 'conf', {_CONF}, 'src', {_SRC}, 'review', false, 'feats', cast(map() AS map<string, string>))"
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.expr(f"array(named_struct('c', {c}, 'offs', array(named_struct('s', 0, 'e', 1))))").alias("r"))
     made = rows.select("l_orderkey", "l_linenumber", F.expr(resolve.score_sql("r")).getItem(0).alias("e"))
     return accepted(made.select("l_orderkey", "l_linenumber", "e.category", "e.detection_source", "e.confidence", "e.needs_review", F.col("e.features")["review_reason"].alias("review_reason")))
@@ -96,7 +97,7 @@ def score_table(spark, sf_dir):
 def merge_entities(spark, sf_dir):
     """Forms of one person, with and without title, are one entity with the surest confidence and strongest source; a company isn't."""
     name = f"concat(element_at({_SPARK_FIRST}, cast(c_custkey % 5 + 1 AS int)), ' Weber')"
-    one = lambda t, cat, conf, src, s: f"cast(named_struct('p', 10, 'cat', '{cat}', 't', {t}, 'conf', cast({conf} AS double), 'src', {src}, 'occ', 1, 'offs', array(named_struct('s', {s}, 'e', {s} + 5)), 'kind', cast(null AS string)) AS {resolve.CANDIDATE})"
+    one = lambda t, cat, conf, src, s: f"cast(named_struct('p', 10, 'cat', '{cat}', 't', {t}, 'conf', cast({conf} AS double), 'src', {src}, 'occ', 1, 'offs', array(named_struct('s', {s}, 'e', {s} + 5)), 'review', false, 'feats', cast(map() AS map<string, string>)) AS {resolve.CANDIDATE})"
     found = f"array({one(name, 'person', '0.78', chr(39) + 'lexicon' + chr(39), 0)}, {one(f'concat({chr(39)}Herr Dr. {chr(39)}, {name})', 'person', 'CASE WHEN c_custkey % 2 = 0 THEN 0.9 ELSE 0.84 END', chr(39) + 'rule' + chr(39), 20)}, {one(f'upper({name})', 'person', '0.8', 'CASE WHEN c_custkey % 3 = 0 THEN ' + chr(39) + 'ner' + chr(39) + ' ELSE ' + chr(39) + 'lexicon' + chr(39) + ' END', 40)}, {one(f'concat({chr(39)}Weber {chr(39)}, c_custkey, {chr(39)} GmbH{chr(39)})', 'firma', '0.95', chr(39) + 'rule' + chr(39), 60)})"
     rows = table(spark, sf_dir, "customer").select("c_custkey", F.expr(found).alias("cc")).select("c_custkey", F.explode(F.expr(resolve.merge_sql("cc"))).alias("e"))
     return rows.select("c_custkey", F.expr("CASE WHEN e.cat = 'person' THEN initcap(e.f.t) ELSE e.f.t END").alias("entity"), F.col("e.cat").alias("category"), F.col("e.conf").alias("confidence"), F.col("e.occ").alias("occurrences"), F.col("e.src").alias("source"))
@@ -200,3 +201,92 @@ def confirmed_only(spark, sf_dir):
 def highlight_places(spark, sf_dir):
     """Places of mapped addresses in any case, the longest first, none overlapping."""
     return substitute.highlight(table(spark, sf_dir, "documents").select("doc_id", "text"), _email_map(spark, sf_dir)).select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.start", "s.end", "s.term")
+
+
+# --- review -------------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"WITH n AS (SELECT c_custkey, {_FIRST}[c_custkey % 5 + 1] || ' Weber' AS t FROM customer), "
+    "r AS (SELECT c_custkey, t, CASE c_custkey % 4 WHEN 0 THEN 0.95 WHEN 1 THEN 0.87 WHEN 2 THEN 0.87 ELSE 0.8 END AS conf FROM n) "
+    "SELECT c_custkey, t AS entity, conf AS confidence, c_custkey % 4 IN (1, 3) AS needs_review, CASE WHEN c_custkey % 3 = 0 THEN 'seen' WHEN c_custkey % 4 = 3 THEN 'person_mid_confidence' END AS review_reason, "
+    "CASE WHEN c_custkey % 2 = 0 THEN 'one' ELSE 'two' END AS origin FROM r"
+)
+def review_state(spark, sf_dir):
+    """Merged forms need a review if one of them does and no rule decides; features are the first ones' that have them."""
+    name = f"concat(element_at({_SPARK_FIRST}, cast(c_custkey % 5 + 1 AS int)), ' Weber')"
+    one = lambda t, conf, s, flag, feats: f"cast(named_struct('p', 10, 'cat', 'person', 't', {t}, 'conf', cast({conf} AS double), 'src', 'rule', 'occ', 1, 'offs', array(named_struct('s', {s}, 'e', {s} + 5)), 'review', {flag}, 'feats', {feats}) AS {resolve.CANDIDATE})"
+    surest = "CASE c_custkey % 4 WHEN 0 THEN 0.95 WHEN 1 THEN 0.87 WHEN 2 THEN 0.87 ELSE 0.8 END"
+    reason = "CASE WHEN c_custkey % 3 = 0 THEN map('review_reason', 'seen') ELSE cast(map() AS map<string, string>) END"
+    first = one(f"concat('Herr ', {name})", surest, 0, "false", "CASE WHEN c_custkey % 2 = 0 THEN map('origin', 'one') ELSE cast(map() AS map<string, string>) END")
+    found = f"array({one(name, 0.7, 20, 'c_custkey % 4 < 2', f'map_concat(map({chr(39)}origin{chr(39)}, {chr(39)}two{chr(39)}), {reason})')}, {first})"
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.expr(f"cast({found} AS array<{resolve.CANDIDATE}>)").alias("cc")).withColumn("cc", F.expr(resolve.merge_sql("cc")))
+    scored = rows.select("c_custkey", F.explode(F.expr(resolve.score_sql(resolve.resolve_sql("cc")))).alias("e"))
+    return scored.select("c_custkey", F.col("e.text").alias("entity"), F.col("e.confidence").alias("confidence"), F.col("e.needs_review").alias("needs_review"), F.col("e.features")["review_reason"].alias("review_reason"), F.col("e.features")["origin"].alias("origin"))
+
+
+def _reviewed(spark, sf_dir):
+    """Customers detected with different confidences; a third reviewed, with overrides, unticked ones and blank overrides."""
+    rows = table(spark, sf_dir, "customer")
+    detected = rows.select(F.col("c_name").alias("entity"), F.lit("person").alias("category"), F.expr("cast(60 + c_custkey % 40 AS double) / 100").alias("confidence"))
+    reviews = rows.filter("c_custkey % 3 = 0").select(
+        F.expr("CASE WHEN c_custkey % 2 = 0 THEN upper(c_name) ELSE c_name END").alias("entity"), F.expr("c_custkey % 9 <> 0").alias("checked"), F.expr("CASE c_custkey % 4 WHEN 0 THEN concat('  ', c_name, ' AG ') WHEN 1 THEN ' ' END").alias("text"),
+        F.expr("CASE WHEN c_custkey % 4 = 0 THEN 'firma' END").alias("category"), F.expr("CASE WHEN c_custkey % 5 = 0 THEN concat('S', c_custkey) END").alias("surrogate"),
+    )
+    return detected, reviews
+
+
+_PROJECTED = (
+    "WITH d AS (SELECT c_custkey AS k, c_name, CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 9 <> 0 ELSE (60 + c_custkey % 40) / 100 >= 0.75 END AS ticked, c_custkey % 3 = 0 AS reviewed FROM customer), "
+    "p AS (SELECT k, c_name || CASE WHEN reviewed AND k % 4 = 0 THEN ' AG' ELSE '' END AS original, CASE WHEN reviewed AND k % 4 = 0 THEN 'firma' ELSE 'person' END AS category, CASE WHEN reviewed AND k % 5 = 0 THEN 'S' || k END AS surrogate, reviewed FROM d WHERE ticked)"
+)
+
+
+@query(_PROJECTED + " SELECT original, category, surrogate, reviewed FROM p")
+def review_projection(spark, sf_dir):
+    """Ticked entities with their overrides, as entries to add."""
+    return review.projected(*_reviewed(spark, sf_dir))
+
+
+@query(
+    _PROJECTED + ", s AS (SELECT upper(c_name) || CASE WHEN c_custkey % 4 = 0 THEN ' AG' ELSE '' END AS original, 'person' AS category, 'S' || c_custkey AS surrogate FROM customer WHERE c_custkey % 2 = 0) "
+    "SELECT coalesce(s.original, p.original) AS original, coalesce(s.category, p.category) AS category, CASE WHEN s.original IS NULL THEN p.surrogate ELSE s.surrogate END AS surrogate, "
+    "CASE WHEN s.original IS NOT NULL THEN 'stored' WHEN p.reviewed THEN 'reviewed' ELSE 'detected' END AS origin, CASE WHEN s.category <> p.category THEN 'category' END AS conflict "
+    "FROM p FULL JOIN s ON lower(s.original) = lower(p.original)"
+)
+def review_merge(spark, sf_dir):
+    """Stored, reviewed and detected entries, one a key, with where they came from and what they disagree in."""
+    stored = table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.expr("upper(c_name) || CASE WHEN c_custkey % 4 = 0 THEN ' AG' ELSE '' END").alias("original"), F.lit("person").alias("category"), F.expr("concat('S', c_custkey)").alias("surrogate"))
+    return review.merged(stored, review.projected(*_reviewed(spark, sf_dir)))
+
+
+@query(
+    _PROJECTED + ", free AS (SELECT original, category, CASE category WHEN 'person' THEN 'Person' ELSE 'Company' END || '-' || row_number() OVER (PARTITION BY category ORDER BY reviewed DESC, lower(original)) AS surrogate FROM p WHERE surrogate IS NULL) "
+    "SELECT original, category, surrogate FROM p WHERE surrogate IS NOT NULL UNION ALL SELECT * FROM free"
+)
+def review_grown(spark, sf_dir):
+    """The mapping that a review leaves: reviewed entries are numbered before detected ones."""
+    return review.grown(m.empty(spark), *_reviewed(spark, sf_dir)).select("original", "category", "surrogate")
+
+
+# --- gates ------------------------------------------------------------------------------------------------------------------
+
+
+def _unicode_notes(spark, sf_dir):
+    """Companies behind no-break spaces, amounts in Arabic digits."""
+    digits = "translate(cast(c_custkey AS string), '0123456789', '٠١٢٣٤٥٦٧٨٩')"
+    note = f"concat('bei der Nordwind', char(CASE WHEN c_custkey % 2 = 0 THEN 160 ELSE 32 END), 'GmbH gekauft, kostet ', {digits}, ' EUR')"
+    return table(spark, sf_dir, "customer").select("c_custkey", F.expr(note).alias("text"))
+
+
+@query("SELECT c_custkey, 'Nordwind' || chr(CASE WHEN c_custkey % 2 = 0 THEN 160 ELSE 32 END) || 'GmbH' AS mention, 1 AS confidence_rank FROM customer")
+def company_spaces(spark, sf_dir):
+    """Legal forms behind any white space."""
+    return extract(_unicode_notes(spark, sf_dir), _PASSES.get("company_legal"), "text", ["c_custkey"]).select("c_custkey", "mention", F.expr("CASE WHEN confidence = 0.95D THEN 1 ELSE 0 END").alias("confidence_rank"))
+
+
+@query("SELECT c_custkey, translate(cast(c_custkey AS VARCHAR), '0123456789', '٠١٢٣٤٥٦٧٨٩') || ' EUR' AS mention, 55 + 0 * c_custkey AS start_char FROM customer")
+def money_digits(spark, sf_dir):
+    """Amounts in digits of any script; the place is one in bytes, here told as the characters before it."""
+    rows = extract(_unicode_notes(spark, sf_dir), _PASSES.get("money_suffix_word"), "text", ["c_custkey"])
+    return rows.select("c_custkey", "mention", (F.col("start") + 17 - F.when(F.col("c_custkey") % 2 == 0, 1).otherwise(0)).alias("start_char"))

@@ -293,7 +293,18 @@ def entities_documents(spark, sf_dir):
     return resolve.entity_rows(resolve.detect(_docs(spark, sf_dir)), "doc_id")
 
 
-@query()
+#: Where things stand in a customer's note: from the name's length and, behind it, fixed distances in bytes.
+_CUSTOMER_ENTITIES = (
+    f"WITH c AS (SELECT c_custkey, {_FIRST}[c_custkey % 5 + 1] || ' Weber' AS name, '0170' || lpad(cast(c_custkey AS VARCHAR), 7, '0') AS phone, 'Hauptstraße ' || (c_custkey % 90 + 1) AS street, lpad(cast(c_custkey % 100 AS VARCHAR), 2, '0') || '345 Berlin' AS town, {_iban('VARCHAR', 'HUGEINT')} AS iban FROM customer), "
+    "p AS (SELECT *, 27 + length(name) AS pos FROM c), "
+    "e AS (SELECT c_custkey, name AS entity, 'person' AS category, 0.84 AS confidence, 'lexicon' AS source, 'person_mid_confidence' AS reason, 17 AS s FROM p UNION ALL SELECT c_custkey, phone, 'telefon', 0.92, 'rule', NULL, pos FROM p "
+    "UNION ALL SELECT c_custkey, 'IBAN', 'sonstiges', 0.65, 'rule', 'below_threshold', pos + 13 FROM p UNION ALL SELECT c_custkey, iban, 'iban', 0.97, 'rule', NULL, pos + 18 FROM p WHERE c_custkey % 3 <> 0 "
+    "UNION ALL SELECT c_custkey, street || chr(10) || town, 'ort', 0.88, 'parser', NULL, pos + 42 FROM p WHERE c_custkey % 100 > 0 UNION ALL SELECT c_custkey, street, 'ort', 0.82, 'rule', 'below_threshold', pos + 42 FROM p WHERE c_custkey % 100 = 0) "
+    "SELECT c_custkey, entity, category, cast(confidence AS DOUBLE) AS confidence, 1 AS occurrences, source AS detection_source, reason IS NOT NULL AS needs_review, NULL::VARCHAR AS date_kind, reason AS review_reason, s || '-' || s + strlen(entity) AS offsets FROM e"
+)
+
+
+@query(_CUSTOMER_ENTITIES)
 def entities_customers(spark, sf_dir):
     """The whole detection over customer notes: blocks of street and postcode, persons, accounts, phones."""
     return resolve.entity_rows(resolve.detect(spread(customer_notes(spark, sf_dir))), "c_custkey")
@@ -307,7 +318,7 @@ def entities_customers(spark, sf_dir):
 def entity_counts_by_category(spark, sf_dir):
     """Entities of customer notes by category: each has a person, a phone, an address (block or street) and the word IBAN."""
     rows = resolve.entity_rows(resolve.detect(spread(customer_notes(spark, sf_dir))), "c_custkey")
-    return rows.filter("category <> 'produkt'").groupBy("category").agg(F.count("*").alias("entities"))
+    return rows.groupBy("category").agg(F.count("*").alias("entities"))
 
 
 @query(
@@ -413,20 +424,28 @@ def encode_text(spark, sf_dir):
     return substitute.encode(_docs(spark, sf_dir), _email_map(spark, sf_dir)).select("doc_id", F.md5("text").alias("digest"), "replacements_made")
 
 
-@query("SELECT doc_id, true AS same FROM documents")
+_UNIQUE = "'<<' || md5(original) || '>>'"
+
+
+@query(_ENCODED.replace("'Email-' || row_number() OVER (ORDER BY k)", _UNIQUE) + " SELECT doc_id, true AS same, md5(text) AS digest, cast(e[2] AS INTEGER) AS replacements_made FROM enc JOIN documents USING (doc_id)")
 def decode_round_trip(spark, sf_dir):
-    """Encoded documents decoded again, by surrogates that no text holds."""
+    """Encoded documents decoded again, by surrogates that no text holds: the first text, and as many replacements as surrogates."""
     items = _email_items(spark, sf_dir).withColumn("surrogate", F.concat(F.lit("<<"), F.md5("original"), F.lit(">>")))
     grown = written(m.add_bulk(m.empty(spark), items), "emails")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("text").alias("before"))
+    docs = _docs(spark, sf_dir).withColumn("before", F.col("text"))
     there = written(substitute.encode(docs, grown).drop("replacements_made"), "encoded")
-    return substitute.decode(there, grown).select("doc_id", F.expr("text = before").alias("same"))
+    return substitute.decode(there, grown).select("doc_id", F.expr("text = before").alias("same"), F.md5("text").alias("digest"), "replacements_made")
 
 
-@query(f"WITH o AS ({_EMAILS}) SELECT doc_id, original AS term, cast((length(text) - length(replace(text, original, ''))) / length(original) AS BIGINT) AS n FROM documents, o WHERE contains(text, original)")
+@query(
+    _MAP + ", t AS (SELECT doc_id, original, surrogate, string_split(text, original) AS pieces FROM documents, s WHERE contains(text, original)), "
+    "u AS (SELECT *, unnest(range(1, len(pieces))) AS k FROM t) "
+    "SELECT doc_id, cast(pos AS INTEGER) AS start, cast(pos + strlen(original) AS INTEGER) AS \"end\", original AS term, surrogate AS replacement FROM (SELECT *, list_sum(list_transform(pieces[1:k], lambda x: strlen(x))) + (k - 1) * strlen(original) AS pos FROM u)"
+)
 def preview_spans(spark, sf_dir):
+    """Every place of every mapped address in the documents, in bytes."""
     grown = _email_map(spark, sf_dir)
-    return substitute.preview(_docs(spark, sf_dir), grown).select("doc_id", F.explode("spans").alias("s")).groupBy("doc_id", F.col("s.term").alias("term")).agg(F.count("*").alias("n"))
+    return substitute.preview(_docs(spark, sf_dir), grown).select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.start", "s.end", "s.term", "s.replacement")
 
 
 @query()
