@@ -543,6 +543,23 @@ def test_passages_around_boilerplate(spark):
         assert together >= (95 if edit else 100) * alike / 100 and alike >= 90
 
 
+@pytest.mark.parametrize("crowd,family", [(200, 20), (120, 60)])
+def test_passages_of_parts_that_a_crowd_has_apart(spark, crowd, family):
+    """Two blocks of 30 words apart in a crowd, side by side with one own word between them in a family of documents."""
+    rng = random.Random(crowd)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    one, two = words(30), words(30)
+    texts = [words(rng.randint(20, 60)) + one + words(rng.randint(60, 90)) + two + words(rng.randint(20, 60)) for _ in range(crowd)]
+    texts += [words(rng.randint(20, 60)) + one + words(1) + two + words(rng.randint(20, 60)) for _ in range(family)]
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    docs = spark.createDataFrame([(order[i], " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    told = Counter()
+    for r in passages.repeated_passages(docs).collect():
+        told[r["class_doc_id"], r["class_start"]] += order.index(r["doc_id"]) >= crowd
+    assert max(told.values(), default=0) >= 0.95 * family
+
+
 def test_passages_of_copies(spark):
     """Copies of a text have its passages, too; they are removals."""
     rng = random.Random(15)
