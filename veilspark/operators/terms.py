@@ -269,8 +269,8 @@ def shards(entries: DataFrame) -> Iterator[Broadcast]:
     parts = max(1, -(-size["n"] // MAX_ENTRIES), -(-size["b"] // MAX_BYTES))
     for k in range(parts):
         mine = entries.filter(F.pmod(F.xxhash64("o"), F.lit(parts)) == k) if parts > 1 else entries
-        made = mine.select("o", "n", "r").coalesce(1).mapInArrow(_built, "data binary").first()
-        yield spark.sparkContext.broadcast(bytes(made["data"]) if made else pickle.dumps(Entries([])))
+        made = mine.select("o", "n", "r").coalesce(1).mapInArrow(_built, "data binary").collect()  # one row of bounded size
+        yield spark.sparkContext.broadcast(bytes(made[0]["data"]) if made else pickle.dumps(Entries([])))
 
 
 def one_shard(entries: DataFrame) -> Broadcast | None:

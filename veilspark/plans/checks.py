@@ -3,6 +3,7 @@ drawn from whole tables, so that both outcomes of each test occur."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import lexicon
@@ -290,3 +291,53 @@ def money_digits(spark, sf_dir):
     """Amounts in digits of any script; the place is one in bytes, here told as the characters before it."""
     rows = extract(_unicode_notes(spark, sf_dir), _PASSES.get("money_suffix_word"), "text", ["c_custkey"])
     return rows.select("c_custkey", "mention", (F.col("start") + 17 - F.when(F.col("c_custkey") % 2 == 0, 1).otherwise(0)).alias("start_char"))
+
+
+# --- files through the mapping -------------------------------------------------------------------------------------------------
+
+
+def _word_files(frames):
+    """A Word file a row (target, name): the name split over two pieces of different format, and an address in an entity."""
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    space = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    for frame in frames:
+        made = []
+        for name in frame["name"]:
+            out = io.BytesIO()
+            body = f"<w:p><w:r><w:t>an {name[:5]}</w:t></w:r><w:r><w:rPr><w:b/></w:rPr><w:t>{name[5:]}</w:t></w:r><w:r><w:t>!</w:t></w:r></w:p><w:p><w:r><w:t>{name} &amp; {name}</w:t></w:r></w:p>"
+            with zipfile.ZipFile(out, "w") as z:
+                z.writestr("word/document.xml", f"<w:document {space}><w:body>{body}</w:body></w:document>")
+            made.append(out.getvalue())
+        yield pd.DataFrame({"target": frame["target"], "data": made})
+
+
+@query(
+    "SELECT s_suppkey, 'an Firma-' || s_suppkey || '!' || chr(10) || 'Firma-' || s_suppkey || ' & Firma-' || s_suppkey AS encoded, 3 AS replacements_made, "
+    "'an ' || s_name || '!' || chr(10) || s_name || ' & ' || s_name AS decoded, 3 AS decoded_replacements FROM supplier"
+)
+def mapped_files(spark, sf_dir):
+    """A Word file a supplier, rewritten through the mapping of all suppliers and back; terms reach over pieces of a paragraph."""
+    folders = [new_folder(spark, "word") for _ in range(2)]
+    for folder in folders:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hadoop)
+    suppliers = table(spark, sf_dir, "supplier")
+    mapping = suppliers.select(F.col("s_name").alias("original"), F.concat(F.lit("Firma-"), "s_suppkey").alias("surrogate"), F.lit(True).alias("confirmed"))
+    files.write_copies(suppliers.select(F.concat(F.lit(f"{folders[0]}/"), "s_suppkey", F.lit(".docx")).alias("target"), F.col("s_name").alias("name")).mapInPandas(_word_files, "target string, data binary"))
+    there = files.mapped_copies(spark, folders[0], mapping)
+    files.write_copies(there.select(F.regexp_replace("target", "^.*/", f"{folders[1]}/").alias("target"), "data"))
+    back = files.mapped_copies(spark, folders[1], mapping, "decode")
+    key = F.regexp_extract("path", "/([0-9]+)[^/]*$", 1).cast("long").alias("s_suppkey")
+    read = lambda df: df.select(key, F.col("replacements_made"), F.col("data"))
+    text = F.pandas_udf(_word_text, "string")
+    one = read(there).select("s_suppkey", text("data").alias("encoded"), "replacements_made")
+    two = read(back).select("s_suppkey", text("data").alias("decoded"), F.col("replacements_made").alias("decoded_replacements"))
+    return one.join(two, "s_suppkey")
+
+
+def _word_text(data: pd.Series) -> pd.Series:
+    return data.map(lambda d: files.read_word(bytes(d)).strip())

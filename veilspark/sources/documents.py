@@ -232,6 +232,129 @@ def copies(spark: SparkSession, path: str, pairs: list[tuple[str, str]], mode: s
     return files.mapInPandas(run, "path string, target string, data binary")
 
 
+#: Pieces of text in Word and Excel parts, and what ends a row of pieces that belong together.
+_TEXT = {"docx": re.compile(r"(<w:t(?: [^>]*)?>)([^<]*)(</w:t>)|(</w:p>|<w:tab ?/>|<w:br[ />]|<w:cr ?/>)"), "xlsx": re.compile(r"(<t(?: [^>]*)?>)([^<]*)(</t>)|(</si>|</is>)")}
+_ENTITY = re.compile(r"&(?:#x([0-9A-Fa-f]+)|#([0-9]+)|(amp|lt|gt|quot|apos));")
+_NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+
+
+def _plain(xml: str) -> str:
+    return _ENTITY.sub(lambda m: chr(int(m[1], 16)) if m[1] else chr(int(m[2])) if m[2] else _NAMED[m[3]], xml)
+
+
+def _escaped(text: str) -> str:
+    return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+
+
+def replaced_in_pieces(pieces: list[str], old: str, new: str) -> tuple[list[str], int]:
+    """Pieces of one text with each occurrence of ``old`` replaced, also where it reaches over several pieces: the new text
+    stands in the piece where the old one began. And how often."""
+    text = "".join(pieces)
+    found, at = [], text.find(old)
+    while at >= 0:
+        found.append(at)
+        at = text.find(old, at + len(old))
+    if not found:
+        return pieces, 0
+    out, begin = [], 0
+    for piece in pieces:
+        end, made, pos = begin + len(piece), "", begin
+        for at in found:
+            if at + len(old) <= begin or at >= end:
+                continue
+            made += text[pos : max(at, begin)] + (new if at >= begin else "")
+            pos = min(at + len(old), end)
+        out.append(made + text[pos:end])
+        begin = end
+    return out, len(found)
+
+
+def _rows_of_pieces(part: str, kind: str) -> list[list[re.Match]]:
+    """Matches of text pieces, a list for each paragraph, cell or stretch between tabs and breaks."""
+    rows: list[list[re.Match]] = [[]]
+    for found in _TEXT[kind].finditer(part):
+        if found[4]:
+            rows.append([])
+        else:
+            rows[-1].append(found)
+    return [r for r in rows if r]
+
+
+def _parts(data: bytes, ext: str) -> Iterator[tuple[str, str]]:
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        for name in z.namelist():
+            if rewritten_part(name, ext):
+                yield name, z.read(name).decode("utf-8")
+
+
+def _kind(ext: str) -> str:
+    return "docx" if ext == "docx" else "xlsx"
+
+
+def texts_of(data: bytes, ext: str) -> list[str]:
+    """The texts that a copy rewrites: the whole of a text file, the paragraphs of a Word file, the cells of a workbook."""
+    if ext in ("txt", "md"):
+        return [data.decode("utf-8")]
+    return ["".join(_plain(m[2]) for m in row) for _, part in _parts(data, ext) for row in _rows_of_pieces(part, _kind(ext))]
+
+
+def rewritten(data: bytes, ext: str, pairs: dict[int, list[tuple[str, str]]]) -> tuple[bytes, int]:
+    """The file with the terms of each of its texts (by number) replaced in turn, and how many replacements that took."""
+    number, made = 0, 0
+
+    def fold(pieces: list[str]) -> list[str]:
+        nonlocal number, made
+        for old, new in pairs.get(number, ()):
+            pieces, n = replaced_in_pieces(pieces, old, new)
+            made += n
+        number += 1
+        return pieces
+
+    if ext in ("txt", "md"):
+        return fold([data.decode("utf-8")])[0].encode("utf-8"), made
+
+    def rewrite(part: str) -> str:
+        out, at = [], 0
+        for row in _rows_of_pieces(part, _kind(ext)):
+            before = [_plain(m[2]) for m in row]
+            for m, old, new in zip(row, before, fold(before), strict=True):
+                if new != old:
+                    tag = m[1] if "xml:space" in m[1] or new == new.strip() else m[1][:-1] + ' xml:space="preserve">'
+                    out += [part[at : m.start()], tag, _escaped(new), m[3]]
+                    at = m.end()
+        return "".join([*out, part[at:]])
+
+    return replace_in_zip(data, ext, rewrite), made
+
+
+def mapped_copies(spark: SparkSession, path: str, mapping: DataFrame, mode: str = "encode") -> DataFrame:
+    """(path, target, data, replacements_made): the files under a path with the mapping's confirmed entries replaced, longest
+    first, in texts of Word and Excel files also where a term is split over pieces of different format. Originals become
+    surrogates, or with ``mode`` decode surrogates originals (literally).
+
+    The files' texts are searched like any other texts, so mappings of any size will do; each file then meets the entries of
+    its own texts in one join by path. Files that can't be read raise."""
+    from ..operators.substitute import with_pairs
+
+    search, put = ("original", "surrogate") if mode == "encode" else ("surrogate", "original")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", output_path(F.col("path"), mode).alias("target"), extension(F.col("path")).alias("ext"), "content").filter(supported(F.col("path")))
+
+    def texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(p, i, t) for p, e, d in zip(frame["path"], frame["ext"], frame["content"], strict=True) for i, t in enumerate(texts_of(bytes(d), e))]
+            yield pd.DataFrame(rows, columns=["path", "number", "text"])
+
+    found = with_pairs(files.select("path", "ext", "content").mapInPandas(texts, "path string, number int, text string"), mapping, search, put, "text")
+    of_file = found.filter("size(__pairs) > 0").groupBy("path").agg(F.collect_list(F.struct("number", F.col("__pairs").alias("pairs"))).alias("texts"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            made = [rewritten(bytes(d), e, {t["number"]: [(x["o"], x["n"]) for x in t["pairs"]] for t in (ts if ts is not None else ())}) for d, e, ts in zip(frame["content"], frame["ext"], frame["texts"], strict=True)]
+            yield pd.DataFrame({"path": frame["path"], "target": frame["target"], "data": [m[0] for m in made], "replacements_made": [m[1] for m in made]})
+
+    return files.join(of_file, "path", "left").mapInPandas(run, "path string, target string, data binary, replacements_made int")
+
+
 def write_copies(made: DataFrame) -> list[str]:
     """Writes copies to their targets (any store that pyarrow opens) from the executors; returns the paths."""
 
