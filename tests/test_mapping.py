@@ -137,3 +137,45 @@ def test_reviews(spark):
     grown = {r["original"]: r["surrogate"] for r in review.grown(stored, found, reviews).collect()}
     assert grown == {"anna": "Person-4", "zoe": "Person-9", "Bob": "B-1", "Dorfen": "Address-1" if grown["Dorfen"].startswith("A") else grown["Dorfen"], "new": "Company-1"}
     assert review.grown(stored, found.limit(0), reviews.limit(0)).count() == 2
+
+
+def test_store_of_deltas(spark, tmp_path, monkeypatch):
+    """A batch writes its new entries only; numbers go on over restarts and repeats, also of entries removed since; compaction
+    keeps all and removes what nothing reads."""
+    monkeypatch.setattr(detect_stream, "COMPACT_AFTER", 2)
+    store = lambda: detect_stream.MappingStore(spark, f"{tmp_path}/store")
+    new = lambda *names: items(spark, [(n, "person", None) for n in names])
+    read = lambda df: {r["original"]: r["surrogate"] for r in df.collect()}
+    assert read(store().mapping()) == {}
+    assert read(store().add(0, new("Anna", "Bob"))) == {"Anna": "Person-1", "Bob": "Person-2"}
+    assert read(store().add(1, new("ANNA", "Cora"))) == {"Anna": "Person-1", "Bob": "Person-2", "Cora": "Person-3"}
+    assert read(spark.read.parquet(f"{tmp_path}/store/delta-000000000001")) == {"Cora": "Person-3"}
+    assert read(store().add(1, new("never"))) == read(store().mapping())  # a repeated batch finds its own delta
+    # Cora, who has the highest number, is removed from the store: the number isn't given again.
+    spark.createDataFrame([], m.SCHEMA).write.mode("overwrite").parquet(f"{tmp_path}/store/delta-000000000001")
+    want = {"Anna": "Person-1", "Bob": "Person-2", "Dora": "Person-4"}
+    assert read(store().add(2, new("Dora"))) == want
+    store().compact(2)
+    assert store().numbers("base") == [2] and read(store().mapping()) == want
+    for number, name in enumerate(("Eva", "Fred", "Gus", "Hans"), 3):
+        store().add(number, new(name))
+        store().compact(number)
+    assert store().numbers("base")[-1] == 6 and 0 not in store().numbers("delta") and 2 not in store().numbers("delta")
+    assert read(store().mapping()) == want | {"Eva": "Person-5", "Fred": "Person-6", "Gus": "Person-7", "Hans": "Person-8"}
+
+
+def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
+    docs = lambda *texts: spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    docs("Mail an a@b.de").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("doc_id int, text string").parquet(f"{tmp_path}/in")
+
+    def run():
+        q = detect_stream.pseudonymize(stream, f"{tmp_path}/map", f"{tmp_path}/out", f"{tmp_path}/check")
+        q.processAllAvailable()
+        q.stop()
+        return sorted(r["text"] for r in spark.read.option("recursiveFileLookup", "true").parquet(f"{tmp_path}/out").collect())
+
+    assert run() == ["Mail an Email-1"]
+    docs("nun c@d.de und a@b.de").write.mode("append").parquet(f"{tmp_path}/in")
+    assert run() == ["Mail an Email-1", "nun Email-2 und Email-1"]
+    assert {r["surrogate"] for r in spark.read.parquet(f"{tmp_path}/map/delta-000000000001").collect()} == {"Email-2"}

@@ -61,6 +61,11 @@ def next_labels(mapping: DataFrame, kept: DataFrame | None = None) -> DataFrame:
 def add_bulk(mapping: DataFrame, items: DataFrame, kept: DataFrame | None = None) -> DataFrame:
     """The mapping with new entries of ``items`` (original, category, surrogate or null, position): an original that is
     there, in any case, is left as it is; of several new ones the first counts. Blank surrogates are numbered."""
+    return mapping.unionByName(additions(mapping, items, kept))
+
+
+def additions(mapping: DataFrame, items: DataFrame, kept: DataFrame | None = None) -> DataFrame:
+    """The entries that ``add_bulk`` adds."""
     first = Window.partitionBy(F.lower("original")).orderBy("position")
     fresh = items.filter("original IS NOT NULL").withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
     fresh = fresh.join(mapping.select(F.lower("original").alias("__key")).distinct(), F.lower("original") == F.col("__key"), "left_anti")
@@ -78,7 +83,7 @@ def add_bulk(mapping: DataFrame, items: DataFrame, kept: DataFrame | None = None
     free = numbered(arrived.unionByName(gaps, allowMissingColumns=True), "label", ["i", "taken", "original"], "r").filter("taken = 0")
     named = free.withColumn("surrogate", F.concat_ws("-", "label", (F.coalesce("n", F.lit(0)) + F.col("r")).cast("string")))
     new = given.select("original", "surrogate", "category").unionByName(named.select("original", "surrogate", "category"))
-    return mapping.unionByName(new.select(entry_id(F.col("original")).alias("id"), "original", "surrogate", "category", F.lit(True).alias("confirmed")))
+    return new.select(entry_id(F.col("original")).alias("id"), "original", "surrogate", "category", F.lit(True).alias("confirmed"))
 
 
 def import_entries(mapping: DataFrame, entries: DataFrame) -> DataFrame:
