@@ -211,35 +211,41 @@ def det_company_signal(spark, sf_dir):
     return _mentions(part_notes(spark, sf_dir), "company_signal", "p_partkey")
 
 
-def _literal(rule: str, template: str):
-    """One mention a nation in a template with its name."""
+#: For each customer a word of its own, a day, a year and an amount, in both dialects ({s}: the type of strings).
+_WORD = "'Ko' || translate(cast(c_custkey AS {s}), '0123456789', 'abcdefghij')"
+_DAY, _YEAR, _AMOUNT = "cast(c_custkey % 28 + 1 AS {s})", "cast(1950 + c_custkey % 70 AS {s})", "cast(c_custkey % 997 + 1 AS {s})"
+#: rule: (before what is found, what is found, behind it), and the text of every second customer, in which nothing is.
+_PARTS = {
+    "person_title": ("'Wir trafen Herr '", _WORD, "' gestern.'", f"'Wir trafen Her ' || {_WORD} || ' gestern.'"),
+    "person_greeting": ("'Hallo '", _WORD, "', danke.'", f"'Hallo ' || lower({_WORD}) || ', danke.'"),
+    "person_dear": ("'Liebe '", _WORD, "', danke.'", f"'Liebes ' || {_WORD} || ', danke.'"),
+    "company_legal": ("'bei der '", f"{_WORD} || ' GmbH'", "' gekauft'", f"'bei der ' || {_WORD} || ' Gmb gekauft'"),
+    "company_hyphen": ("'von '", f"'ABX-' || {_WORD}", "' geprüft'", f"'von Abx-' || {_WORD} || ' geprüft'"),
+    "company_acronym": ("'von '", f"'KMD ' || {_WORD}", "' geprüft'", f"'von Kmd ' || {_WORD} || ' geprüft'"),
+    "place": (f"{_WORD} || ' liegt in '", "CASE c_custkey % 3 WHEN 0 THEN 'Schweden' WHEN 1 THEN 'schweden' ELSE 'SCHWEDEN' END", "'.'", f"{_WORD} || ' liegt in Schwedena.'"),
+    "date_day_month": ("'am '", f"{_DAY} || '. März ' || {_YEAR}", "' war es'", f"'am 31. Februar ' || {_YEAR} || ' war es'"),
+    "date_month_year": ("'seit '", f"'April ' || {_YEAR}", "' hier'", "'seit April ' || cast(2040 + c_custkey % 70 AS {s}) || ' hier'"),
+    "date_slash": ("'am '", f"{_DAY} || '/6/' || {_YEAR}", "' war es'", f"'am ' || {_DAY} || '/13/' || {_YEAR} || ' war es'"),
+    "money_suffix_symbol": ("'kostet '", f"'1.' || {_AMOUNT} || '€'", "' netto'", f"'kostet 1.' || {_AMOUNT} || ' Kronen netto'"),
+    "money_prefix_code": ("'kostet '", f"'CHF ' || {_AMOUNT}", "' netto'", f"'kostet CHX ' || {_AMOUNT} || ' netto'"),
+    "street_preposition": (f"{_WORD} || ', '", f"'Am Markt ' || {_AMOUNT}", "'.'", f"{_WORD} || ', Am markt ' || {_AMOUNT} || '.'"),
+}
+
+
+def _parted(rule: str, before: str, found: str, behind: str, nothing: str):
+    """Mentions of one rule in a note a customer, every second one of which holds none, with their places in bytes."""
 
     def run(spark, sf_dir):
-        names = F.initcap(F.regexp_replace(F.lower("n_name"), "[^a-z]", ""))
-        rows = table(spark, sf_dir, "nation").select("n_nationkey", F.format_string(template, names).alias("text"))
-        return _mentions(rows, rule, "n_nationkey")
+        note = f"CASE WHEN c_custkey % 2 = 0 THEN {before} || {found} || {behind} ELSE {nothing} END".replace("{s}", "string")
+        rows = table(spark, sf_dir, "customer").select("c_custkey", F.expr(note).alias("text"))
+        return extract(rows, _PASSES.get(rule), "text", ["c_custkey"]).select("c_custkey", "mention", "start")
 
     run.__name__ = f"det_{rule}"
     return run
 
 
-_NATION = "upper(substr(regexp_replace(lower(n_name), '[^a-z]', '', 'g'), 1, 1)) || substr(regexp_replace(lower(n_name), '[^a-z]', '', 'g'), 2)"
-for _rule, _template, _expected in (
-    ("person_title", "Wir trafen Herr %s gestern.", "{n}"),
-    ("person_greeting", "Hallo %s, danke.", "{n}"),
-    ("person_dear", "Liebe %s, danke.", "{n}"),
-    ("company_legal", "bei der %s GmbH gekauft", "{n} || ' GmbH'"),
-    ("company_hyphen", "von ABX-%s geprüft", "'ABX-' || {n}"),
-    ("company_acronym", "von KMD %s geprüft", "'KMD ' || {n}"),
-    ("place", "%s liegt in Schweden.", "'Schweden'"),
-    ("date_day_month", "%s am 3. März 2021", "'3. März 2021'"),
-    ("date_month_year", "%s seit April 2020", "'April 2020'"),
-    ("date_slash", "%s am 5/6/2019", "'5/6/2019'"),
-    ("money_suffix_symbol", "%s kostet 1.250€", "'1.250€'"),
-    ("money_prefix_code", "%s kostet CHF 99", "'CHF 99'"),
-    ("street_preposition", "%s, Am Markt 5", "'Am Markt 5'"),
-):
-    query(f"SELECT n_nationkey, {_expected.format(n=_NATION)} AS mention, 1 AS n FROM nation")(_literal(_rule, _template))
+for _rule, _texts in _PARTS.items():
+    query(f"SELECT c_custkey, {_texts[1]} AS mention, cast(strlen({_texts[0]}) AS INTEGER) AS start FROM customer WHERE c_custkey % 2 = 0".replace("{s}", "VARCHAR"))(_parted(_rule, *_texts))
 
 
 # --- scalar functions ------------------------------------------------------------------------------------------------------
