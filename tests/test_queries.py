@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from veilspark.plans import checks  # noqa: F401
@@ -21,8 +22,8 @@ def duck():
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    plain = lambda v: round(float(v), 9) if isinstance(v, float) else v.item() if hasattr(v, "item") else v
-    return sorted(tuple(map(plain, r)) for r in frame.itertuples(index=False))
+    plain = lambda v: None if pd.isna(v) else round(float(v), 9) if isinstance(v, float) else v.item() if hasattr(v, "item") else v
+    return sorted((tuple(map(plain, r)) for r in frame.itertuples(index=False)), key=repr)
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
