@@ -1,0 +1,105 @@
+"""Token classification by a model: windows, batches, byte places, and what follows from its tokens."""
+
+import json
+
+import numpy as np
+import pytest
+
+from veilspark.operators import ner, resolve
+
+WORDS = {"B-PER": ["Anna", "Özgür"], "I-PER": ["Weber"], "B-LOC": ["Köln"], "B-ORG": ["Köln", "Nordwind"]}
+LONG = " ".join(["und"] * 700 + ["Özgür", "Weber", "in", "Köln"] + ["oder"] * 900 + ["Anna"])
+
+
+def docs(spark):
+    rows = [(1, "Anna Weber\twohnt in Köln bei  Nordwind"), (2, None), (3, ""), (4, "nichts"), (5, LONG), (6, " \n ")]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def tokens(frame):
+    return sorted((r["doc_id"], r["pos"], r["label"], round(r["conf"], 6), r["start"], r["end"]) for r in frame.collect())
+
+
+def plain(text, limit=None):
+    """(pos, label, start, end) of a text's words, one at a time."""
+    labels, at, out = {w: k for k, ws in reversed(list(WORDS.items())) for w in ws}, 0, []
+    for pos, word in enumerate(text.split()[:limit]):
+        at = text.index(word, at)
+        start = len(text[:at].encode())
+        at += len(word)
+        out.append((pos, labels.get(word, "O"), start, start + len(word.encode())))
+    return out
+
+
+@pytest.mark.parametrize("overlap", [None, 0, 128, 255])
+def test_tokens_are_those_of_single_texts(spark, overlap):
+    found = tokens(ner.tokens_of(docs(spark), model=ner.word_model(WORDS), overlap=overlap))
+    expected = [(r["doc_id"], *t) for r in docs(spark).collect() for t in plain(r["text"] or "", ner.MAX_TOKENS if overlap is None else None)]
+    assert [(d, p, label, s, e) for d, p, label, _, s, e in found] == expected
+    assert all(0.9 < c <= 1 for *_, c, _, _ in found)
+
+
+def test_model_from_a_folder(spark, tmp_path):
+    model = ner.word_model(WORDS)
+    assert tokens(ner.tokens_of(docs(spark), str(tmp_path))) == []
+    with pytest.raises(FileNotFoundError, match="model.onnx, tokenizer.json, labels.json"):
+        ner.Model.read(str(tmp_path))
+    (tmp_path / "model.onnx").write_bytes(model.onnx)
+    (tmp_path / "tokenizer.json").write_text(model.tokenizer)
+    (tmp_path / "labels.json").write_text(json.dumps(dict(enumerate(model.labels))))
+    assert ner.Model.read(str(tmp_path)) == model
+    assert ner.ner_status(spark, str(tmp_path)).first()["available"]
+    assert tokens(ner.tokens_of(docs(spark), str(tmp_path))) == tokens(ner.tokens_of(docs(spark), model=model))
+
+
+def test_model_too_large_to_send_is_read_by_tasks(spark, tmp_path, monkeypatch):
+    model = ner.word_model(WORDS)
+    (tmp_path / "model.onnx").write_bytes(model.onnx)
+    (tmp_path / "tokenizer.json").write_text(model.tokenizer)
+    (tmp_path / "labels.json").write_text(json.dumps(model.labels))
+    monkeypatch.setattr(ner, "MODEL_BYTES", 10)
+    assert tokens(ner.tokens_of(docs(spark), str(tmp_path))) == tokens(ner.tokens_of(docs(spark), model=model))
+
+
+def test_special_tokens_are_left_out(spark):
+    from tokenizers import Tokenizer, processors
+
+    model = ner.word_model(WORDS)
+    tokenizer = Tokenizer.from_str(model.tokenizer)
+    tokenizer.post_processor = processors.TemplateProcessing(single="[UNK] $A [UNK]", special_tokens=[("[UNK]", 0)])
+    marked = ner.Model(model.onnx, tokenizer.to_str(), model.labels)
+    found = tokens(ner.tokens_of(docs(spark), model=marked, overlap=100))
+    assert [(d, p - 1, *rest) for d, p, *rest in found] == tokens(ner.tokens_of(docs(spark), model=model, overlap=100))
+
+
+def test_surest_label_of_windows():
+    places, labels, conf = np.array([0, 1, 2, 1, 2, 3]), np.array([0, 1, 1, 0, 2, 1]), np.array([0.9, 0.5, 0.8, 0.7, 0.8, 0.6])
+    assert ner.best_of(places, labels, conf).tolist() == [0, 3, 2, 5]
+    assert ner.best_of(places[:0], labels[:0], conf[:0]).tolist() == []
+
+
+def test_batches_hold_every_window_once():
+    lengths = np.random.default_rng(1).integers(1, 513, 1000).tolist()
+    found = list(ner.batches(lengths, 2048))
+    assert sorted(np.concatenate(found).tolist()) == list(range(1000))
+    assert all(max(lengths[i] for i in b) * len(b) <= 2048 for b in found) and len(list(ner.batches([600, 700], 500))) == 2
+
+
+def test_byte_places():
+    text = "aß€😀b"
+    assert ner.byte_places(text).tolist() == [len(text[:i].encode()) for i in range(6)] and ner.byte_places("").tolist() == [0]
+
+
+def test_overlap_is_bounded(spark):
+    with pytest.raises(ValueError, match="overlap"):
+        ner.tokens_of(docs(spark), model=ner.word_model(WORDS), overlap=256)
+
+
+def test_from_tokens_to_entities(spark):
+    rows = docs(spark)
+    spans = ner.merge_tokens(ner.tokens_of(rows, model=ner.word_model(WORDS), overlap=64), rows)
+    found = sorted((r["doc_id"], r["category"], r["text"]) for r in spans.collect())
+    assert found == [(1, "firma", "Nordwind"), (1, "ort", "Köln"), (1, "person", "Anna Weber"), (5, "ort", "Köln"), (5, "person", "Anna"), (5, "person", "Özgür Weber")]
+    joined = rows.join(ner.as_candidates(spans), "doc_id", "left").withColumn("ner", resolve.F.coalesce("ner", resolve.F.expr(f"cast(array() AS array<{resolve.CANDIDATE}>)")))
+    entities = {r["doc_id"]: {(e["text"], e["category"], e["detection_source"]) for e in r["entities"]} for r in resolve.detect(joined, ner_col="ner").collect()}
+    assert {("Anna Weber", "person", "ner"), ("Köln", "ort", "ner"), ("Nordwind", "firma", "ner")} <= entities[1] and not entities[4]
