@@ -179,3 +179,16 @@ def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
     docs("nun c@d.de und a@b.de").write.mode("append").parquet(f"{tmp_path}/in")
     assert run() == ["Mail an Email-1", "nun Email-2 und Email-1"]
     assert {r["surrogate"] for r in spark.read.parquet(f"{tmp_path}/map/delta-000000000001").collect()} == {"Email-2"}
+
+
+def test_first_start_and_reset(spark, tmp_path):
+    path = f"{tmp_path}/saved"
+    assert m.load_or_empty(spark, path).count() == 0 and not m.reset(spark, path)
+    rows = [("1", "Anna", "P-1", "person", True), ("2", "ANNA", "P-2", "person", False), ("3", None, "P-3", "person", True)]
+    m.save(spark.createDataFrame(rows, m.empty(spark).schema), path)
+    assert sorted(r["id"] for r in m.load_or_empty(spark, path).collect()) == ["1", "3"]
+    (tmp_path / "saved" / "other.txt").write_text("x")
+    with pytest.raises(ValueError, match="more than"):
+        m.reset(spark, path)
+    (tmp_path / "saved" / "other.txt").unlink()
+    assert m.reset(spark, path) and m.load_or_empty(spark, path).count() == 0

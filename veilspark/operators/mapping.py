@@ -89,8 +89,9 @@ def additions(mapping: DataFrame, items: DataFrame, kept: DataFrame | None = Non
 def import_entries(mapping: DataFrame, entries: DataFrame) -> DataFrame:
     """The mapping with entries whose originals are new; a new original under a known id takes that id's place."""
     keys = mapping.select(F.lower("original").alias("__key")).distinct()
-    first = Window.partitionBy(F.lower("original")).orderBy("id")
-    fresh = entries.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n").join(keys, F.lower("original") == F.col("__key"), "left_anti")
+    # The least id of an original, merged before the shuffle however often it comes.
+    least = F.min(F.struct("id", *[c for c in mapping.columns if c != "id"])).alias("e")
+    fresh = entries.groupBy(F.lower("original").alias("__low")).agg(least).join(keys, F.col("__low") == F.col("__key"), "left_anti").select("e.*")
     return mapping.join(fresh.select("id").distinct(), "id", "left_anti").unionByName(fresh.select(mapping.columns))
 
 
@@ -140,3 +141,24 @@ def load(spark: SparkSession, path: str, field: str = "surrogate", pretty: bool
     schema = f"version int, created_at string, entries array<struct<id: string, original: string, `{field}`: string, category: string, confirmed: boolean>>"
     rows = spark.read.schema(schema).option("multiLine", str(pretty).lower()).json(path).select(F.explode("entries").alias("e"))
     return rows.select("e.id", "e.original", F.col("e")[field].alias("surrogate"), "e.category", "e.confirmed")
+
+
+def load_or_empty(spark: SparkSession, path: str, field: str = "surrogate", pretty: bool = False) -> DataFrame:
+    """The mapping saved at ``path``, through the rules of an import; an empty one where nothing is there (a first start)."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return empty(spark)
+    return import_entries(empty(spark), load(spark, path, field, pretty))
+
+
+def reset(spark: SparkSession, path: str) -> bool:
+    """Removes a saved mapping; whether there was one. Only a folder of JSON documents or a single one is removed."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(at):
+        return False
+    if store.getFileStatus(at).isDirectory():
+        names = [f.getPath().getName() for f in store.listStatus(at)]
+        if not all(n.endswith(".json") or n.startswith(("_", ".")) for n in names):
+            raise ValueError(f"{path!r} holds more than a saved mapping")
+    return bool(store.delete(at, True))

@@ -10,12 +10,15 @@ import io
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 EXTENSIONS = ["txt", "md", "docx", "xlsx", "xls", "xlsm"]
 SCHEMA = "content string, source_path string, format string, error string"
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -124,6 +127,43 @@ def cell_text(kind: str | None, value: str | None, shared: list[str], inline: st
     return str(int(number)) if number == int(number) else repr(number)
 
 
+#: Numbers of built-in formats that show a date or a time.
+_DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
+_NO_DATE = re.compile(r'"[^"]*"|\\.|_.|\*.|\[(?!h+\]|m+\]|s+\])[^\]]*\]', re.I)
+
+
+def is_date_format(number: int, code: str | None = None) -> bool:
+    """Whether a number format shows a date or a time: built-in ones by number, others by day, month, year, hour or second in
+    the first section of their code, outside quotes, escapes and conditions."""
+    if code is None:
+        return number in _DATE_FORMATS
+    return bool(re.search(r"[dmyhs]", _NO_DATE.sub("", code).split(";")[0], re.I)) and "general" not in code.lower()
+
+
+def serial_date(value: float, from_1904: bool = False) -> str | None:
+    """A workbook's date number as ISO text: a date, a date and time, or below one day a time of day; None outside the
+    calendar. Numbers below 60 of the 1900 calendar count a 29 February 1900 that did not exist."""
+    if not 0 <= value < 2958466:
+        return None
+    if value < 1:
+        seconds = round(value * 86400) % 86400
+        return f"{seconds // 3600:02}:{seconds // 60 % 60:02}:{seconds % 60:02}"
+    first = datetime(1904, 1, 1) if from_1904 else datetime(1899, 12, 31) if value < 60 else datetime(1899, 12, 30)
+    days, seconds = divmod(round(value * 86400), 86400)
+    at = first + timedelta(days=days, seconds=seconds)
+    return at.date().isoformat() if not seconds else at.isoformat(sep=" ")
+
+
+def _date_styles(z: zipfile.ZipFile) -> set[int]:
+    """Numbers of the cell styles that show dates."""
+    if "xl/styles.xml" not in z.namelist():
+        return set()
+    root = ElementTree.fromstring(z.read("xl/styles.xml"))
+    codes = {int(e.get("numFmtId")): e.get("formatCode") or "" for e in root.iter(f"{_S}numFmt")}
+    formats = [int(e.get("numFmtId") or 0) for cells in root.iter(f"{_S}cellXfs") for e in cells.iter(f"{_S}xf")]
+    return {i for i, f in enumerate(formats) if is_date_format(f, codes.get(f))}
+
+
 def _column(reference: str) -> int:
     n = 0
     for c in re.match(r"[A-Z]*", reference)[0]:
@@ -131,8 +171,9 @@ def _column(reference: str) -> int:
     return n - 1
 
 
-def read_excel(data: bytes) -> str:
-    """Every sheet: its name, its rows that aren't empty with tabs between cells, a blank line."""
+def read_excel(data: bytes, dates: bool = False) -> str:
+    """Every sheet: its name, its rows that aren't empty with tabs between cells, a blank line. Cells that show a date hold a
+    number of days, which is what they give, or with ``dates`` the date (``serial_date``)."""
     if not zipfile.is_zipfile(io.BytesIO(data)):
         raise UnsupportedFormat("only zipped workbooks can be read")
     with zipfile.ZipFile(io.BytesIO(data)) as z:
@@ -140,7 +181,18 @@ def read_excel(data: bytes) -> str:
         shared = [texts(e) for e in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in z.namelist() else []
         targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
         out = ""
-        for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_S}sheet"):
+        book = ElementTree.fromstring(z.read("xl/workbook.xml"))
+        dated = _date_styles(z) if dates else set()
+        from_1904 = any(e.get("date1904") in ("1", "true") for e in book.iter(f"{_S}workbookPr"))
+
+        def shown(c: ElementTree.Element) -> str:
+            value, kind = c.find(f"{_S}v"), c.get("t")
+            value = None if value is None else value.text
+            if value is not None and kind in (None, "n") and int(c.get("s") or 0) in dated and (date := serial_date(float(value), from_1904)):
+                return date
+            return cell_text(kind, value, shared, texts(c) if kind == "inlineStr" else None)
+
+        for sheet in book.iter(f"{_S}sheet"):
             out += f"=== Sheet: {sheet.get('name')} ===\n"
             target = targets[sheet.get(f"{_R}id")]
             root = ElementTree.fromstring(z.read(target.lstrip("/") if target.startswith("/") else f"xl/{target}"))
@@ -148,8 +200,7 @@ def read_excel(data: bytes) -> str:
             for row in root.iter(f"{_S}row"):
                 cells = {}
                 for at, c in enumerate(row.iter(f"{_S}c")):
-                    value = c.find(f"{_S}v")
-                    cells[_column(c.get("r")) if c.get("r") else at] = cell_text(c.get("t"), None if value is None else value.text, shared, texts(c) if c.get("t") == "inlineStr" else None)
+                    cells[_column(c.get("r")) if c.get("r") else at] = shown(c)
                 rows.append(cells)
             used = [k for r in rows for k in r]
             for cells in rows:
@@ -159,18 +210,18 @@ def read_excel(data: bytes) -> str:
     return out
 
 
-def parse(data: bytes, ext: str) -> str:
+def parse(data: bytes, ext: str, dates: bool = False) -> str:
     if ext in ("txt", "md"):
         return data.decode("utf-8")
     if ext == "docx":
         return read_word(data)
     if ext in ("xlsx", "xls", "xlsm"):
-        return read_excel(data)
+        return read_excel(data, dates)
     raise UnsupportedFormat(f"extension {ext!r}")
 
 
-def read_documents(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """(content, source_path, format, error) of the files under a path or pattern."""
+def read_documents(spark: SparkSession, path: str, strict: bool = True, dates: bool = False) -> DataFrame:
+    """(content, source_path, format, error) of the files under a path or pattern. ``dates``: see ``read_excel``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content", extension(F.col("path")).alias("ext"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -178,7 +229,7 @@ def read_documents(spark: SparkSession, path: str, strict: bool = True) -> DataF
             rows = []
             for p, data, ext in zip(frame["path"], frame["content"], frame["ext"], strict=True):
                 try:
-                    rows.append((parse(bytes(data), ext), p, "xlsx" if ext.startswith("xls") else ext, None))
+                    rows.append((parse(bytes(data), ext, dates), p, "xlsx" if ext.startswith("xls") else ext, None))
                 except (ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError) as e:
                     if strict:
                         raise
@@ -355,8 +406,9 @@ def mapped_copies(spark: SparkSession, path: str, mapping: DataFrame, mode: str
     return files.join(of_file, "path", "left").mapInPandas(run, "path string, target string, data binary, replacements_made int")
 
 
-def write_copies(made: DataFrame) -> list[str]:
-    """Writes copies to their targets (any store that pyarrow opens) from the executors; returns the paths."""
+def write_copies(made: DataFrame) -> DataFrame:
+    """Writes files (target, data) to their targets, any store that pyarrow opens, from the executors, once; returns the
+    targets, a table in the shared folder. A task that runs twice writes the same."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
@@ -368,4 +420,11 @@ def write_copies(made: DataFrame) -> list[str]:
                     f.write(bytes(data))
             yield frame[["target"]]
 
-    return [r["target"] for r in made.mapInPandas(run, "target string").collect()]
+    return written(made.select("target", "data").mapInPandas(run, "target string"), "targets")
+
+
+def write_texts(texts: DataFrame, path_col: str = "target", text_col: str = "text") -> DataFrame:
+    """Writes each text as a UTF-8 file of its own at its path (null: an empty file), as ``write_copies`` does. Rows without a
+    path write nothing; paths should be distinct."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return write_copies(texts.filter(F.col(path_col).isNotNull()).select(F.col(path_col).alias("target"), text.cast("binary").alias("data")))
