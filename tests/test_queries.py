@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from veilspark.plans import checks  # noqa: F401
+from veilspark.plans import checks, files  # noqa: F401
 from veilspark.plans.queries import QUERIES, SQL
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
