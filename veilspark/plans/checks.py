@@ -10,7 +10,7 @@ from ..functions import lexicon
 from ..operators import mapping as m
 from ..operators import ner, resolve, review, substitute
 from ..operators.extract import extract
-from ..operators.rules import Passes
+from ..operators.rules import Passes, rules
 from ..sources import documents as files
 from ..storage import new_folder
 from .pipeline import accepted, spread
@@ -341,3 +341,53 @@ def mapped_files(spark, sf_dir):
 
 def _word_text(data: pd.Series) -> pd.Series:
     return data.map(lambda d: files.read_word(bytes(d)).strip())
+
+
+# --- listed persons and groups of mentions -------------------------------------------------------------------------------
+
+# What stands after 'heute kam ', and what of it is a person: words of office are cut from its end, but one word stays; a
+# particle may come first; names that are words, too, are none.
+_COMERS = ["Anna Weber Manager", "Rose Weber", "Von Petra Weber", "Klaus Team Lead", "Anna  Weber Project Manager", "Nordlicht Weber", "Klaus-Peter Weber"]
+_PERSONS = ["'Anna Weber'", "NULL", "'Von Petra Weber'", "'Klaus'", "'Anna  Weber'", "NULL", "NULL"]
+
+
+@query(
+    "SELECT * FROM (SELECT c_custkey, CASE c_custkey % 7 " + " ".join(f"WHEN {i} THEN {p}" for i, p in enumerate(_PERSONS)) + " END AS mention, CASE WHEN c_custkey % 7 = 3 THEN 0.72 ELSE 0.78 END AS confidence, "
+    "11 AS start, 11 + strlen(mention) AS \"end\" FROM customer) WHERE mention IS NOT NULL"
+)
+def person_tails(spark, sf_dir):
+    """Listed persons with words of office behind them, particles before them, and names that are excluded."""
+    note = "concat('heute käm ', CASE c_custkey % 7 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(_COMERS)) + " END, ' und ging.')"
+    named = Passes(tuple(rules(first_names=["Anna", "Petra", "Klaus", "Rose"])))
+    return extract(table(spark, sf_dir, "customer").select("c_custkey", F.expr(note).alias("text")), named.get("person_listed"))
+
+
+_FAR = "'und so weiter und so fort, wie es schon immer war und auch in aller Zukunft ganz sicher bleiben wird; '"
+_NUMBER = "'030' || lpad(cast(c_custkey % 1000000 AS {string}), 7, '1')"
+
+
+def _grouped_note(string: str) -> str:
+    """A place, a phone number and a date twice, a person once greeted and once named; even and odd customers in other order."""
+    n = _NUMBER.format(string=string)
+    either = lambda one, two: f"CASE WHEN c_custkey % 2 = 0 THEN {one} ELSE {two} END"
+    parts = ["'Liebe Anna Weber, ß in '", either("'Zürich und ZÜRICH; '", "'ZÜRICH und Zürich; '"), either("'Tel. '", "'Num. '"), n, "'; '", _FAR, either("'Num. '", "'Tel. '"), n, "'; '", _FAR]
+    parts += [either("'geboren am '", "'seit dem '"), "'12.05.2001; '", _FAR, either("'seit dem '", "'verstorben am '"), "'12.05.2001; '", _FAR, "'danke, Anna Weber'"]
+    return " || ".join(f"({p})" for p in parts)
+
+
+@query(
+    f"WITH c AS (SELECT c_custkey, {_grouped_note('VARCHAR')} AS note, {_NUMBER.format(string='VARCHAR')} AS number FROM customer), "
+    "g AS (SELECT c_custkey, note, 'ort' AS category, CASE WHEN c_custkey % 2 = 0 THEN 'Zürich' ELSE 'ZÜRICH' END AS t, 0.8 AS confidence, 'rule' AS source, NULL AS kind FROM c "
+    "UNION ALL SELECT c_custkey, note, 'telefon', number, 0.92, 'rule', NULL FROM c "
+    "UNION ALL SELECT c_custkey, note, 'datum', '12.05.2001', CASE WHEN c_custkey % 2 = 0 THEN 0.93 ELSE 0.91 END, 'rule', CASE WHEN c_custkey % 2 = 0 THEN 'geburtsdatum' ELSE 'datum' END FROM c "
+    "UNION ALL SELECT c_custkey, note, 'person', 'Anna Weber', 0.83, 'lexicon', NULL FROM c) "
+    "SELECT c_custkey, category, t AS entity, confidence, source, kind, 2 AS occurrences, strlen(split_part(lower(note), lower(t), 1)) AS first_start, "
+    "strlen(note) - strlen(split_part(lower(note), lower(t), 3)) AS last_end FROM g"
+)
+def grouped_mentions(spark, sf_dir):
+    """Mentions of a pass by their keys: places in any case as they first stand, the surest of phone numbers, dates of birth by
+    one mention, persons by their names with the strongest source."""
+    notes = table(spark, sf_dir, "customer").select("c_custkey", F.expr(_grouped_note("string")).alias("text"))
+    passes = Passes(tuple(r for r in rules() if r.id in ("place", "phone_compact", "date_dot", "person_dear", "person_listed")))
+    rows = resolve.candidates(notes, passes).select("c_custkey", F.explode("__all").alias("x"))
+    return rows.select("c_custkey", F.col("x.cat").alias("category"), F.col("x.t").alias("entity"), F.col("x.conf").alias("confidence"), F.col("x.src").alias("source"), F.col("x.feats")["date_kind"].alias("kind"), F.col("x.occ").alias("occurrences"), F.expr("x.offs[0].s AS first_start"), F.expr("x.offs[1].e AS last_end"))
