@@ -177,7 +177,10 @@ def candidates(docs: DataFrame, passes: Passes | None = None, text_col: str = "t
             order.append(f"filter({ner_col}, c -> c.cat = 'person')")
         if n in passes.numbers():
             order.append(f"__c{n}")
-    out = out.withColumn("__all", F.expr(f"concat(cast(array() AS array<{CANDIDATE}>), {', '.join(order)})"))
+    # The row number's test is always true, as in ``detect``: an explode of what is found would have all of it computed again,
+    # as a filter and for each field.
+    found = f"concat(cast(array() AS array<{CANDIDATE}>), {', '.join(order)})"
+    out = out.withColumn("__all", F.expr(f"CASE WHEN monotonically_increasing_id() < 0 THEN cast(array() AS array<{CANDIDATE}>) ELSE {found} END"))
     return out.drop(*[f"__c{n}" for n in passes.numbers()])
 
 

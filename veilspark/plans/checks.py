@@ -389,5 +389,5 @@ def grouped_mentions(spark, sf_dir):
     one mention, persons by their names with the strongest source."""
     notes = table(spark, sf_dir, "customer").select("c_custkey", F.expr(_grouped_note("string")).alias("text"))
     passes = Passes(tuple(r for r in rules() if r.id in ("place", "phone_compact", "date_dot", "person_dear", "person_listed")))
-    rows = resolve.candidates(notes, passes).select("c_custkey", F.explode("__all").alias("x"))
+    rows = resolve.candidates(spread(notes), passes).select("c_custkey", F.explode("__all").alias("x"))
     return rows.select("c_custkey", F.col("x.cat").alias("category"), F.col("x.t").alias("entity"), F.col("x.conf").alias("confidence"), F.col("x.src").alias("source"), F.col("x.feats")["date_kind"].alias("kind"), F.col("x.occ").alias("occurrences"), F.expr("x.offs[0].s AS first_start"), F.expr("x.offs[1].e AS last_end"))
