@@ -11,12 +11,17 @@ from ..operators.rules import Passes
 from ..storage import written
 
 
+#: Rows of one task of a detection, some milliseconds each at most.
+SPREAD_ROWS = 20_000
+
+
 def spread(docs: DataFrame) -> DataFrame:
-    """``docs`` over at least as many partitions as there are cores: detection is all computation."""
+    """``docs`` over at least as many partitions as there are cores, and as their rows need: detection is all computation."""
     spark = docs.sparkSession
-    cores, files = spark.sparkContext.defaultParallelism, docs.inputFiles()
-    # A file gives at least one partition; few small files give few, and only then rows are dealt out.
-    return docs.repartition(cores) if len(files) < cores else docs
+    # Short rows that long texts are made of give few bytes, so few partitions by size: their number counts (of files, from footers).
+    wanted, files = max(spark.sparkContext.defaultParallelism, -(-docs.count() // SPREAD_ROWS)), docs.inputFiles()
+    # A file gives at least one partition; only where there are too few files, rows are dealt out.
+    return docs.repartition(wanted) if len(files) < wanted else docs
 
 
 def detect(docs: DataFrame, passes: Passes | None = None, text_col: str = "text", ner_col: str | None = None) -> DataFrame:
