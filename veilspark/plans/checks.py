@@ -327,10 +327,10 @@ def mapped_files(spark, sf_dir):
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hadoop)
     suppliers = table(spark, sf_dir, "supplier")
     mapping = suppliers.select(F.col("s_name").alias("original"), F.concat(F.lit("Firma-"), "s_suppkey").alias("surrogate"), F.lit(True).alias("confirmed"))
-    files.write_copies(suppliers.select(F.concat(F.lit(f"{folders[0]}/"), "s_suppkey", F.lit(".docx")).alias("target"), F.col("s_name").alias("name")).mapInPandas(_word_files, "target string, data binary"))
-    there = files.mapped_copies(spark, folders[0], mapping)
-    files.write_copies(there.select(F.regexp_replace("target", "^.*/", f"{folders[1]}/").alias("target"), "data"))
-    back = files.mapped_copies(spark, folders[1], mapping, "decode")
+    first = files.write_copies(suppliers.select(F.concat(F.lit(f"{folders[0]}/"), "s_suppkey", F.lit(".docx")).alias("target"), F.col("s_name").alias("name")).mapInPandas(_word_files, "target string, data binary"))
+    there = files.mapped_copies(spark, first, mapping)
+    second = files.write_copies(there.select(F.regexp_replace("target", "^.*/", f"{folders[1]}/").alias("target"), "data"))
+    back = files.mapped_copies(spark, second, mapping, "decode")
     key = F.regexp_extract("path", "/([0-9]+)[^/]*$", 1).cast("long").alias("s_suppkey")
     read = lambda df: df.select(key, F.col("replacements_made"), F.col("data"))
     text = F.pandas_udf(_word_text, "string")

@@ -59,9 +59,9 @@ def _letters(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"target": frame["target"], "data": made})
 
 
-def _written_letters(spark, sf_dir, folder: str) -> None:
+def _written_letters(spark, sf_dir, folder: str):
     rows = table(spark, sf_dir, "supplier").select(F.concat(F.lit(f"{folder}/"), "s_suppkey", F.lit(".docx")).alias("target"), "s_suppkey", "s_name")
-    files.write_copies(rows.mapInPandas(_letters, "target string, data binary"))
+    return files.write_copies(rows.mapInPandas(_letters, "target string, data binary"))
 
 
 def _letter_sql(name: str) -> str:
@@ -85,18 +85,16 @@ def _key(name: str):
 def word_texts(spark, sf_dir):
     """A Word file a supplier, read: paragraphs, tabs, breaks, space, entities, blank lines, tables, headers and footers."""
     folder = _folder(spark, "letters")
-    _written_letters(spark, sf_dir, folder)
-    return files.read_documents(spark, folder, strict=False).select(_key("s_suppkey"), "format", "content", "error")
+    return files.read_documents(spark, _written_letters(spark, sf_dir, folder), strict=False).select(_key("s_suppkey"), "format", "content", "error")
 
 
 @query(f"SELECT s_suppkey, {_letter_sql(_RENAMED)} AS content FROM supplier")
 def word_copies(spark, sf_dir):
     """Copies of Word files with a term replaced: document, first header and first footer change, other parts don't."""
     folder, target = _folder(spark, "letters"), _folder(spark, "copies")
-    _written_letters(spark, sf_dir, folder)
-    made = files.copies(spark, folder, [("Supplier", "Firma")])
-    files.write_copies(made.select(F.regexp_replace("target", "^.*/", f"{target}/").alias("target"), "data"))
-    return files.read_documents(spark, target).select(_key("s_suppkey"), "content")
+    made = files.copies(spark, _written_letters(spark, sf_dir, folder), [("Supplier", "Firma")])
+    written = files.write_copies(made.select(F.regexp_replace("target", "^.*/", f"{target}/").alias("target"), "data"))
+    return files.read_documents(spark, written).select(_key("s_suppkey"), "content")
 
 
 # --- workbooks -----------------------------------------------------------------------------------------------------------
@@ -135,8 +133,8 @@ def _cells_sql(day: str) -> str:
 def _books(spark, sf_dir, dates: bool):
     folder = _folder(spark, "books")
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.expr("cast(o_orderkey % 9 AS double) + 0.5D AS half"), F.datediff("o_orderdate", F.lit("1899-12-30")).alias("day"), F.concat(F.lit(f"{folder}/"), F.expr(f"o_orderkey DIV {_BOOK}"), F.lit(".xlsx")).alias("target"))
-    files.write_copies(rows.groupBy("target").applyInPandas(_workbook, "target string, data binary"))
-    return files.read_documents(spark, folder, dates=dates).select(_key("book"), "format", "content")
+    books = files.write_copies(rows.groupBy("target").applyInPandas(_workbook, "target string, data binary"))
+    return files.read_documents(spark, books, dates=dates).select(_key("book"), "format", "content")
 
 
 @query(_cells_sql("date_diff('day', DATE '1899-12-30', cast(o_orderdate AS DATE))"))
@@ -159,8 +157,7 @@ def texts_written(spark, sf_dir):
     """Every document as a file of its own, read again."""
     folder = _folder(spark, "texts")
     rows = table(spark, sf_dir, "documents").select(F.concat(F.lit(f"{folder}/"), "doc_id", F.lit(".txt")).alias("target"), "text")
-    files.write_texts(rows)
-    return files.read_documents(spark, folder).select(_key("doc_id"), "content", "format")
+    return files.read_documents(spark, files.write_texts(rows)).select(_key("doc_id"), "content", "format")
 
 
 @query(
