@@ -16,6 +16,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +62,11 @@ class Packer:
 
     def __init__(self, limits: Limits):
         self.limits, self.waiting = limits, []
+        self.sizes: list[tuple[int, int, int]] = []  # of the waiting pieces
+
+    def wait(self, piece: Piece) -> None:
+        self.waiting.append(piece)
+        self.sizes.append((len(piece.ids), 1, piece.loss()))
 
     def add(self, piece: Piece) -> Iterator[list[Piece]]:
         cap = self.limits
@@ -70,18 +76,18 @@ class Packer:
                 yield [full]
             while piece.loss() > cap.loss_tokens or len(piece.ids) > cap.tokens:
                 part, piece = piece.split(min(cap.tokens, max(1, piece.loss_from - piece.start) if piece.loss_from > piece.start else cap.loss_tokens))
-                self.waiting.append(part)
+                self.wait(part)
         elif len(piece.ids) > cap.tokens or piece.loss() > cap.loss_tokens:
             raise ValueError(f"document {piece.doc_id} exceeds a limit and cutting is off")
         if len(piece.ids):
-            self.waiting.append(piece)
+            self.wait(piece)
         while len(self.waiting) > cap.window:
             yield self.fill()
 
     def fill(self) -> list[Piece]:
         """One sequence from the waiting pieces."""
         cap, chosen = self.limits, []
-        sizes = np.array([(len(p.ids), 1, p.loss()) for p in self.waiting], dtype=np.int64)
+        sizes = np.array(self.sizes, dtype=np.int64)
         scaled = sizes / np.array([cap.tokens, cap.segments, cap.loss_tokens])
         left = np.array([cap.tokens, cap.segments, cap.loss_tokens], dtype=np.int64)
         free = np.ones(len(sizes), dtype=bool)
@@ -101,10 +107,11 @@ class Packer:
             if piece.loss(take) > left[2]:
                 take = max(0, int(max(piece.loss_from - piece.start, 0) + left[2]))
             if take:
-                part, self.waiting[largest] = piece.split(take)
+                part, rest = piece.split(take)
                 chosen.append(part)
-                free[largest] = len(self.waiting[largest].ids) > 0
-        self.waiting = [p for p, f in zip(self.waiting, free, strict=True) if f]
+                free[largest] = len(rest.ids) > 0
+                self.waiting[largest], self.sizes[largest] = rest, (len(rest.ids), 1, rest.loss())
+        self.waiting, self.sizes = (list(compress(x, free)) for x in (self.waiting, self.sizes))
         return chosen
 
     def close(self) -> Iterator[list[Piece]]:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import re
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import tiktoken
@@ -30,6 +31,21 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class _Chunks(dict):
+    """Ids of chunks behind a blank: known ones are looked up without a step of Python, others made."""
+
+    def __init__(self, pieces: tiktoken.Encoding):
+        super().__init__()
+        self.pieces = pieces
+
+    def __missing__(self, chunk: str) -> bytes:
+        found = self.pieces.encode_ordinary(" " + chunk)
+        ids = pack(f"<{len(found)}I", *found)
+        if len(self) < CACHE_ENTRIES and len(chunk) <= CACHE_CHARS:
+            self[chunk] = ids
+        return ids
+
+
 class ByteBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -40,13 +56,7 @@ class ByteBpe:
         ranks = {bytes(byte_of[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in special}
         self.pieces = tiktoken.Encoding("chunks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.odd = re.compile("|".join([r"\s ", *map(re.escape, special)]))
-        self.cache: dict[str, bytes] = {}
-
-    def _chunk(self, chunk: str) -> bytes:
-        ids = np.array(self.pieces.encode_ordinary(" " + chunk), dtype="<u4").tobytes()
-        if len(self.cache) < CACHE_ENTRIES and len(chunk) <= CACHE_CHARS:
-            self.cache[chunk] = ids
-        return ids
+        self.cache = _Chunks(self.pieces)
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids, without special tokens added."""
@@ -55,9 +65,8 @@ class ByteBpe:
         if self.odd.search(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         first, *chunks = text.split(" ")
-        get, make = self.cache.get, self._chunk
         head = np.array(self.pieces.encode_ordinary(first), dtype="<u4").tobytes()
-        return head + b"".join([get(c) or make(c) for c in chunks])
+        return head + b"".join(map(self.cache.__getitem__, chunks))
 
 
 @lru_cache(maxsize=2)
