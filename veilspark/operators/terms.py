@@ -14,6 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -118,18 +119,36 @@ class TermIndex:
         return np.searchsorted(offsets[1:], place[order], side="right"), place[order], term[order]
 
 
+class _Strings:
+    """Strings as one run of bytes and where each begins: no object a string."""
+
+    def __init__(self, values: list[bytes]):
+        self.bounds = np.append(0, np.cumsum([len(v) for v in values])).astype(np.int32)  # MAX_BYTES at most
+        self.data = np.frombuffer(b"".join(values), np.uint8)
+
+    def __getitem__(self, i: int) -> bytes:
+        return self.data[self.bounds[i] : self.bounds[i + 1]].tobytes()
+
+    def take(self, at: pa.Array) -> pa.Array:
+        whole = pa.Array.from_buffers(pa.string(), len(self.bounds) - 1, [None, pa.py_buffer(self.bounds), pa.py_buffer(self.data)])
+        return whole.take(at)
+
+
 class Entries:
     """Terms with what belongs to them: (term, its companion, what it becomes), the longest first, then by bytes. Equal terms
     are one term of the index; each entry counts."""
 
     def __init__(self, rows: list[tuple[bytes, bytes, bytes]]):
         rows = sorted(rows, key=lambda r: (-len(r[0]), r[0], r[1]))
-        self.olds, self.news, self.made = ([r[k] for r in rows] for k in range(3))
-        firsts = [i for i, o in enumerate(self.olds) if i == 0 or o != self.olds[i - 1]]
+        firsts = [i for i, r in enumerate(rows) if i == 0 or r[0] != rows[i - 1][0]]
         self.begins = np.array([*firsts, len(rows)])
-        self.index = TermIndex([self.olds[i] for i in firsts])
-        self.strings = pa.array(self.olds, pa.binary()).cast(pa.string()), pa.array(self.news, pa.binary()).cast(pa.string())
-        self.longest = len(self.olds[0]) if rows else 0
+        self.index = TermIndex([rows[i][0] for i in firsts])
+        self.olds, self.news, self.made = (_Strings([r[k] for r in rows]) for k in range(3))
+        self.longest = len(rows[0][0]) if rows else 0
+
+    @property
+    def strings(self) -> tuple[_Strings, _Strings]:
+        return self.olds, self.news
 
     def entries_of(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in ``terms``, entry) of all entries of some terms."""
@@ -137,13 +156,15 @@ class Entries:
         of = np.repeat(np.arange(len(terms)), counts)
         return of, np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts) + self.begins[terms][of]
 
-    def find(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    def find(self, texts: list[bytes] | pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(text, place in it, term) of all occurrences, and the texts' bytes and bounds, for a few texts at a time."""
-        sizes, begin = np.cumsum([len(t) for t in texts]), 0
+        lengths = [len(t) for t in texts] if isinstance(texts, list) else pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        sizes, begin = np.cumsum(lengths, dtype=np.int64), 0
         while begin < len(texts):
             last = max(begin + 1, int(np.searchsorted(sizes, (sizes[begin - 1] if begin else 0) + WALK_BYTES, side="right")))
-            data = np.frombuffer(b"".join(texts[begin:last]), np.uint8)
-            offsets = np.append(0, np.cumsum([len(t) for t in texts[begin:last]]))
+            some = texts[begin:last] if isinstance(texts, list) else _bytes(texts.slice(begin, last - begin))
+            data = np.frombuffer(b"".join(some), np.uint8)
+            offsets = np.append(0, np.cumsum([len(t) for t in some]))
             text, place, term = self.index.find(data, offsets)
             yield text + begin, place - offsets[text], term, data, offsets
             begin = last
@@ -188,10 +209,29 @@ class Entries:
         return [sorted(k) for k in known]
 
 
+def dumped(entries: Entries) -> bytes:
+    """Entries as bytes whose arrays need no copy to be read: their number and sizes, the pickle without them, the arrays."""
+    arrays: list[pickle.PickleBuffer] = []
+    head = pickle.dumps(entries, protocol=5, buffer_callback=arrays.append)
+    parts = [memoryview(head), *(a.raw() for a in arrays)]
+    sizes = np.array([len(parts), *(p.nbytes for p in parts)], dtype="<i8").tobytes()
+    return b"".join(x for p in (sizes, *parts) for x in (p, bytes(-len(p) % 64)))
+
+
+def loaded(data: bytes) -> Entries:
+    n = int(np.frombuffer(data, "<i8", 1)[0])
+    sizes, at, parts = np.frombuffer(data, "<i8", n + 1)[1:].tolist(), 8 * (n + 1), []
+    for size in sizes:
+        at += -at % 64
+        parts.append(memoryview(data)[at : at + size])
+        at += size
+    return pickle.loads(parts[0], buffers=parts[1:])
+
+
 @lru_cache(maxsize=1)
 def _loaded(data: Broadcast) -> Entries:
-    """One shard a worker."""
-    return pickle.loads(data.value)
+    """One shard a worker; its arrays are those of the broadcast."""
+    return loaded(data.value)
 
 
 def _bytes(texts: pa.Array) -> list[bytes]:
@@ -212,15 +252,18 @@ def _pairs(data: Broadcast) -> Callable[[pa.Array], pa.Array]:
 def _places(data: Broadcast) -> Callable[[pa.Array], pa.Array]:
     def run(texts: pa.Array) -> pa.Array:
         shard = _loaded(data)
-        counts, columns, entries = np.zeros(len(texts), np.int64), [], []
-        for text, place, term, raw, offsets in shard.find(_bytes(texts)):
-            of, entry = shard.entries_of(term)
-            text, place, length = text[of], place[of], shard.index.lengths[term[of]]
-            chars = np.append(0, np.cumsum((raw & 0xC0) != 0x80))  # bytes that begin a character
-            columns.append((text, place, length, chars, offsets, _taken(text, entry, place, length)))
-            entries.append(entry)
-            np.add.at(counts, text, 1)
-        return _as_places(shard, counts, columns, entries)
+        counts, walks, first = np.zeros(len(texts), np.int64), [], 0
+        for text, place, term, raw, offsets in shard.find(texts):
+            if len(term):  # only what was found is kept of a walk, nothing as long as its texts
+                of, entry = shard.entries_of(term)
+                text, place, length = text[of], place[of], shard.index.lengths[term[of]]
+                chars = np.append(0, np.cumsum((raw & 0xC0) != 0x80, dtype=np.int32))  # bytes that begin a character
+                begin = offsets[text - first]
+                numbers = [at.astype(np.int32) for at in (place, place + length, chars[begin + place] - chars[begin], chars[begin + place + length] - chars[begin])]
+                walks.append((*numbers, entry, _taken(text, entry, place, length)))
+                np.add.at(counts, text, 1)
+            first += len(offsets) - 1
+        return _as_places(shard, counts, walks)
 
     return run
 
@@ -240,25 +283,16 @@ def _taken(text: np.ndarray, entry: np.ndarray, place: np.ndarray, length: np.nd
     return out
 
 
-def _as_places(shard: Entries, counts: np.ndarray, columns: list, entries: list) -> pa.Array:
-    numbers: list[list[np.ndarray]] = [[], [], [], []]
-    first = 0
-    for text, place, length, chars, offsets, _ in columns:
-        begin = offsets[text - first]
-        for k, at in enumerate((place, place + length)):
-            numbers[k].append(at)
-            numbers[2 + k].append(chars[begin + at] - chars[begin])
-        first += len(offsets) - 1
-    joined = [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int32()) for c in numbers]
-    at = pa.array(np.concatenate(entries) if entries else np.zeros(0, np.int64), pa.int64())
-    taken = pa.array(np.concatenate([c[5] for c in columns]) if columns else np.zeros(0, bool))
-    flat = pa.StructArray.from_arrays([*joined, *(s.take(at) for s in shard.strings), taken], ["s", "e", "cs", "ce", "o", "n", "k"])
+def _as_places(shard: Entries, counts: np.ndarray, walks: list[tuple[np.ndarray, ...]]) -> pa.Array:
+    joined = [np.concatenate(c) for c in zip(*walks, strict=True)] if walks else [np.zeros(0, np.int32)] * 4 + [np.zeros(0, np.int64), np.zeros(0, bool)]
+    at = pa.array(joined[4])
+    flat = pa.StructArray.from_arrays([*map(pa.array, joined[:4]), *(s.take(at) for s in shard.strings), pa.array(joined[5])], ["s", "e", "cs", "ce", "o", "n", "k"])
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), flat)
 
 
 def _built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = [r for b in batches for r in zip(*(_bytes(b.column(i)) for i in range(3)), strict=True)]
-    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Entries(rows), protocol=5)], pa.binary())], ["data"])
+    yield pa.RecordBatch.from_arrays([pa.array([dumped(Entries(rows))], pa.binary())], ["data"])
 
 
 def shards(entries: DataFrame) -> Iterator[Broadcast]:
@@ -270,7 +304,7 @@ def shards(entries: DataFrame) -> Iterator[Broadcast]:
     for k in range(parts):
         mine = entries.filter(F.pmod(F.xxhash64("o"), F.lit(parts)) == k) if parts > 1 else entries
         made = mine.select("o", "n", "r").coalesce(1).mapInArrow(_built, "data binary").collect()  # one row of bounded size
-        yield spark.sparkContext.broadcast(bytes(made[0]["data"]) if made else pickle.dumps(Entries([])))
+        yield spark.sparkContext.broadcast(bytes(made[0]["data"]) if made else dumped(Entries([])))
 
 
 def one_shard(entries: DataFrame) -> Broadcast | None:
