@@ -1,0 +1,43 @@
+"""Detection's cheaper forms: what stands between matches without compiling at each call, words in branches, spans that don't overlap."""
+
+import re
+
+from veilspark.functions import lexicon, spans, text
+from veilspark.operators.extract import mentions_sql
+from veilspark.operators.rules import Passes
+
+
+def test_gaps_are_those_of_split(spark):
+    texts = ["", "12", "a12b3", "1\x01a2\x01", "x\x01y", "ä1\n22 ", "\x01"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = rows.selectExpr(f"{text.gaps('t', text.quoted('[0-9]+'))} AS a", "split(t, '[0-9]+', -1) AS b", f"{text.tokens('t')} AS c", r"filter(split(t, r'(?U)\s+', -1), w -> w <> '') AS d").collect()
+    assert all(r["a"] == r["b"] and r["c"] == r["d"] for r in found)
+
+
+def test_no_rule_splits_every_text_by_its_pattern():
+    for rule in Passes().rules:
+        sql = mentions_sql(rule)
+        assert f"split(text, {text.quoted(rule.java)}" not in sql.replace(text.gaps("text", text.quoted(rule.java)), "")
+        assert r"split(text, r'(?U)\s+'" not in sql
+
+
+def test_branched_words_match_as_listed_ones():
+    lists = (lexicon.PLACES, lexicon.BRANDS, ["Mercedes", "mercedes-Benz", "Audi", "A.B", "Österreich", "österreich 2"], ["a"], [])
+    for values in lists:
+        plain = "|".join(re.escape(v) for v in values) or "(?!)"
+        sample = " ".join([*values, *(v.upper() for v in values), *(v.lower() + "x" for v in values), "Mercedes-Benz", "AxB"])
+        find = lambda p: [m.span() for m in re.finditer(rf"(?i)\b(?:{p})\b", sample)]  # noqa: B023, E731
+        assert find(text.branched(values)) == find(plain)
+    assert text.branched(["Bern", "Basel", "Genf"]) == "B(?:ern|asel)|Genf"
+
+
+def test_days_of_months(spark):
+    days = [(29, 2, 2000), (29, 2, 1900), (29, 2, 2023), (28, 2, 2023), (30, 4, 2020), (31, 4, 2020), (31, 12, 2030), (1, 1, 2031), (0, 1, 2000), (1, 13, 2000), (None, 1, 2000)]
+    rows = spark.createDataFrame(days, "d int, m int, y int").selectExpr(f"{text.date_valid('d', 'm', 'y')} AS v").collect()
+    assert [r["v"] for r in rows] == [True, False, False, True, True, False, True, False, False, False, False]
+
+
+def test_disjoint_spans(spark):
+    lists = [[[(0, 2)], [(2, 3), (5, 6)]], [[(0, 2), (5, 9)], [(8, 9)]], [[(3, 4)]], [], [[(1, 2)], [(1, 2)]]]
+    rows = spark.createDataFrame([([(x,) for x in one],) for one in lists], "x array<struct<offs: array<struct<s: int, e: int>>>>")
+    assert [r[0] for r in rows.selectExpr(spans.disjoint("x")).collect()] == [True, False, True, True, False]

@@ -32,6 +32,12 @@ def groups(rows: str, key: str) -> str:
     return cut(rows, f"get({rows}, __i).{key} <> get({rows}, __i - 1).{key}")
 
 
+def disjoint(lists: str) -> str:
+    """SQL: whether no two spans overlap of elements of an array that each have an array of spans (s and e alone) ``offs``."""
+    clash = "exists(sequence(1, size(__o) - 1), __i -> get(__o, __i - 1).e > get(__o, __i).s)"
+    return let("__o", f"sort_array(flatten(transform({lists}, __c -> __c.offs)))", f"size(__o) < 2 OR NOT {clash}")
+
+
 def before(spans: str, end: str) -> str:
     """SQL: how many of sorted ``spans`` begin before ``end``."""
     middle = "shiftright(__a.l + __a.h, 1)"

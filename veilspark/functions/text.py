@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +22,20 @@ def quoted(text: str) -> str:
     return 'r"' + text + '"' if '"' not in text else "concat(" + ", \"'\", ".join(quoted(p) for p in text.split("'")) + ")"
 
 
+def branched(values: Sequence[str]) -> str:
+    """Regular expression of words, the first that fits, in branches by first letter (in any case): those that begin otherwise
+    exclude each other, so their order among each other tells nothing."""
+    escaped = lambda v: re.escape(v).replace("\\ ", " ").replace("\\-", "-")
+    if not all(values):
+        return "|".join(map(escaped, values))
+    begun: dict[str, list[str]] = {}
+    for v in values:
+        begun.setdefault(v[0].upper().lower(), []).append(v)
+    # Those of one letter that are written alike share it.
+    some = [f"{escaped(g[0][0])}(?:{'|'.join(escaped(v[1:]) for v in g)})" if len({v[0] for v in g}) == 1 and len(g) > 1 else "|".join(map(escaped, g)) for g in begun.values()]
+    return "|".join(some) or "(?!)"
+
+
 def words_in(values: list[str]) -> str:
     """SQL: the words as a constant array: one literal that is split when the query is planned, where it can be."""
     if values and not any(set(v) & set("|'\\") for v in values):
@@ -28,7 +45,14 @@ def words_in(values: list[str]) -> str:
 
 def tokens(text: str) -> str:
     """Blank-delimited tokens (Unicode white space)."""
-    return rf"filter(split({text}, r'(?U)\s+', -1), __w -> __w <> '')"
+    # split compiles its pattern at each call unless it is one plain character; regexp_replace keeps it.
+    return rf"filter(split(regexp_replace({text}, r'(?U)\s+', ' '), ' ', -1), __w -> __w <> '')"
+
+
+def gaps(text: str, pattern: str) -> str:
+    """SQL: what stands between the (nonempty) matches of a pattern, as split gives it, without compiling it at each call."""
+    mark = "chr(1)"
+    return f"CASE WHEN contains({text}, {mark}) THEN split({text}, {pattern}, -1) ELSE split(regexp_replace({text}, {pattern}, {mark}), {mark}, -1) END"
 
 
 def trimmed(word: str) -> str:
@@ -45,8 +69,8 @@ def iban_valid(text: str) -> str:
 
 def year(text: str) -> str:
     """The year of two digits (from 31 on the last century's) or more."""
-    n = f"try_cast({text} AS int)"
-    return f"CASE WHEN octet_length({text}) = 2 THEN {n} + CASE WHEN {n} <= 30 THEN 2000 ELSE 1900 END ELSE {n} END"
+    n = "try_cast(__year AS int)"
+    return let("__year", text, f"CASE WHEN octet_length(__year) = 2 THEN {n} + CASE WHEN {n} <= 30 THEN 2000 ELSE 1900 END ELSE {n} END")
 
 
 def month(name: str) -> str:
@@ -56,7 +80,10 @@ def month(name: str) -> str:
 
 def date_valid(day: str, month_no: str, year_no: str) -> str:
     """In the calendar, between 1900 and 2030."""
-    return f"coalesce({year_no} BETWEEN 1900 AND 2030 AND {month_no} BETWEEN 1 AND 12 AND try_to_date(concat(lpad(cast({year_no} AS string), 4, '0'), '-', lpad(cast({month_no} AS string), 2, '0'), '-', lpad(cast({day} AS string), 2, '0')), 'yyyy-MM-dd') IS NOT NULL AND {day} BETWEEN 1 AND 31, false)"
+    leap = "__date.y % 4 = 0 AND (__date.y % 100 <> 0 OR __date.y % 400 = 0)"
+    days = f"CASE WHEN __date.m IN (4, 6, 9, 11) THEN 30 WHEN __date.m <> 2 THEN 31 WHEN {leap} THEN 29 ELSE 28 END"
+    valid = f"coalesce(__date.y BETWEEN 1900 AND 2030 AND __date.m BETWEEN 1 AND 12 AND __date.d BETWEEN 1 AND {days}, false)"
+    return let("__date", f"named_struct('d', {day}, 'm', {month_no}, 'y', {year_no})", valid)
 
 
 #: Bytes before a place in which its last eight words are looked for first.

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.spans import let, running
-from ..functions.text import last_bytes, last_words, quoted, tail_trimmed, tokens
+from ..functions.text import gaps, last_bytes, last_words, quoted, tail_trimmed, tokens
 from .rules import Rule
 
 #: A mention: text, span in bytes (s, e) and in characters (cs, ce), rule, confidence, source, newlines before it (addresses).
@@ -24,22 +24,20 @@ NO_MENTIONS = f"cast(array() AS array<{MENTION}>)"
 
 
 def matches(rule: Rule, text: str, found: str) -> str:
-    """SQL: array of (m, v, cs, s, b, ln): each match, the taken text before tests, where the match begins, the context before
-    it that the rule looks at, and the newlines before it. ``found``: the matches."""
+    """SQL: array of (m, v, cs, s, ln): each match, the taken text before tests, where the match begins, and the newlines
+    before it. ``found``: the matches."""
     pattern = quoted(rule.java)
     values = f"transform({found}, __m -> named_struct('m', __m, 'v', __m))"
     if rule.take not in ("whole", "name"):
         values = f"zip_with({found}, regexp_extract_all({text}, {pattern}, 1), (__m, __w) -> named_struct('m', __m, 'v', __w))"
     # There is a gap more than there are matches, behind the last.
-    zipped = f"filter(zip_with({values}, split({text}, {pattern}, -1), (__w, __g) -> named_struct('m', __w.m, 'v', __w.v, 'g', __g)), __z -> __z.m IS NOT NULL)"
+    zipped = f"filter(zip_with({values}, {gaps(text, pattern)}, (__w, __g) -> named_struct('m', __w.m, 'v', __w.v, 'g', __g)), __z -> __z.m IS NOT NULL)"
     lines = (lambda part: f"length({part}) - length(replace({part}, chr(10), ''))") if rule.lines else (lambda part: "0")
     sizes = f"transform(__zz, __z -> named_struct('c', length(__z.g) + length(__z.m), 'b', octet_length(__z.g) + octet_length(__z.m), 'n', {lines('__z.g')} + {lines('__z.m')}))"
     sums = running(sizes, "named_struct('c', __x.c + __b.c, 'b', __x.b + __b.b, 'n', __x.n + __b.n)")
     start = "get(__ss, __i).b - octet_length(__z.m)"
-    context = {"words": last_words, "chars": last_bytes}.get(rule.context, lambda *_: "''")("__bin", start)
-    made = f"transform(__zz, (__z, __i) -> named_struct('m', __z.m, 'v', __z.v, 'cs', get(__ss, __i).c - length(__z.m), 's', {start}, 'b', {context}, 'ln', get(__ss, __i).n - ({lines('__z.m')})))"
-    out = let("__zz", zipped, let("__ss", sums, made))
-    return let("__bin", f"cast({text} AS binary)", out) if rule.context else out
+    made = f"transform(__zz, (__z, __i) -> named_struct('m', __z.m, 'v', __z.v, 'cs', get(__ss, __i).c - length(__z.m), 's', {start}, 'ln', get(__ss, __i).n - ({lines('__z.m')})))"
+    return let("__zz", zipped, let("__ss", sums, made))
 
 
 def mentions_sql(rule: Rule, text: str = "text") -> str:
@@ -52,8 +50,13 @@ def mentions_sql(rule: Rule, text: str = "text") -> str:
         value = t[rule.take]
     first = {"tail": ("__x.s + octet_length(__x.m) - octet_length(__x.v)", "__x.cs + length(__x.m) - length(__x.v)")}.get(rule.take, ("__x.s", "__x.cs"))
     long = {"whole": "__y.m", "inner": "__y.m", "name": "__y.t"}.get(rule.take, "__y.v")
-    taken = f"transform({matches(rule, text, '__f')}, __x -> named_struct('t', {value}, 'm', __x.m, 'v', __x.v, 's', {first[0]}, 'cs', {first[1]}, 'b', __x.b, 'ln', __x.ln))"
-    made = f"transform(filter({taken}, __y -> {_fill(rule.test)}), __y -> named_struct('t', __y.t, 's', __y.s, 'e', __y.s + octet_length({long}), 'cs', __y.cs, 'ce', __y.cs + length({long}), 'rule', {rule.number}, 'conf', {_fill(rule.confidence)}, 'src', '{rule.source}', 'ln', __y.ln))"
+    taken = f"transform({matches(rule, text, '__f')}, __x -> named_struct('t', {value}, 'm', __x.m, 'v', __x.v, 's', {first[0]}, 'cs', {first[1]}, 'ln', __x.ln))"
+    # The context before a match (of rules that take it whole) is read for those only that passed the test.
+    passed = f"filter({taken}, __y -> {_fill(rule.test)})"
+    if rule.context:
+        context = {"words": last_words, "chars": last_bytes}[rule.context]("__bin", "__y.s")
+        passed = let("__bin", f"cast({text} AS binary)", f"transform({passed}, __y -> named_struct('t', __y.t, 'm', __y.m, 'v', __y.v, 's', __y.s, 'cs', __y.cs, 'b', {context}, 'ln', __y.ln))")
+    made = f"transform({passed}, __y -> named_struct('t', __y.t, 's', __y.s, 'e', __y.s + octet_length({long}), 'cs', __y.cs, 'ce', __y.cs + length({long}), 'rule', {rule.number}, 'conf', {_fill(rule.confidence)}, 'src', '{rule.source}', 'ln', __y.ln))"
     gate = re.sub(r"\btext\b", text, rule.gate, count=1)
     found = f"CASE WHEN {gate} THEN regexp_extract_all({text}, {quoted(rule.java)}, 0) END"
     return let("__f", found, f"CASE WHEN size(__f) > 0 THEN {made} ELSE {NO_MENTIONS} END")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon, text
-from ..functions.spans import apart, before, groups, let
+from ..functions.spans import apart, before, disjoint, groups, let
 from .extract import MENTION, NO_MENTIONS, mentions_sql
 from .rules import Passes
 
@@ -118,10 +118,14 @@ def merge_sql(candidates: str) -> str:
     same = f"e.f.norm = c.f.norm OR (e.cat = 'person' AND c.cat = 'person' AND e.f.ident <> '' AND e.f.ident = c.f.ident) OR (e.cat = c.cat AND octet_length(c.f.t) >= 3 AND {at} > 0 AND {edge})"
     joined = f"named_struct('f', CASE WHEN e.cat = 'person' AND c.cat = 'person' THEN {chosen('e.f', 'c.f')} ELSE e.f END, 'cat', e.cat, 'conf', greatest(e.conf, c.conf), 'src', {stronger('e.src', 'c.src')}, 'occ', e.occ + c.occ, 'offs', concat(e.offs, c.offs), 'review', e.review OR c.review, 'feats', {absent_added('e.feats', 'c.feats')})"
     step = let("hit", f"array_position(transform(acc, e -> {same}), true)", f"CASE WHEN hit = 0 THEN concat(acc, array(c)) ELSE transform(acc, (e, i) -> CASE WHEN i = hit - 1 THEN {joined} ELSE e END) END")
-    merged = f"aggregate({faced}, cast(array() AS array<{_FACED}>), (acc, c) -> {step})"
+    # Most documents have nothing to merge: the fold, which copies its state at each element, is for the others.
+    any_same = f"exists(sequence(1, size(__n) - 1), __i -> {let('c', 'get(__n, __i)', f'exists(slice(__n, 1, __i), e -> {same})')})"
+    merged = let("__n", faced, f"CASE WHEN size(__n) < 2 OR NOT {any_same} THEN cast(__n AS array<{_FACED}>) ELSE aggregate(__n, cast(array() AS array<{_FACED}>), (acc, c) -> {step}) END")
     keep = "named_struct('f', c.f, 'cat', c.cat, 'conf', c.conf, 'src', c.src, 'occ', c.occ, 'offs', kept, 'review', c.review, 'feats', c.feats)"
     prune = let("kept", f"filter(c.offs, o -> NOT exists(a.used, u -> {contained('o', 'u')}))", f"CASE WHEN size(kept) = 0 THEN a ELSE named_struct('used', concat(a.used, kept), 'out', concat(a.out, array({keep}))) END")
-    pruned = f"aggregate({merged}, named_struct('used', cast(array() AS {SPANS}), 'out', cast(array() AS array<{_FACED}>)), (a, c) -> {prune}, a -> a.out)"
+    # Where no spans overlap, none lies in another.
+    pruned = f"aggregate(__g, named_struct('used', cast(array() AS {SPANS}), 'out', cast(array() AS array<{_FACED}>)), (a, c) -> {prune}, a -> a.out)"
+    pruned = let("__g", merged, f"CASE WHEN {disjoint('__g')} THEN filter(__g, c -> size(c.offs) > 0) ELSE {pruned} END")
     by_count = f"array_sort(transform({pruned}, (c, i) -> named_struct('c', c, 'i', i)), (l, r) -> CASE WHEN l.c.occ <> r.c.occ THEN r.c.occ - l.c.occ ELSE l.i - r.i END)"
     return f"transform({by_count}, x -> x.c)"
 
@@ -133,7 +137,9 @@ def resolve_sql(entities: str) -> str:
     order = "CASE WHEN l.p <> r.p THEN r.p - l.p WHEN l.e - l.s <> r.e - r.s THEN (r.e - r.s) - (l.e - l.s) WHEN l.conf > r.conf THEN -1 WHEN l.conf < r.conf THEN 1 WHEN l.i <> r.i THEN l.i - r.i ELSE l.j - r.j END"
     pick = "struct<s: int, e: int, p: int, conf: double, i: int, j: int>"
     by_entity = f"array_sort({apart(picks, pick, order)}, (l, r) -> CASE WHEN l.i <> r.i THEN l.i - r.i ELSE l.j - r.j END)"
-    return let("kk", by_entity, f"transform({groups('kk', 'i')}, g -> named_struct('c', get({entities}, get(g, 0).i), 'offs', transform(g, k -> named_struct('s', k.s, 'e', k.e))))")
+    some = let("kk", by_entity, f"transform({groups('kk', 'i')}, g -> named_struct('c', get({entities}, get(g, 0).i), 'offs', transform(g, k -> named_struct('s', k.s, 'e', k.e))))")
+    # Where no spans overlap, all stay.
+    return f"CASE WHEN {disjoint(entities)} THEN transform(filter({entities}, c -> size(c.offs) > 0), c -> named_struct('c', c, 'offs', c.offs)) ELSE {some} END"
 
 
 def score_sql(resolved: str) -> str:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
 from ..functions import lexicon, text
@@ -46,8 +45,10 @@ def _part(pattern: str, group: int) -> str:
 
 _DMY, _SLASH, _ISO = r"(\d{1,2})\.(\d{1,2})\.(\d{2,4})", r"(\d{1,2})/(\d{1,2})/(\d{2,4})", r"(\d{4})-(\d{2})-(\d{2})"
 _MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December|Januar|Februar|März|Mai|Juni|Juli|Oktober|Dezember"
-_DAY_MONTH = rf"(\d{{1,2}})\.\s?({_MONTHS})\s*(\d{{2,4}})"
-_MONTH_YEAR = rf"({_MONTHS})\s+(\d{{4}})"
+#: As branches of their first letters: few are tried at a place, and the same in the same order.
+_BRANCHED = text.branched(_MONTHS.split("|"))
+_DAY_MONTH = rf"(\d{{1,2}})\.\s?({_BRANCHED})\s*(\d{{2,4}})"
+_MONTH_YEAR = rf"({_BRANCHED})\s+(\d{{4}})"
 _CASELESS = "(?iU)"
 _BIRTH = f"CASE WHEN {text.birth_context('__before')} THEN 0.93D ELSE 0.91D END"
 _NOT_STOPPED = f"NOT arrays_overlap({text.tokens('__t')}, {text.words_in(lexicon.PERSON_STOPWORDS)}) AND {text.identity('__t')} <> ''"
@@ -59,7 +60,7 @@ def rules(first_names: list[str] | None = None, places: list[str] | None = None,
     """All rules in the order of passes; lists given replace the default ones."""
     names = text.words_in(list(first_names if first_names is not None else lexicon.FIRST_NAMES))
     by_length = sorted(places if places is not None else lexicon.PLACES, key=lambda p: -len(p.encode()))
-    quote = lambda values: "|".join(re.escape(v).replace("\\ ", " ").replace("\\-", "-") for v in values) or "(?!)"
+    quote = text.branched
     words = text.tokens("__m")
     first = text.first_substantive(words)
     listed = f"size({words}) >= 2 AND {text.known_first_name(first, names)} AND NOT array_contains({text.words_in(lexicon.NAME_EXCLUSIONS)}, {first}) AND NOT arrays_overlap({words}, {text.words_in(lexicon.PERSON_STOPWORDS)}) AND {_NOT_STOPPED}"
@@ -70,8 +71,8 @@ def rules(first_names: list[str] | None = None, places: list[str] | None = None,
         Rule("email", 10, "email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "0.98D", gate="contains(text, '@')", flags=_CASELESS),
         Rule("iban", 20, "iban", r"\b[A-Z]{2}\d{2}(?:[ \t]?[A-Z0-9]){11,30}\b", "0.97D", gate=_DIGIT, test=text.iban_valid("__t"), flags=_CASELESS),
         Rule("money_prefix_symbol", 30, "betrag", r"[$€£¥]\s?\d[\d.,]*", "0.92D", gate="text rlike '[$€£¥]'"),
-        Rule("money_suffix_symbol", 31, "betrag", r"\d[\d.,]*\s?[$€£¥]", "0.92D", gate="text rlike '[$€£¥]'"),
-        Rule("money_suffix_word", 32, "betrag", rf"\d[\d.,]*\s+(?:Euro|{CURRENCIES}|Franken?|Pfund|Dollar|Pounds?)\b", "0.92D", gate=_DIGIT, flags=_CASELESS),
+        Rule("money_suffix_symbol", 31, "betrag", r"\d[\d.,]*+\s?[$€£¥]", "0.92D", gate="text rlike '[$€£¥]'"),
+        Rule("money_suffix_word", 32, "betrag", rf"\d[\d.,]*+\s++(?:Euro|{CURRENCIES}|Franken?|Pfund|Dollar|Pounds?)\b", "0.92D", gate=_DIGIT, flags=_CASELESS),
         Rule("money_prefix_code", 33, "betrag", rf"\b(?:{CURRENCIES})\s+\d[\d.,]*\b", "0.92D", gate=_DIGIT, flags=_CASELESS),
         Rule("date_dot", 40, "datum", rf"\b{_DMY}\b", _BIRTH, gate=_DIGIT, test=_date(_part(_DMY, 1), f"try_cast({_part(_DMY, 2)} AS int)", _part(_DMY, 3)), context="words"),
         Rule("date_day_month", 41, "datum", rf"\b{_DAY_MONTH}\b", _BIRTH, gate=_DIGIT, test=_date(_part(_CASELESS + _DAY_MONTH, 1), text.month(_part(_CASELESS + _DAY_MONTH, 2)), _part(_CASELESS + _DAY_MONTH, 3)), flags=_CASELESS, context="words"),
