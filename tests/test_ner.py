@@ -103,3 +103,15 @@ def test_from_tokens_to_entities(spark):
     joined = rows.join(ner.as_candidates(spans), "doc_id", "left").withColumn("ner", resolve.F.coalesce("ner", resolve.F.expr(f"cast(array() AS array<{resolve.CANDIDATE}>)")))
     entities = {r["doc_id"]: {(e["text"], e["category"], e["detection_source"]) for e in r["entities"]} for r in resolve.detect(joined, ner_col="ner").collect()}
     assert {("Anna Weber", "person", "ner"), ("Köln", "ort", "ner"), ("Nordwind", "firma", "ner")} <= entities[1] and not entities[4]
+
+
+@pytest.mark.parametrize("overlap", [None, 0, 128])
+def test_runs_are_the_same_without_most_tokens_outside(spark, overlap):
+    rows = [(1, "Anna Weber\twohnt in Köln bei  Nordwind"), (2, None), (4, "nichts"), (5, LONG), (6, "und und Anna und und Anna Anna oder Köln"), (7, "Anna " * 600)]
+    some = spark.createDataFrame(rows, "doc_id long, text string")
+    every, few = (ner.tokens_of(some, model=ner.word_model(WORDS), overlap=overlap, outside=x) for x in (True, False))
+    runs = lambda t: sorted(map(tuple, ner.merge_tokens(t).collect()))
+    assert runs(few) == runs(every)
+    kept = tokens(few)
+    assert set(kept) < set(tokens(every)) and len(kept) < 700
+    assert sum(t[2] == "O" for t in kept) <= sum(t[2] != "O" for t in kept)

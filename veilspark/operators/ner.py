@@ -160,11 +160,12 @@ class _Session:
                 out[i] = best[at, : len(windows[i].ids)], probability[at, : len(windows[i].ids)]
         return out
 
-    def rows(self, keys: list, texts: list[str], windows: list[list], labels: Sequence[str], doc: str) -> pd.DataFrame:
+    def rows(self, keys: list, texts: list[str], windows: list[list], labels: Sequence[str], doc: str, outside: bool = True) -> pd.DataFrame:
         found = iter(self.classified([w for of_text in windows for w in of_text]))
+        plain = np.array([x.upper() == "O" for x in labels])
         parts = []
-        for key, text, of_text in zip(keys, texts, windows, strict=True):
-            place, label, conf, start, end = [], [], [], [], []
+        for row, (text, of_text) in enumerate(zip(texts, windows, strict=True)):
+            place, label, conf, at = [], [], [], []
             lead = None
             for number, window in enumerate(of_text):
                 best, probability = next(found)
@@ -174,26 +175,40 @@ class _Session:
                 # Overlapping windows are told apart by the token's number in the text.
                 lead = int(inside[0]) if lead is None else lead
                 place.append(np.arange(len(inside)) + number * self.step + lead)
-                spans = np.array(window.offsets)[inside]
                 label.append(best[inside])
                 conf.append(probability[inside])
-                start.append(spans[:, 0])
-                end.append(spans[:, 1])
+                at.append(np.stack([np.full(len(inside), number), inside]))
             if not place:
                 continue
-            place, label, conf, start, end = map(np.concatenate, (place, label, conf, start, end))
+            place, label, conf = map(np.concatenate, (place, label, conf))
             kept = best_of(place, label, conf)
+            if not outside:
+                none = plain[label[kept]]
+                kept = kept[~none | ~np.concatenate([[True], none[:-1]])]
+            if not len(kept):
+                continue
+            of_kept = np.concatenate(at, axis=1)[:, kept]
+            if len(kept) * 4 < len(place):
+                spans = np.array([of_text[w].token_to_chars(i) or (0, 0) for w, i in of_kept.T.tolist()])
+            else:
+                spans = np.concatenate([np.array(w.offsets) for w in of_text if len(w.ids)])[np.concatenate([[0], np.cumsum([len(w.ids) for w in of_text])])[of_kept[0]] + of_kept[1]]
             byte = byte_places(text)
-            parts.append(pd.DataFrame({doc: [key] * len(kept), "pos": place[kept].astype(np.int32), "label": np.array(labels, dtype=object)[label[kept]], "conf": conf[kept].astype(np.float64), "start": byte[start[kept]].astype(np.int32), "end": byte[end[kept]].astype(np.int32)}))
-        return pd.concat(parts) if parts else pd.DataFrame(columns=[doc, "pos", "label", "conf", "start", "end"])
+            parts.append((np.full(len(kept), row), place[kept].astype(np.int32), label[kept], conf[kept].astype(np.float64), byte[spans[:, 0]].astype(np.int32), byte[spans[:, 1]].astype(np.int32)))
+        if not parts:
+            return pd.DataFrame(columns=[doc, "pos", "label", "conf", "start", "end"])
+        row, place, label, conf, start, end = map(np.concatenate, zip(*parts, strict=True))
+        named = np.empty(len(keys), dtype=object)
+        named[:] = keys
+        return pd.DataFrame({doc: named[row], "pos": place, "label": np.array(labels, dtype=object)[label], "conf": conf, "start": start, "end": end})
 
 
-def tokens_of(docs: DataFrame, path: str | None = None, doc: str = "doc_id", text_col: str = "text", model: Model | None = None, overlap: int | None = None) -> DataFrame:
+def tokens_of(docs: DataFrame, path: str | None = None, doc: str = "doc_id", text_col: str = "text", model: Model | None = None, overlap: int | None = None, outside: bool = True) -> DataFrame:
     """(doc, pos, label, conf, start, end) of the tokens of each text; no rows without a model, and none of null or empty texts.
 
     Of a text the first MAX_TOKENS tokens are read. With ``overlap`` all are, in windows of MAX_TOKENS that share so many;
     of a token's labels the surest stays, the first of equals. Windows of several texts, sorted by length, go to the model
-    together. Ids should be unique, since runs are told apart by them.
+    together. Ids should be unique, since runs are told apart by them. Without ``outside``, tokens labelled O are left out but
+    for the first behind others: ``merge_tokens`` gives the same runs.
     """
     spark = docs.sparkSession
     if overlap is not None and not 0 <= overlap < MAX_TOKENS // 2:
@@ -220,9 +235,9 @@ def tokens_of(docs: DataFrame, path: str | None = None, doc: str = "doc_id", tex
                     values.append(value)
                 count += len(windows)
                 if count >= HELD_WINDOWS:
-                    yield session.rows(*held, used.labels, doc)
+                    yield session.rows(*held, used.labels, doc, outside)
                     held, count = ([], [], []), 0
-            yield session.rows(*held, used.labels, doc)
+            yield session.rows(*held, used.labels, doc, outside)
 
     return docs.select(doc, F.col(text_col).cast("string").alias("__text")).mapInPandas(run, schema)
 

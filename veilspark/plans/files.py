@@ -210,7 +210,7 @@ def ner_tokens(spark, sf_dir):
 )
 def ner_spans(spark, sf_dir):
     """Spans of whole documents, read in windows of 512 words that share 128, from the same model."""
-    tokens = ner.tokens_of(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), model=ner.word_model(_WORDS), overlap=128)
+    tokens = ner.tokens_of(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), model=ner.word_model(_WORDS), overlap=128, outside=False)
     return ner.merge_tokens(tokens).select("doc_id", "category", "start", "end", "n_tokens")
 
 
