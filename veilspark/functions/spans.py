@@ -54,5 +54,8 @@ def apart(spans: str, kind: str, order: str, blocks: str = "true") -> str:
     kept = f"flatten(transform({clusters}, __c -> CASE WHEN size(__c) = 1 THEN __c ELSE {chosen} END))"
     by_place = f"array_sort({spans}, (__l, __x) -> CASE WHEN __l.s <> __x.s THEN __l.s - __x.s ELSE __l.e - __x.e END)"
     reach = running("transform(__p, __x -> __x.e)", "greatest(__x, __b)")
-    whole = let("__p", by_place, let("__m", reach, f"array_sort({kept}, (__l, __x) -> __l.s - __x.s)"))
+    # Where none overlaps the next, all stay.
+    clash = "exists(sequence(1, size(__p) - 1), __i -> get(__p, __i - 1).e > get(__p, __i).s)"
+    chosen_of = let("__m", reach, f"array_sort({kept}, (__l, __x) -> __l.s - __x.s)")
+    whole = let("__p", by_place, f"CASE WHEN {clash} THEN {chosen_of} ELSE __p END")
     return f"CASE WHEN size({spans}) < 2 THEN {spans} ELSE {whole} END"

@@ -36,6 +36,25 @@ def branched(values: Sequence[str]) -> str:
     return "|".join(some) or "(?!)"
 
 
+def holds(column: str, values: Sequence[str]) -> str:
+    """SQL: whether any of the values stands in a text, without a pattern."""
+    return "(" + (" OR ".join(f"contains({column}, {quoted(v)})" for v in values) or "false") + ")"
+
+
+#: Characters that patterns in any case take only for those of which they are the lower case, and for the odd ones.
+_PLAIN, _ODD = frozenset("abcdefghijklmnopqrstuvwxyz0123456789 -.&äöüßóéèáàâêôç"), "\u017f\u0131\u0130"
+
+
+def may_hold(values: Sequence[str]) -> str:
+    """SQL over text and low (the text in lower case): whether any of the values may match in any case. True of a text that holds a
+    letter which a pattern in any case takes for a plain one but lower case leaves as it is, and where a value isn't plain."""
+    short = sorted({v.lower() for v in values})
+    if not all(_PLAIN.issuperset(v) for v in short):
+        return "true"
+    short = [v for v in short if not any(w != v and w in v for w in short)]  # what holds a word holds the words inside it
+    return f"({holds('low', short)} OR {holds('text', _ODD)})"
+
+
 def words_in(values: list[str]) -> str:
     """SQL: the words as a constant array: one literal that is split when the query is planned, where it can be."""
     if values and not any(set(v) & set("|'\\") for v in values):
@@ -121,7 +140,7 @@ def phone_plausible(text: str) -> str:
 
 def phone_confidence(before: str) -> str:
     """0.92 if one of the cues stands in what ``last_bytes`` gives, else 0.84."""
-    return f"CASE WHEN {' OR '.join(f'contains(lower({before}), {quoted(k)})' for k in lexicon.PHONE_CUES)} THEN 0.92D ELSE 0.84D END"
+    return f"CASE WHEN {before} <> '' AND {holds(f'lower({before})', lexicon.PHONE_CUES)} THEN 0.92D ELSE 0.84D END"
 
 
 def normalized(text: str) -> str:

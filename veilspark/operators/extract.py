@@ -40,8 +40,15 @@ def matches(rule: Rule, text: str, found: str) -> str:
     return let("__zz", zipped, let("__ss", sums, made))
 
 
-def mentions_sql(rule: Rule, text: str = "text") -> str:
-    """SQL: array of the rule's mentions in a text that isn't null."""
+def of_gates(text: str) -> dict[str, str]:
+    """SQL of what gates know of a text, by name."""
+    return {"text": text, "low": f"lower({text})", "digits": rf"{text} rlike r'\p{{Nd}}'"}
+
+
+def mentions_sql(rule: Rule, text: str = "text", made: bool = False) -> str:
+    """SQL: array of the rule's mentions in a text that isn't null. ``made``: what gates know is in columns __low and __digits."""
+    known = of_gates(text) | ({"low": "__low", "digits": "__digits"} if made else {})
+    over = lambda sql: re.sub(r"\b(text|low|digits)\b", lambda m: known[m[0]], sql)
     t = {"whole": "__x.m", "head": "__x.v", "tail": "__x.v", "inner": r"regexp_replace(__x.v, r'(?U)^\s+|\s+$', '')"}
     if rule.take == "name":  # office and role words at the end are cut, white space between the rest stays
         count = f"size({tail_trimmed(tokens('__x.m'))})"
@@ -51,15 +58,20 @@ def mentions_sql(rule: Rule, text: str = "text") -> str:
     first = {"tail": ("__x.s + octet_length(__x.m) - octet_length(__x.v)", "__x.cs + length(__x.m) - length(__x.v)")}.get(rule.take, ("__x.s", "__x.cs"))
     long = {"whole": "__y.m", "inner": "__y.m", "name": "__y.t"}.get(rule.take, "__y.v")
     taken = f"transform({matches(rule, text, '__f')}, __x -> named_struct('t', {value}, 'm', __x.m, 'v', __x.v, 's', {first[0]}, 'cs', {first[1]}, 'ln', __x.ln))"
-    # The context before a match (of rules that take it whole) is read for those only that passed the test.
-    passed = f"filter({taken}, __y -> {_fill(rule.test)})"
+    # A match that is taken whole is tested before places are looked for, which many texts need not then.
+    early = rule.take == "whole" and rule.test != "true"
+    passed = f"filter({taken}, (__y, __i) -> get(__ok, __i))" if early else f"filter({taken}, __y -> {_fill(rule.test)})" if rule.test != "true" else taken
     if rule.context:
+        # The context before a match (of rules that take it whole) is read for those only that passed the test, in texts with a cue.
         context = {"words": last_words, "chars": last_bytes}[rule.context]("__bin", "__y.s")
-        passed = let("__bin", f"cast({text} AS binary)", f"transform({passed}, __y -> named_struct('t', __y.t, 'm', __y.m, 'v', __y.v, 's', __y.s, 'cs', __y.cs, 'b', {context}, 'ln', __y.ln))")
+        with_context = lambda b: f"transform({passed}, __y -> named_struct('t', __y.t, 'm', __y.m, 'v', __y.v, 's', __y.s, 'cs', __y.cs, 'b', {b}, 'ln', __y.ln))"
+        passed = f"CASE WHEN {over(rule.cue)} THEN {let('__bin', f'cast({text} AS binary)', with_context(context))} ELSE {with_context(chr(39) * 2)} END"
     made = f"transform({passed}, __y -> named_struct('t', __y.t, 's', __y.s, 'e', __y.s + octet_length({long}), 'cs', __y.cs, 'ce', __y.cs + length({long}), 'rule', {rule.number}, 'conf', {_fill(rule.confidence)}, 'src', '{rule.source}', 'ln', __y.ln))"
-    gate = re.sub(r"\btext\b", text, rule.gate, count=1)
-    found = f"CASE WHEN {gate} THEN regexp_extract_all({text}, {quoted(rule.java)}, 0) END"
-    return let("__f", found, f"CASE WHEN size(__f) > 0 THEN {made} ELSE {NO_MENTIONS} END")
+    if early:
+        tested = re.sub(r"(?<![\w.])(__t|__m)(?!\w)", "__e", rule.test)
+        made = let("__ok", f"transform(__f, __e -> {tested})", f"CASE WHEN array_contains(__ok, true) THEN {made} ELSE {NO_MENTIONS} END")
+    some = let("__f", f"regexp_extract_all({text}, {quoted(rule.java)}, 0)", f"CASE WHEN size(__f) > 0 THEN {made} ELSE {NO_MENTIONS} END")
+    return f"CASE WHEN {over(rule.gate)} THEN {some} ELSE {NO_MENTIONS} END"
 
 
 def _fill(sql: str) -> str:
@@ -76,7 +88,7 @@ def mentions(rule: Rule, text: str = "text") -> Column:
 def extract(docs: DataFrame, rule: Rule, text_col: str = "text", id_cols: list[str] | None = None) -> DataFrame:
     """A row a mention of one rule: ids, text, start, end (bytes), confidence. Null text has none."""
     ids = id_cols or [c for c in docs.columns if c != text_col]
-    rows = docs.filter(F.col(text_col).isNotNull()).select(*ids, F.col(text_col).alias("text"))
+    rows = docs.filter(F.col(text_col).isNotNull()).select(*ids, F.col(text_col).alias("text")).selectExpr("*", *(f"{sql} AS __{name}" for name, sql in of_gates("text").items() if name != "text"))
     # The outer form: a plain explode would have the matches computed once more, as a filter.
-    out = rows.select(*ids, F.explode_outer(mentions(rule)).alias("x")).filter("x IS NOT NULL")
+    out = rows.select(*ids, F.explode_outer(F.expr(mentions_sql(rule, made=True))).alias("x")).filter("x IS NOT NULL")
     return out.select(*ids, F.col("x.t").alias("mention"), F.col("x.s").alias("start"), F.col("x.e").alias("end"), F.col("x.conf").alias("confidence"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon, text
 from ..functions.spans import apart, before, disjoint, groups, let
-from .extract import MENTION, NO_MENTIONS, mentions_sql
+from .extract import MENTION, NO_MENTIONS, mentions_sql, of_gates
 from .rules import Passes
 
 SPANS = "array<struct<s: int, e: int>>"
@@ -98,9 +98,12 @@ def block_sql(candidates: str) -> str:
     spans = f"flatten(transform({candidates}, (c, i) -> transform(c.offs, (o, j) -> named_struct('s', o.s, 'e', o.e, 'i', i, 'j', j))))"
     order = "CASE WHEN l.i <> r.i THEN l.i - r.i ELSE l.j - r.j END"
     kept = f"array_sort({apart(spans, 'struct<s: int, e: int, i: int, j: int>', order, '__k.i <> __y.i')}, (l, r) -> {order})"
-    one = "named_struct('p', c.p, 'cat', c.cat, 't', c.t, 'conf', c.conf, 'src', c.src, 'occ', size(g), 'offs', transform(g, o -> named_struct('s', o.s, 'e', o.e)), 'review', c.review, 'feats', c.feats)"
-    made = let("kk", kept, f"transform({groups('kk', 'i')}, g -> {let('c', f'get({candidates}, get(g, 0).i)', one)})")
-    return f"CASE WHEN size({candidates}) = 0 THEN {candidates} ELSE {made} END"
+    one = lambda offsets: f"named_struct('p', c.p, 'cat', c.cat, 't', c.t, 'conf', c.conf, 'src', c.src, 'occ', size({offsets}), 'offs', {offsets}, 'review', c.review, 'feats', c.feats)"
+    some = let("c", f"get({candidates}, get(g, 0).i)", let("o", "transform(g, o -> named_struct('s', o.s, 'e', o.e))", one("o")))
+    made = let("kk", kept, f"transform({groups('kk', 'i')}, g -> {some})")
+    # Where no spans overlap, all stay.
+    whole = f"transform(filter({candidates}, c -> size(c.offs) > 0), c -> {one('c.offs')})"
+    return f"CASE WHEN size({candidates}) = 0 THEN {candidates} WHEN {disjoint(candidates)} THEN {whole} ELSE {made} END"
 
 
 #: A candidate while entities are merged: with its face.
@@ -165,13 +168,14 @@ def candidates(docs: DataFrame, passes: Passes | None = None, text_col: str = "t
     passes = passes or Passes()
     out = docs.withColumn("text" if text_col == "text" else "__text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     src = "text" if text_col == "text" else "__text"
+    out = out.withColumns({f"__{name}": F.expr(sql) for name, sql in of_gates(src).items() if name != "text"})
     # A step's columns are made together: each step is one analysis of a large expression, not one a pass.
-    sources = lambda rules: "concat(" + ", ".join([NO_MENTIONS, *(mentions_sql(r, src) for r in rules)]) + ")"
+    sources = lambda rules: "concat(" + ", ".join([NO_MENTIONS, *(mentions_sql(r, src, made=True) for r in rules)]) + ")"
     numbers = passes.numbers()
     found = {f"__m{n}": sources(passes.of(n)) for n in numbers if n != 6}
     if 6 in numbers:
         found |= {"__s": sources(r for r in passes.of(6) if r.number < 62), "__p": sources(r for r in passes.of(6) if r.number == 62)}
-    out = out.withColumns({name: F.expr(sql) for name, sql in found.items()})
+    out = out.withColumns({name: F.expr(sql) for name, sql in found.items()}).drop("__low", "__digits")
     mentions = {n: f"__m{n}" for n in numbers} | ({4: without_overlaps("__m4")} if 4 in numbers else {}) | ({6: address_sql("__s", "__p", src)} if 6 in numbers else {})
     out = out.withColumns({f"__k{n}": F.expr(f"transform({sql}, x -> named_struct('k', {_KEYS.get(n, 'x.t')}, 'x', x))") for n, sql in mentions.items()}).drop(*found)
     out = out.withColumns({f"__c{n}": F.expr(f"CASE WHEN size(__k{n}) = 0 THEN cast(array() AS array<{CANDIDATE}>) ELSE cast({group_sql(f'__k{n}', n)} AS array<{CANDIDATE}>) END") for n in numbers}).drop(*[f"__k{n}" for n in numbers])
